@@ -4,11 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.llm import bpe, decontaminate, near_dup, secrets, toxicity
 from chronolith.llm.common import materialize, table
 
-STAGES: list = []
 
-#: Trained scores, sketches and merges have no SQL.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, 0.8) stays: the one of least doc_id."""
+    return near_dup.drop_near_duplicates(docs, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; confirmed secrets in its text are masked."""
+    return secrets.redact_secrets(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, counts and digests of the token ids of every document, and the ids."""
+    return bpe.encode_texts(docs, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("bpe", encode),
+]
+
+#: Trained scores, sketches and merges have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
