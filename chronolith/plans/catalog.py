@@ -20,3 +20,8 @@ def register(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import text_queries, timeline_queries  # noqa: F401
