@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ TERMS, ORDINARY = 2_000, 50_000
 #: A term is in so many toxic rows of its half at least, as a share and as a count, and so much likelier there.
 TERM_SHARE, TERM_ROWS, TERM_RATIO = 0.01, 3, 15.0
 THRESHOLD = 0.3
+#: Least hashes by which near copies in the sample are told.
+KEYS = 3
 #: Words on either side of a hit that tell what it is.
 WINDOW = 6
 #: Words whose nearness to the lexicon a process remembers.
@@ -69,29 +72,33 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], ordinary: frozenset[str] = frozenset()):
         self.terms, self.ordinary = terms, ordinary
         self.trie: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        middles = set()
+        # One of k + 1 parts of a term is whole in each word within k edits, at most k places from its own:
+        # {length of a part: {part: [(place, term, k)]}}.
+        self.parts: dict[int, dict[str, list[tuple[int, str, int]]]] = {}
+        self.letters = {term: Counter(term) for term in terms}
         for term in terms:
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            # One of k + 1 parts of a term is whole in each word within k edits: at its head, its tail, or within.
-            parts = edits_allowed(len(term)) + 1
-            if parts > 1:
-                cuts = [len(term) * i // parts for i in range(parts + 1)]
-                self.heads.setdefault(cuts[1], set()).add(term[: cuts[1]])
-                self.tails.setdefault(len(term) - cuts[-2], set()).add(term[cuts[-2] :])
-                if parts == 3:
-                    middles.add(term[cuts[1] : cuts[2]])
-        self.middle = re.compile("|".join(map(re.escape, sorted(middles)))) if middles else None
+            k = edits_allowed(len(term))
+            cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
+            for i in range(k + 1 if k else 0):
+                part = term[cuts[i] : cuts[i + 1]]
+                self.parts.setdefault(len(part), {}).setdefault(part, []).append((cuts[i], term, k))
         self.known: dict[bytes, tuple[str, int] | None] = {}
 
     def may_be_near(self, word: str) -> bool:
-        if any(word[:n] in s for n, s in self.heads.items()) or any(word[-n:] in s for n, s in self.tails.items()):
-            return True
-        return len(word) >= 6 and self.middle is not None and bool(self.middle.search(word))
+        """False for a word that no term is near, by the parts, lengths and letters of the terms."""
+        n = len(word)
+        for size, parts in self.parts.items():
+            for at in range(n - size + 1):
+                for place, term, k in parts.get(word[at : at + size], ()):
+                    if abs(at - place) <= k and abs(n - len(term)) <= k:
+                        common = sum(min(word.count(c), m) for c, m in self.letters[term].items())
+                        if max(n, len(term)) - common <= k:
+                            return True
+        return False
 
     def search(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its allowed edits and their number; of several, the first by edits, then order."""
@@ -182,6 +189,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _keyed(batches):
+    """Adds keys that near copies of a text mostly share: least hashes of its runs of three words, in KEYS orders.
+
+    Rare words of a toxic text would look like terms if its copies counted.
+    """
+    odd = np.random.default_rng(4).integers(0, 2**63, KEYS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in slices(batches):
+        keys = []
+        for text in batch.column("text").to_pylist():
+            words = words_of(text or "")
+            runs = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs))
+            keys.append(((hashes[:, None] * odd).min(axis=0) >> np.uint64(1)).astype(np.int64))
+        columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(KEYS)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[f"key{i}" for i in range(KEYS)]])
+
+
 def _counted(batches):
     """Words of texts by the rows that have them: (word, toxic rows, clean rows) of a part."""
     counts = Counter(), Counter()
@@ -221,7 +245,8 @@ def _model(terms, ordinary, weights) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled rows that aren't held out, ``sample_rows`` of them at most, about.
 
-    Rows of the sample are those of least hash; a doc_id with several labels has the highest. Words are counted on the
+    Rows of the sample are those of least hash; a doc_id with several labels has the highest. One row stands for those
+    that share any of their least hashes, as copies and near copies mostly do. Words are counted on the
     executors; what comes to the driver is bounded: TERMS terms, ORDINARY words, and five numbers a row of the sample.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -235,6 +260,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = base.join(F.broadcast(sample), "doc_id").select(
         F.col("text").cast("string").alias("text"), F.col("label"), (F.col("place") % 2 == 0).alias("first")
     )
+    rows = rows.mapInArrow(_keyed, "text string, label int, first boolean" + "".join(f", key{i} bigint" for i in range(KEYS)))
+    for i in range(KEYS):
+        rows = rows.dropDuplicates([f"key{i}", "label"]).drop(f"key{i}")
     rows = materialize(rows, "toxic-sample")
     sizes = {(r["first"], r["label"]): r["count"] for r in rows.groupBy("first", "label").count().collect()}
     toxic, clean = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
