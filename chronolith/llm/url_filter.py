@@ -113,24 +113,34 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-ORACLE = r"""
-WITH p AS (
-  SELECT page_id,
-    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
-  FROM pages),
-s AS (
-  SELECT page_id,
-    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM (SELECT page_id, coalesce(rest, '') AS rest FROM p)),
-r AS (
-  SELECT *, CASE
-    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM s)
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
-FROM r
+def _address_sql(column: str) -> tuple[str, str]:
+    rest = f"CASE WHEN strpos({column}, '://') > 0 THEN substr({column}, strpos({column}, '://') + 3) ELSE '' END"
+    host = f"coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), '{_UP}', '{_LOW}'), '')"
+    return host, f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _rule_sql(host: str, path: str, what: int, rules=RULES) -> str:
+    ranked = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow"))
+    arms = [f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, act)[what]}'" for act, h, p in ranked]
+    return "CASE " + " ".join(arms) + " END"
+
+
+_HOST, _PATH = _address_sql("url")
+_TO_HOST, _TO_PATH = _address_sql("target")
+ORACLE = rf"""
+WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, coalesce(html, '') AS html FROM pages),
+t AS (
+  SELECT host, path, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1)))) AS raw
+  FROM p),
+u AS (SELECT host || path AS a, CASE WHEN contains(raw, '://') THEN raw WHEN starts_with(raw, '//') THEN 'http:' || raw WHEN starts_with(raw, '/') THEN 'http://' || host || raw END AS target FROM t WHERE raw <> ''),
+e AS (SELECT a, {_TO_HOST} || {_TO_PATH} AS b FROM u WHERE target IS NOT NULL),
+ways AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM e WHERE a <> '' AND b <> '' AND a <> b),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, x.b FROM reach r JOIN ways x ON r.b = x.a),
+node AS (SELECT DISTINCT a, b, regexp_extract(b, '^([^/]*)', 1) AS h, regexp_extract(b, '^[^/]*(.*)$', 1) AS q FROM (SELECT a, b FROM reach UNION SELECT a, a FROM ways)),
+act AS (SELECT a, {_rule_sql("h", "q", 1)} AS act FROM node),
+alias AS (SELECT a FROM act GROUP BY a HAVING bool_or(act = 'block') AND NOT coalesce(bool_or(act = 'allow'), false)),
+r AS (SELECT page_id, host, path, {_rule_sql("host", "path", 0)} AS rule, {_rule_sql("host", "path", 1)} AS own FROM p)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN host || path IN (SELECT a FROM alias) THEN 'block' END, 'allow') AS verdict FROM r
 """

@@ -5,6 +5,7 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from oracle import assert_same, connect
@@ -247,6 +248,11 @@ def test_urls_and_aliases(spark):
     assert got[9][3] == "allow" and got[10][3] == "block" and got[11][3] == "allow"
     assert got[12][2:] == ("example.com/de/", "block") and got[13][2] == "net/" and got[14][2:] == ("org/fr/", "allow")
     assert len(out) == len(rows)
+    c = duckdb.connect()
+    c.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    c.executemany("insert into pages values (?, ?, ?)", rows)
+    want = c.execute(url_filter.ORACLE).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in out)
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
