@@ -14,6 +14,8 @@ from chronolith.functions import text as T
 DUPLICATE, EXISTING, RELATED = 0.92, 0.75, 0.55
 FIELD_WEIGHTS = (("name", 0.35), ("objective", 0.30), ("actor", 0.10), ("flow", 0.15), ("trigger", 0.10))
 SHARED_BONUS = 0.05
+#: What names of outputs begin with; fixed values.
+OUTPUT_PREFIXES = ("Capsula-", "CapsulaExtensa-")
 STORE_KEYS = ("videos", "actors", "systems", "functionalities", "business_rules", "use_cases", "relationships", "analysis_history")
 
 
@@ -195,12 +197,12 @@ def most_specific(outputs: DataFrame, sources: DataFrame, output_key: str, outpu
     return pairs.join(stricter, beaten, "left_anti").select(output_key, source_key)
 
 
-def missing_outputs(registry: DataFrame, files: DataFrame) -> DataFrame:
+def missing_outputs(registry: DataFrame, files: DataFrame, prefixes=OUTPUT_PREFIXES) -> DataFrame:
     """Files (output) that the registry doesn't know, with slug and canonical topic."""
     from chronolith.functions import rules
 
     new = files.select("output").distinct().join(registry, "output", "left_anti")
-    bare = F.regexp_replace(F.regexp_replace(T.stem(F.col("output")), r"^(?:CapsulaExtensa-|Capsula-)", ""), r"-\d{2}-\d{2}-\d{4}$", "")
+    bare = F.regexp_replace(F.regexp_replace(T.stem(F.col("output")), f"^(?:{'|'.join(sorted(prefixes, key=len, reverse=True))})", ""), r"-\d{2}-\d{2}-\d{4}$", "")
     topic = F.coalesce(rules.canonical_topic(F.col("slug")), F.lit(rules.UNCLASSIFIED))
     return new.withColumn("slug", bare).withColumn("topic", topic).withColumn("origin", F.lit("auto-descubierto"))
 

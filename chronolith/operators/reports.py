@@ -35,7 +35,7 @@ def topic_profile(topic: Column) -> Column:
 
 
 def grounded_script(topic: Column, walkthrough: Column | None = None) -> Column:
-    """The spoken text of a topic's capsule, a walkthrough in its middle if there is one."""
+    """The spoken text about a topic, a walkthrough in its middle if there is one."""
     p = topic_profile(topic)
     intro = F.concat(F.lit("En esta cápsula revisamos "), p["name"], F.lit(". Durante la sesión, "), p["done"], F.lit(". Veamos el procedimiento en pantalla, tal como fue ejecutado."))
     close = F.concat(F.lit("El procedimiento queda documentado y puede repetirse cuando se necesite. Para la organización, "), p["worth"], F.lit("."))

@@ -249,11 +249,11 @@ def clock_strings(spark, sf_dir):
     return e.select("event_id", "clock", clock.seconds_of(F.col("clock")).alias("seconds"))
 
 
-@register("slugs", """SELECT doc_id, CASE WHEN s = '' THEN 'Capsula' ELSE s END AS slug FROM (
+@register("slugs", """SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (
   SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)""")
 def slugs(spark, sf_dir):
     """Slugs of headings: what a document's first 60 characters give."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60), "Capsula").alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60), "item").alias("slug"))
 
 
 @register("screen_titles")

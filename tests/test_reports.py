@@ -48,17 +48,17 @@ def test_registry_reports(spark):
     videos = spark.createDataFrame([("Demo-FrontEnd",), ("Otra-Cosa",)], "video string")
     folders = spark.createDataFrame([("FrontEnd",)], "folder string")
     found = spark.createDataFrame([("FrontEnd", 0, "MCP / Integración", "00:00:00-00:05:00", 6), ("FrontEnd", 1, "API / Mesa", "00:00:00-01:00:00", 9), ("FrontEnd", 2, "QA / Pruebas", "00:00:00-00:05:00", 5)], "folder string, ord int, topic string, interval string, mentions int")
-    outputs = spark.createDataFrame([("Capsula-FrontEnd-QA-01-02-2026.mp4", None, "frontend-qa", 0)], "output string, topic string, slug string, ord int")
+    outputs = spark.createDataFrame([(f"{entities.OUTPUT_PREFIXES[0]}FrontEnd-QA-01-02-2026.mp4", None, "frontend-qa", 0)], "output string, topic string, slug string, ord int")
     cases = reports.open_cases(videos, folders, found, outputs)
     assert {r["topic"]: r["focus"] for r in cases.collect()} == {"MCP / Integracion": "new", "API / Mesa": "dispersed", "QA / Pruebas": "covered"}
-    claims = spark.createDataFrame([("Demo-FrontEnd", "Capsula-FrontEnd-QA-01-02-2026.mp4")], "video string, output string")
+    claims = spark.createDataFrame([("Demo-FrontEnd", f"{entities.OUTPUT_PREFIXES[0]}FrontEnd-QA-01-02-2026.mp4")], "video string, output string")
     named = topics.covered_topics(outputs, "ord")
     report = {r["video"]: r for r in reports.video_report(videos, cases, claims, named).collect()}
     assert report["Demo-FrontEnd"]["new_cases"] == ["MCP / Integracion"] and not report["Demo-FrontEnd"]["nothing_new"]
     assert report["Demo-FrontEnd"]["objective"] == ["API / Mesa", "MCP / Integracion", "QA / Pruebas"] and not report["Otra-Cosa"]["processed"]
     ids = spark.createDataFrame([("a", "EXACT_DUPLICATE", "Demo-FrontEnd"), ("b", "NEW_VIDEO", None)], "video_id string, status string, match string")
     assert {r["video_id"]: r["process"] for r in reports.may_process(ids, claims).collect()} == {"a": False, "b": True}
-    files = spark.createDataFrame([("Capsula-Demo-Jira-01-02-2026.mp4",), ("known.mp4",)], "output string")
+    files = spark.createDataFrame([(f"{entities.OUTPUT_PREFIXES[0]}Demo-Jira-01-02-2026.mp4",), ("known.mp4",)], "output string")
     new = entities.missing_outputs(spark.createDataFrame([("known.mp4",)], "output string"), files).collect()
     assert [(r["slug"], r["topic"]) for r in new] == [("Demo-Jira", "Jira / HDU")]
     rows = [("a", False, True, [], True, True), ("b", True, False, [], True, True), ("c", True, True, ["x"], True, True), ("d", True, True, [], False, True), ("e", True, True, [], True, False), ("f", True, True, [], True, True)]
