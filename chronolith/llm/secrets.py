@@ -266,13 +266,16 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, keep: list[
 
     ``findings``: array of (start, end, shape, votes), in code points; ``redacted``: the text with MASK in place of each.
     The digest is of ``start:end:shape`` joined by commas. Null texts have no candidates and stay null; repeated rows
-    are each scanned; a null path tells nothing. An empty table gives an empty result. ``keep`` names further columns.
+    are each scanned; a null path, or none, tells nothing. An empty table gives an empty result. ``keep`` names further columns.
 
     A narrow pass, no exchange; the forest that it broadcasts is bounded by its trees and depth.
     """
     keep = keep or []
     shipped = docs.sparkSession.sparkContext.broadcast(train_forest(findings))
-    base = pick(docs.withColumn("__path", F.col(path_column).cast("string")), "doc_id", *keep, "__path", "text")
+    known = any(c.lower() == path_column.lower() for c in docs.columns)
+    base = pick(docs, "doc_id", *keep, *[path_column] * known, "text").toDF("doc_id", *keep, *["__path"] * known, "text")
+    path = F.col("__path").cast("string") if known else F.lit(None).cast("string")
+    base = base.select("doc_id", *keep, path.alias("__path"), "text")
     base = base.withColumn("text", F.col("text").cast("string"))
     item = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("shape", pa.string()), ("votes", pa.float64())]))
 
