@@ -111,10 +111,11 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes |
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of every row of docs (doc_id, text).
 
-    ``spans`` lists starts and ends of the hit runs of words. ``keep`` names further columns of docs to carry.
+    ``spans`` lists starts and ends of the hit runs of words. ``keep`` names further columns of docs to carry, ``with_text``
+    carries the text.
 
     Null or empty texts have no words and aren't contaminated; null or empty items have no windows; items with null id
     don't take part. Repeated rows are each judged. Equal windows of several items count for all of them. An empty
@@ -134,18 +135,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     while block is not None:
         after = next(blocks, None)
         shipped = spark.sparkContext.broadcast(block)
-        now = now.mapInArrow(_marker(shipped, after is None), _schema(head, after is None))
+        now = now.mapInArrow(_marker(shipped, after is None, with_text), _schema(head, after is None, with_text))
         block = after
     return now
 
 
-def _schema(head: list, last: bool) -> str:
+def _schema(head: list, last: bool, with_text: bool) -> str:
     ends = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<bigint>"
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head)
+    names = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head] + ["text string"] * (last and with_text))
     return f"{names}, {ends if last else '__text string, __spans array<bigint>, __items array<string>'}"
 
 
-def _marker(shipped, last: bool):
+def _marker(shipped, last: bool, with_text: bool):
     """One pass: adds the occurrences of a block's windows; the last pass also makes the digests."""
 
     def search(batches):
@@ -166,6 +167,8 @@ def _marker(shipped, last: bool):
             out = {c: batch.column(c) for c in head}
             flat = pa.array(spans, pa.list_(pa.int64()))
             if last:
+                if with_text:
+                    out["text"] = batch.column("__text")
                 out["n_words"] = pa.array(counts, pa.int64())
                 out["n_hit"] = pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64())
                 out["n_items"] = pa.array([len(i) for i in items], pa.int64())
@@ -188,9 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those that hold a window of the benchmark."""
     names = docs.columns
     rest = [c for c in names if c not in ("doc_id", "text")]
-    base = docs.withColumn("__whole", F.col("text"))
-    found = find_contamination(base, benchmark, keep=["__whole", *rest])
-    return found.where(~F.col("contaminated")).select(*[F.col("__whole").alias("text") if c == "text" else F.col(c) for c in names])
+    return find_contamination(docs, benchmark, keep=rest, with_text=True).where(~F.col("contaminated")).select(*names)
 
 
 ORACLE = r"""

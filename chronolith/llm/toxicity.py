@@ -302,12 +302,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return Model(lexicon, weights)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text); labels: doc_id, toxic.
 
     Null and empty texts have no hits: the score is that of texts without any. Repeated rows are each scored alike. A
     null doc_id is not held out. Without labels of both kinds the score rests on their share and any lexicon there is.
-    An empty table gives an empty result. ``keep`` names further columns to carry.
+    An empty table gives an empty result. ``keep`` names further columns to carry, ``with_text`` carries the text.
 
     The final pass is narrow: no exchange; the model that it broadcasts is bounded by TERMS and ORDINARY.
     """
@@ -320,11 +320,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
         model = shipped.value
         for batch in slices(batches):
             score = model.score(batch.column("text").to_pylist())
-            names = batch.schema.names[:-1]
+            names = batch.schema.names[: None if with_text else -1]
             columns = [batch.column(n) for n in names] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: None if with_text else -1])
     return base.mapInArrow(run, f"{head}, score double, predicted int")
 
 
@@ -335,5 +335,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those predicted to be toxic."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    scored = score_toxicity(docs.withColumn("__whole", F.col("text")), labels, keep=["__whole", *rest])
-    return scored.where("predicted = 0").select(*[F.col("__whole").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return score_toxicity(docs, labels, keep=rest, with_text=True).where("predicted = 0").select(*docs.columns)
