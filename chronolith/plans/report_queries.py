@@ -68,7 +68,7 @@ def case_quotes(spark, sf_dir):
 
 
 @register("grounded_use_cases", _CASES + """, o AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY start, topic) AS place FROM c),
-m AS (SELECT conv_id AS track, turn AS ord, turn * 30.0 + 7 AS ts, CASE role WHEN 'assistant' THEN 'code' WHEN 'system' THEN 'teams' ELSE 'otro' END AS artifact FROM conversations),
+m AS (SELECT conv_id AS track, turn AS ord, CAST(turn * 30.0 + 7 AS DOUBLE) AS ts, CASE role WHEN 'assistant' THEN 'code' WHEN 'system' THEN 'teams' ELSE 'otro' END AS artifact FROM conversations),
 k AS (SELECT *, max(CASE WHEN artifact = 'code' THEN 1 ELSE 0 END) OVER (PARTITION BY track) AS strong FROM m WHERE artifact <> 'teams'),
 n AS (SELECT o.track, o.topic, o.place, k.ts, k.ord, (strong = 0 OR artifact = 'code') AS screen FROM o JOIN k ON o.track = k.track AND k.ts BETWEEN o.start - 5 AND o."end" + 5 WHERE place <= 6),
 x AS (SELECT *, bool_or(screen) OVER (PARTITION BY track, topic) AS anys FROM n),

@@ -37,7 +37,7 @@ def _topics_sql(column: str, topics_) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {_hit(column, p)} THEN {rules.quoted(n)} END" for n, p in topics_) + "], lambda x: x IS NOT NULL)"
 
 
-_TAGGED = f"""t AS (SELECT conv_id AS track, turn AS ord, turn * 30.0 AS start, turn * 30.0 + 25.0 AS "end", text,
+_TAGGED = f"""t AS (SELECT conv_id AS track, turn AS ord, CAST(turn * 30.0 AS DOUBLE) AS start, CAST(turn * 30.0 + 25.0 AS DOUBLE) AS "end", text,
   {_hit('text', rules.INTENT)} AS intent, regexp_matches(text, '[?¿]') AND len(regexp_split_to_array(trim(text), '\\s+')) >= 3 AS question, {_topics_sql('text', WORDS)} AS topics FROM conversations)"""
 
 
@@ -128,7 +128,7 @@ def detect_action(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.action_of(F.col("text"), change, activity).alias("action"))
 
 
-@register("value_score", f"SELECT doc_id, round({' + '.join(f'CASE WHEN {_hit(chr(116) + chr(101) + chr(120) + chr(116), p)} THEN {w} ELSE 0 END' for p, w in rules.VALUE_CUES)}, 3) AS value FROM documents")
+@register("value_score", f"SELECT doc_id, round(CAST({' + '.join(f'CASE WHEN {_hit(chr(116) + chr(101) + chr(120) + chr(116), p)} THEN {w} ELSE 0 END' for p, w in rules.VALUE_CUES)} AS DOUBLE), 3) AS value FROM documents")
 def value_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(rules.value_score(F.col("text")), 3).alias("value"))
 
@@ -148,7 +148,7 @@ def _theme_sql(theme) -> str:
     return f"SELECT source, doc_id, '{slug}' AS slug, {' + '.join(f'CASE WHEN {h} THEN 2.0 ELSE 0 END' for h in hits)} + {bonus} + 0.2 * n_chars AS score FROM documents WHERE {' OR '.join(hits)}"
 
 
-@register("present_themes", f"WITH s AS ({' UNION ALL '.join(_theme_sql(t) for t in SHOWN)}) SELECT source, slug, min(doc_id) AS start, max(doc_id) AS \"end\", count(*) AS moments, round(max(score), 3) AS score FROM s GROUP BY 1, 2 HAVING count(*) >= 3")
+@register("present_themes", f"WITH s AS ({' UNION ALL '.join(_theme_sql(t) for t in SHOWN)}) SELECT source, slug, min(doc_id) AS start, max(doc_id) AS \"end\", count(*) AS moments, round(CAST(max(score) AS DOUBLE), 3) AS score FROM s GROUP BY 1, 2 HAVING count(*) >= 3")
 def present_themes(spark, sf_dir):
     """Sources as tracks, doc_id as clock; the language and length stand for artifact and value."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang", F.col("n_chars").cast("double").alias("v"))
