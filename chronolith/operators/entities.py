@@ -100,7 +100,7 @@ def match_use_cases(candidates: DataFrame, store: DataFrame, block: Column | Non
 
 
 def next_ids(rows: DataFrame, known: DataFrame, key: str, prefix: str, order: list[str]) -> DataFrame:
-    """Adds ids PREFIX-001 on, after the highest known one."""
+    """Adds ids PREFIX-001 on, after the highest known one. rows: one batch of new entities, numbered in one task."""
     top = known.agg(F.coalesce(F.max(F.regexp_extract(key, rf"^{prefix}-(\d+)", 1).try_cast("long")), F.lit(0)).alias("__top"))
     number = F.row_number().over(Window.orderBy(*order))
     return rows.crossJoin(F.broadcast(top)).withColumn(key, F.format_string(f"{prefix}-%03d", F.col("__top") + number)).drop("__top")

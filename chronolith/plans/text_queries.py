@@ -212,13 +212,13 @@ def token_overlap_match(spark, sf_dir):
     return entities.token_match(pages, hosts, "page_id", "name", "host", "label").select("page_id", "host", F.col("score").cast("int").alias("score"))
 
 
-@register("merge_customers", """WITH new AS (SELECT c_custkey AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0),
+@register("merge_customers", """WITH new AS (SELECT c_custkey AS name, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS segment, c_acctbal AS balance FROM customer WHERE c_acctbal >= 0),
 old AS (SELECT s_suppkey AS name, s_name AS segment, s_acctbal AS balance, '2020' AS registered, '2021' AS updated FROM supplier)
 SELECT coalesce(n.name, o.name) AS name, coalesce(n.segment, o.segment) AS segment, coalesce(n.balance, o.balance) AS balance, coalesce(o.registered, CASE WHEN n.name IS NOT NULL THEN '2024' END) AS registered, CASE WHEN n.name IS NOT NULL THEN '2024' ELSE o.updated END AS updated
 FROM new n FULL JOIN old o ON n.name = o.name""")
 def merge_customers(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    new = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"), F.col("c_acctbal").alias("balance"))
+    new = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.col("c_acctbal").alias("balance"))
     old = s.select(F.col("s_suppkey").alias("name"), F.col("s_name").alias("segment"), F.col("s_acctbal").alias("balance"), F.lit("2020").alias("registered"), F.lit("2021").alias("updated"))
     return entities.merge_by_name(old, new, "name", F.lit("2024"))
 
@@ -249,11 +249,11 @@ def clock_strings(spark, sf_dir):
     return e.select("event_id", "clock", clock.seconds_of(F.col("clock")).alias("seconds"))
 
 
-@register("slugs", """SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 60)), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)""")
+@register("slugs", """SELECT doc_id, length(CASE WHEN s = '' THEN 'item' ELSE s END) AS n_chars, sha256(CASE WHEN s = '' THEN 'item' ELSE s END) AS slug_sha256 FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents)""")
 def slugs(spark, sf_dir):
-    """Slugs of headings: what a document's first 60 characters give."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60), "item").alias("slug"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text"), "item").alias("slug"))
+    return d.select("doc_id", F.length("slug").cast("long").alias("n_chars"), F.sha2("slug", 256).alias("slug_sha256"))
 
 
 @register("screen_titles")
@@ -268,11 +268,11 @@ def phrases(spark, sf_dir):
 
 @register("use_case_similarity")
 def use_case_similarity(spark, sf_dir):
-    """Benchmark items as candidates against parts as stored use cases, blocked by their words."""
+    """Benchmark items by their first sentences against the same items by their last, blocked by words."""
     b = table(spark, sf_dir, "benchmark")
     none = F.array().cast("array<string>")
     fields = lambda name, objective: [name.alias("name"), objective.alias("objective"), F.lit("").alias("actor"), F.lit("").alias("flow"), F.lit("").alias("trigger"), none.alias("functionalities")]
-    first = F.substring("text", 1, 60)
-    cand = b.select(F.col("item_id").alias("cand_id"), *fields(first, F.substring("text", 1, 120)))
-    store = b.select(F.concat(F.lit("UC-"), F.col("item_id").cast("string")).alias("use_case_id"), F.col("item_id").alias("ord"), *fields(F.reverse(F.split(F.col("text"), r"\. "))[0], F.substring("text", 20, 120)))
+    sentences = F.split(F.col("text"), r"\. ")
+    cand = b.select(F.col("item_id").alias("cand_id"), *fields(sentences[0], F.col("text")))
+    store = b.select(F.concat(F.lit("UC-"), F.col("item_id").cast("string")).alias("use_case_id"), F.col("item_id").alias("ord"), *fields(F.reverse(sentences)[0], F.col("text")))
     return entities.match_use_cases(cand, store).withColumn("score", F.round("score", 9))
