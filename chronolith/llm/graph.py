@@ -8,36 +8,32 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, start: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, label): label is the least node of the node's component.
 
     edges: columns ``a`` and ``b`` of one orderable type; direction, repeats, loops and nulls don't matter. Nodes
-    without edges aren't returned; an empty table of edges gives an empty result.
+    without edges aren't returned; an empty table of edges gives an empty result. ``start``: labels of some of the edges,
+    from which the search goes on where edges have been added.
 
-    Each round sends every node's label over its edges, keeps the least, then follows labels of labels, so chains
-    shorten by halves. Joins have an exchange on either side, so adaptive execution can split a hub's rows; the
-    least is partially aggregated before it is exchanged. The labels of each round are written to the shared folder.
+    Each round takes for a node the least of its label, its neighbours' labels and its label's label, so chains shorten
+    by halves. Joins have an exchange on either side, so adaptive execution can split a hub's rows; the least is
+    partially aggregated before it is exchanged. The labels of each round are written to the shared folder.
     """
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "cc-edges")
-    labels = materialize(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")),
-        "cc-labels",
-    )
+    first = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    if start is not None:
+        known = start.select(F.col("node").alias("n"), F.col("label").alias("l"))
+        first = first.join(known, first.node == known.n, "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"))
+    labels = materialize(first, "cc-labels")
     for _ in range(max_rounds):
         sent = both.join(labels, both.a == labels.node).groupBy("b").agg(F.min("label").alias("m"))
-        hooked = labels.join(sent, labels.node == sent.b, "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")
-        )
-        hooked = materialize(hooked, "cc-hooked")
-        up = hooked.select(F.col("node").alias("p"), F.col("label").alias("q"))
-        jumped = hooked.join(up, hooked.label == up.p, "left").select(
-            "node", "old", F.least("label", F.coalesce("q", "label")).alias("label")
-        )
-        jumped = materialize(jumped, "cc-labels")
-        changed = jumped.where(F.col("old") != F.col("label")).limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
+        up = labels.select(F.col("node").alias("p"), F.col("label").alias("q"))
+        met = labels.join(sent, labels.node == sent.b, "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("next"))
+        met = met.join(up, met.label == up.p, "left")
+        met = materialize(met.select("node", F.col("label").alias("old"), F.least("next", F.coalesce("q", "next")).alias("label")), "cc-labels")
+        labels = met.select("node", "label")
+        if not met.where(F.col("old") != F.col("label")).limit(1).count():
             return labels
     raise RuntimeError(f"components still change after {max_rounds} rounds")

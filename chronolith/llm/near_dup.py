@@ -16,12 +16,13 @@ from .graph import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
-#: Hubs of each bucket. More hubs miss fewer links between texts that are unlike the first hub.
-HUBS = 2
+#: Hubs of each bucket in a round, chosen by an order of the bucket's own; from the second round on also the member with
+#: most links. Rounds end when one finds no link between texts that weren't joined yet, or after ROUNDS.
+HUBS, ROUNDS = 2, 2
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -160,6 +161,41 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["node", "text"])
 
 
+def _stars(members: DataFrame, labels: DataFrame | None, links: DataFrame | None, tested: DataFrame | None, number: int, percent: int) -> DataFrame:
+    """Pairs a < b to compare in a round: each member of a bucket with the bucket's hubs that aren't joined to it yet."""
+    # Exclusive or with a mask of the bucket orders the members anew in each bucket; the least is the hub.
+    orders = [F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(number * HUBS + k))) for k in range(HUBS)]
+    if labels is None:
+        members = members.withColumn("label", F.col("node"))
+    else:
+        both = links.select(F.col("a").alias("m")).union(links.select(F.col("b").alias("m")))
+        degrees = both.groupBy("m").agg(F.count(F.lit(1)).alias("degree"))
+        known = labels.join(degrees, labels.node == degrees.m).select(F.col("node").alias("m"), "label", "degree")
+        members = members.join(known, members.node == known.m, "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        # Fewest first: less the degree in the high bits, and an order of the bucket's own below.
+        low = F.xxhash64("key", "node").bitwiseAND(F.lit((1 << 40) - 1))
+        orders.append(F.shiftleft(-F.least(F.col("degree"), F.lit(1 << 20)).cast("long"), 40) + low)
+        members = materialize(members, "labelled")
+    picks = [c for k, o in enumerate(orders) for c in (F.min_by("node", o).alias(f"a{k}"), F.min_by("n", o).alias(f"n{k}"), F.min_by("label", o).alias(f"l{k}"))]
+    hubs = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), *picks).where("low <> high")
+    stars = F.array(*[F.struct(F.col(f"a{k}").alias("a"), F.col(f"n{k}").alias("na"), F.col(f"l{k}").alias("la")) for k in range(len(orders))])
+    hubs = materialize(hubs.select(F.col("key").alias("bucket"), stars.alias("stars")), "hubs")
+    met = members.join(hubs, members.key == hubs.bucket).select("node", "n", "label", F.explode("stars").alias("star"))
+    alike = F.least("n", "star.na") * 100 >= F.greatest("n", "star.na") * percent
+    met = met.where(alike & (F.col("label") != F.col("star.la")))
+    edges = met.select(F.least("node", "star.a").alias("a"), F.greatest("node", "star.a").alias("b")).distinct()
+    return edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
+
+
+def _verified(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole texts are alike enough."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = materialize(texts.join(ends, "node", "left_semi"), "compared")
+    with_b = edges.join(own.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = with_b.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialize(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_like(percent), "a bigint, b bigint"), "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -171,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Scale: one narrow pass makes sketches; classes of equal texts are aggregated before anything else, partially on
     the map side, so a third of all rows being copies costs one row a partition. Bucket hubs are also aggregates, and a
-    bucket's members meet their hubs, not one another: edges are linear in the members. Joins that can have a hot key
+    bucket's members meet its hubs, not one another: edges are linear in the members, in each of ROUNDS rounds at most. Joins that can have a hot key
     have an exchange on either side for adaptive execution to split. Only texts of candidates are compared.
     """
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -183,30 +219,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "classes",
     )
     members = classes.select("node", "n", F.explode("bands").alias("key"))
-    # Exclusive or with a mask of the bucket orders the members anew in each bucket; the least is the hub.
-    mask = lambda k: F.xxhash64("key", F.lit(k))
-    order = [F.col("node").bitwiseXOR(mask(k)) for k in range(HUBS)]
-    hubs = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"),
-        *[F.min(o).alias(f"o{k}") for k, o in enumerate(order)],
-        *[F.min_by("n", o).alias(f"n{k}") for k, o in enumerate(order)],
-    )
-    stars = F.array(*[F.struct(F.col(f"o{k}").bitwiseXOR(mask(k)).alias("a"), F.col(f"n{k}").alias("na")) for k in range(HUBS)])
-    hubs = materialize(hubs.where("size > 1").select(F.col("key").alias("bucket"), stars.alias("stars")), "hubs")
-    met = members.join(hubs, members.key == hubs.bucket).select("node", "n", F.explode("stars").alias("star"))
-    alike = F.least("n", "star.na") * 100 >= F.greatest("n", "star.na") * percent
-    met = met.where(alike & (F.col("node") != F.col("star.a")))
-    edges = met.select(F.least("node", "star.a").alias("a"), F.greatest("node", "star.a").alias("b")).distinct()
-    edges = materialize(edges, "candidates")
-
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(classes.select("node", "digest"), "node")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("bucket"))
+    members = members.join(sizes, members.key == sizes.bucket).select("node", "n", "key")
+    members = materialize(members, "members")
+    # Texts that share a bucket leave the documents once; a round reads those that it compares.
+    wanted = members.select("node").distinct().join(classes.select("node", "digest"), "node")
     texts = base.join(wanted, base.doc_id == wanted.node).select("node", "text", "digest")
     texts = materialize(texts.mapInArrow(_texts, "node bigint, text string"), "texts")
-    with_b = edges.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    links = with_both.select("a", "b", "text_a", "text_b").mapInArrow(_like(percent), "a bigint, b bigint")
-    labels = connected_components(links)
+    labels = links = tested = None
+    for number in range(ROUNDS):
+        edges = materialize(_stars(members, labels, links, tested, number, percent), "candidates")
+        new = _verified(texts, edges, percent)
+        if number and not new.limit(1).count():
+            break
+        links = new if links is None else links.union(new)
+        tested = edges if tested is None else tested.union(edges)
+        labels = connected_components(links, labels)
 
     found = classes.select("digest", "node").join(labels, "node", "left")
     found = materialize(found.select("digest", F.coalesce("label", "node").alias("component")), "components")
@@ -230,3 +258,22 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     dropped = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(c.low, w.doc_id)) AS component_id,
+  w.doc_id = least(w.doc_id, coalesce(c.low, w.doc_id)) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
+"""
