@@ -21,4 +21,5 @@ ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
     "op8_topk": topk.ORACLE,
+    "op10_near_dup": near_dup.ORACLE,
 }
