@@ -18,9 +18,9 @@ from .common import pick, table
 #: Pieces longer than this, in bytes, are merged one by one with a heap, which is exact too.
 WIDEST = 256
 #: Pieces whose ids a process remembers, before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of text in one round of splitting.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 

@@ -27,7 +27,7 @@ KEYS = 3
 #: Words on either side of a hit that tell what it is.
 WINDOW = 6
 #: Words whose nearness to the lexicon a process remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Words that introduce what another has said, fixed values.
 REPORTING = frozenset(
     "said says wrote writes called calls quoted quote quotes reported reportedly stated according cited "
