@@ -17,8 +17,10 @@ from .graph import connected_components
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Hubs of each bucket in a round, chosen by an order of the bucket's own; from the second round on also the member with
-#: most links. Rounds end when one finds no link between texts that weren't joined yet, or after ROUNDS.
+#: most links. These rounds end when one finds no link between texts that weren't joined yet, or after ROUNDS.
 HUBS, ROUNDS = 2, 2
+#: Hubs of each bucket in the first of the rounds that finish what is left, and how many times as many in each next one.
+LATER, GROWTH = 16, 16
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
@@ -187,6 +189,33 @@ def _stars(members: DataFrame, labels: DataFrame | None, links: DataFrame | None
     return edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
 
 
+def _unjoined(members: DataFrame, labels: DataFrame, number: int, most: int) -> DataFrame:
+    """The members of buckets whose members aren't all joined; ``hub``: about ``most`` of those outside the largest part.
+
+    A bucket with no more than ``most`` of those has all as hubs. The draw goes by node, so buckets have hubs in common.
+    """
+    known = labels.select(F.col("node").alias("m"), "label")
+    members = members.join(known, members.node == known.m, "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
+    members = materialize(members, "labelled")
+    parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    buckets = parts.groupBy(F.col("key").alias("bucket")).agg(F.max_by("label", F.struct("size", "label")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    buckets = buckets.where("others > 0")
+    draw = F.xxhash64("node", F.lit(number)).bitwiseAND(F.lit((1 << 30) - 1)) / (1 << 30)
+    hub = (F.col("label") != F.col("main")) & (draw * F.col("others") < most)
+    left = members.join(buckets, members.key == buckets.bucket).select("node", "n", "key", "label", hub.alias("hub"))
+    return materialize(left, "left")
+
+
+def _meetings(left: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b to compare: each hub with all members of its bucket that it isn't joined to."""
+    hubs = left.where("hub").select(F.col("key").alias("bucket"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    met = left.join(hubs, left.key == hubs.bucket)
+    alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    met = met.where(alike & (F.col("label") != F.col("hub_label")))
+    edges = met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+    return edges.join(tested, ["a", "b"], "left_anti")
+
+
 def _verified(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole texts are alike enough."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -207,8 +236,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Scale: one narrow pass makes sketches; classes of equal texts are aggregated before anything else, partially on
     the map side, so a third of all rows being copies costs one row a partition. Bucket hubs are also aggregates, and a
-    bucket's members meet its hubs, not one another: edges are linear in the members, in each of ROUNDS rounds at most. Joins that can have a hot key
-    have an exchange on either side for adaptive execution to split. Only texts of candidates are compared.
+    bucket's members meet its hubs, not one another: edges are linear in the members, in each of ROUNDS rounds at most.
+    Rounds that follow draw hubs among the members outside a bucket's largest component, and hubs that have met all
+    others leave, until no bucket holds texts of two components that haven't been compared; their edges are as many as
+    the unjoined members times the bucket, as no fewer comparisons rule a link out. Joins that can have a hot key have
+    an exchange on either side for adaptive execution to split. Only texts of candidates are compared.
     """
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(base.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "sketch")
@@ -235,6 +267,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         links = new if links is None else links.union(new)
         tested = edges if tested is None else tested.union(edges)
         labels = connected_components(links, labels)
+    # What stars left: hubs that have met all others of their bucket leave it, until each bucket is of one component.
+    left, most = members, LATER
+    while True:
+        number += 1
+        left = _unjoined(left, labels, number, most)
+        if left.isEmpty():
+            break
+        edges = materialize(_meetings(left, tested, percent), "candidates")
+        new = _verified(texts, edges, percent)
+        left, tested, most = left.where("not hub").select("node", "n", "key"), tested.union(edges), most * GROWTH
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = connected_components(links, labels)
 
     found = classes.select("digest", "node").join(labels, "node", "left")
     found = materialize(found.select("digest", F.coalesce("label", "node").alias("component")), "components")
