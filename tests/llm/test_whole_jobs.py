@@ -1,10 +1,11 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import itertools
 import random
 
 from test_llm_small import docs
 
-from chronolith.llm import near_dup
+from chronolith.llm import html_text, near_dup
 
 
 def test_chained_copies_are_one_component(spark):
@@ -31,3 +32,20 @@ def test_chained_copies_are_one_component(spark):
     got = near_dup.near_duplicates(docs(spark, [" ".join(c) for c in chain])).collect()
     wrong = [r["doc_id"] for r in got if r["component_id"] != find(r["doc_id"])]
     assert not wrong, f"{len(wrong)} of {len(chain)}"
+
+
+def _lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(len(b)), lambda left, j: row[j] + 1 if x == b[j] else max(left, row[j + 1]), initial=0))
+    return row[-1]
+
+
+def test_lcs_is_longest_at_every_size():
+    rng = random.Random(6)
+    for size, kinds in ((30, 4), (200, 9), (2100, 40)):
+        a, b = ([rng.randrange(kinds) for _ in range(size)] for _ in range(2))
+        got = html_text.shared_lines(a, b)
+        assert len(got) == _lcs_length(a, b)
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(got))
