@@ -49,3 +49,19 @@ def test_lcs_is_longest_at_every_size():
         assert len(got) == _lcs_length(a, b)
         rest = iter(b)
         assert all(a[i] in rest for i in sorted(got))
+
+
+def test_copies_of_a_page_keep_its_text(spark):
+    page = lambda *own: "<body>" + "".join(f"<p>{x}</p>" for x in ("Menu", *own, "Foot")) + "</body>"
+    rows = [
+        (1, "http://a.org/x/1", page("one", "two")),
+        (2, "http://a.org/x/1?s=2", page("one", "two")),
+        (3, "http://a.org/x/1", page("one", "two")),
+        (4, "http://a.org/x/2", page("three")),
+        (5, "http://a.org/x/3", page("one", "two")),
+        (6, "http://b.org/x", page("alone")),
+        (7, "http://b.org/x", page("alone")),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    alone = "Menu\n\nalone\n\nFoot"
+    assert got == {1: "one\n\ntwo", 2: "one\n\ntwo", 3: "one\n\ntwo", 4: "three", 5: "one\n\ntwo", 6: alone, 7: alone}
