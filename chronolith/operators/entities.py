@@ -80,19 +80,27 @@ def status_of(score: Column) -> Column:
     return F.when(score >= DUPLICATE, "DUPLICATE").when(score >= EXISTING, "EXISTING").when(score >= RELATED, "RELATED").otherwise("NEW")
 
 
+def name_words() -> Column:
+    """Words of the name of three letters or more."""
+    return F.array_distinct(F.filter(F.split(T.plain(F.lower(F.coalesce("name", F.lit("")))), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))
+
+
 def match_use_cases(candidates: DataFrame, store: DataFrame, block: Column | None = None, store_block: Column | None = None) -> DataFrame:
     """status, use_case_id and score of each candidate's best match in the store; the first of equals; NEW has no match.
 
     Both have name, objective, actor, flow, trigger, functionalities; candidates a key ``cand_id``, the store use_case_id
-    and ord. Pairs are those that share a block; by default a word of the name of three letters or more. Candidates
-    that share no block with any row are NEW with score 0.
+    and ord. Every candidate is scored against the whole store, candidates dealt over tasks; where blocks (arrays, of both
+    sides) are given, only pairs that share one are, and candidates that share none with any row are NEW with score 0.
     """
-    names = lambda: F.array_distinct(F.filter(F.split(T.plain(F.lower(F.coalesce("name", F.lit("")))), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))
     fields = [f for f, _ in FIELD_WEIGHTS] + ["functionalities"]
-    c = candidates.select("cand_id", F.struct(*fields).alias("c"), F.explode(block if block is not None else names()).alias("__b"))
-    e = store.select("use_case_id", "ord", F.struct(*fields).alias("e"), F.explode(store_block if store_block is not None else names()).alias("__b"))
-    pairs = c.join(e, "__b").dropDuplicates(["cand_id", "use_case_id"]).withColumn("score", similarity())
-    pairs = pairs.where("score > 0")
+    c, e = F.struct(*fields).alias("c"), F.struct(*fields).alias("e")
+    if block is None and store_block is None:
+        dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        pairs = dealt.select("cand_id", c).crossJoin(store.select("use_case_id", "ord", e))
+    else:
+        mine = candidates.select("cand_id", c, F.explode(block).alias("__b"))
+        pairs = mine.join(store.select("use_case_id", "ord", e, F.explode(store_block).alias("__b")), "__b").dropDuplicates(["cand_id", "use_case_id"])
+    pairs = pairs.withColumn("score", similarity()).where("score > 0")
     best = pairs.groupBy("cand_id").agg(F.max_by(F.struct("use_case_id", "score"), F.struct("score", -F.col("ord"))).alias("m"))
     out = candidates.join(best, "cand_id", "left").withColumn("score", F.coalesce("m.score", F.lit(0.0)))
     out = out.withColumn("status", status_of(F.col("score")))

@@ -268,7 +268,7 @@ def phrases(spark, sf_dir):
 
 @register("use_case_similarity")
 def use_case_similarity(spark, sf_dir):
-    """Benchmark items by their first sentences against the same items by their last, blocked by words."""
+    """Benchmark items by their first sentences against the same items by their last, every pair."""
     b = table(spark, sf_dir, "benchmark")
     none = F.array().cast("array<string>")
     fields = lambda name, objective: [name.alias("name"), objective.alias("objective"), F.lit("").alias("actor"), F.lit("").alias("flow"), F.lit("").alias("trigger"), none.alias("functionalities")]

@@ -83,8 +83,8 @@ class Store:
 
     def match(self, candidates: DataFrame, blocked: bool = False) -> DataFrame:
         """Best stored use case of each candidate; every pair is compared unless ``blocked`` by words of the names."""
-        one = None if blocked else F.array(F.lit(""))
-        return entities.match_use_cases(candidates, self.table("use_cases"), one, one)
+        words = entities.name_words() if blocked else None
+        return entities.match_use_cases(candidates, self.table("use_cases"), words, words)
 
     def add_use_cases(self, candidates: DataFrame, force: bool = False) -> DataFrame:
         """Candidates (cand_id, fields, business_rules, evidence, confidence) become use cases, or evidence of their match."""
