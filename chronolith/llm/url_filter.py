@@ -61,13 +61,34 @@ def alias_key(host: Column, path: Column) -> Column:
     return F.concat(host, path)
 
 
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """The address that a reference on the page at ``host`` and ``path`` means, without query and fragment if relative.
+
+    Null for schemes without ``//``. Dot segments of relative references are taken out, the base path's among them.
+    """
+    given = F.regexp_extract(target, r"^([^?#]*)", 1)
+    whole = F.when(given.startswith("/"), given).otherwise(F.concat(F.regexp_extract(path, r"^(.*/)", 1), given))
+    parts = F.split(F.regexp_replace(whole, r"^/", ""), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    left = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(left, F.array(F.lit("")))).otherwise(left)
+    there = F.when(given == "", path).otherwise(F.concat(F.lit("/"), F.array_join(left, "/")))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(host != "", F.concat(F.lit("http://"), host, there))
+    )
+
+
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url, html).
 
     A rule that fits decides. Where none fits, addresses joined by redirects or canonical links (directly or through
     others) share decisions: blocked if any alias is blocked by a rule, unless an alias is allowed by a rule, as an
     explicit allow has precedence; allowed otherwise. ``redirects`` may give more edges, columns ``source`` and
-    ``target`` (addresses).
+    ``target`` (addresses). Links may be relative to the page's url; base elements aren't read.
 
     Null or malformed urls have empty host and path, fit no rule and alias nothing: allowed. Repeated rows are judged
     alike, each in its own row. Null html has no links. An empty table gives an empty result.
@@ -81,12 +102,8 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     base = base.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), "targets")
 
     to = F.explode("targets")
-    edges = base.where(F.size("targets") > 0).select(alias_key(F.col("host"), F.col("path")).alias("a"), to.alias("target"), "host")
-    absolute = (
-        F.when(F.col("target").contains("://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target"))
-        .when(F.col("target").startswith("/"), F.concat(F.lit("http://"), "host", "target"))
-    )
+    edges = base.where(F.size("targets") > 0).select(alias_key(F.col("host"), F.col("path")).alias("a"), to.alias("target"), "host", "path")
+    absolute = resolved(F.col("target"), F.col("host"), F.col("path"))
     edges = edges.select("a", alias_key(host_of(absolute), path_of(absolute)).alias("b"))
     if redirects is not None:
         more = pick(redirects, "source", "target")

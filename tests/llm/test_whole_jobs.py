@@ -3,9 +3,10 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
 from test_llm_small import docs
 
-from chronolith.llm import html_text, near_dup
+from chronolith.llm import html_text, near_dup, url_filter
 
 
 def test_chained_copies_are_one_component(spark):
@@ -65,3 +66,21 @@ def test_copies_of_a_page_keep_its_text(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     alone = "Menu\n\nalone\n\nFoot"
     assert got == {1: "one\n\ntwo", 2: "one\n\ntwo", 3: "one\n\ntwo", 4: "three", 5: "one\n\ntwo", 6: alone, 7: alone}
+
+
+def test_relative_links_carry_decisions(spark):
+    refs = ["b.html", "./b.html", "../x/b.html", "../../../x/b.html", "b.html?u=http://c.org/", "b.html#top"]
+    pages = [(i, f"http://a.org/x/p{i}", f'<link rel="canonical" href="{r}">') for i, r in enumerate(refs)]
+    pages += [(10, "http://a.org/x/q", '<meta http-equiv="refresh" content="0; url=b.html">'), (11, "http://a.org/x/", '<link rel=canonical href="b.html">')]
+    pages += [(12, "http://a.org/x/self", '<link rel=canonical href="?id=2">'), (13, "http://a.org/x/m", '<link rel=canonical href="mailto:b.html">')]
+    pages += [(14, "http://a.org/x/d/", '<link rel=canonical href="..">'), (15, "http://a.org", '<link rel=canonical href="x/b.html">')]
+    rules = (("block", "a.org", "/x/b.html"),)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(table, rules).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(len(refs)), 10, 11, 14, 15}
+
+
+def test_references_resolve_against_the_page(spark):
+    want = {"g": "/b/c/g", "../g": "/b/g", "../..": "/", "?y": "/b/c/d", "#s": "/b/c/d", "g/": "/b/c/g/", "./": "/b/c/", "/x/../g": "/g", "g/./h/../i": "/b/c/g/i"}
+    df = spark.createDataFrame([(t,) for t in want], "t string").select("t", url_filter.resolved(F.col("t"), F.lit("a.org"), F.lit("/b/c/d")).alias("u"))
+    assert {r["t"]: r["u"] for r in df.collect()} == {t: "http://a.org" + p for t, p in want.items()}
