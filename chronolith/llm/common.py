@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,13 +37,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(8)
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="chronolith-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset and all runs on this machine, as in
+    tests, a temporary one. Unset on a cluster is an error, as executors wouldn't see one another's files."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="chronolith-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
