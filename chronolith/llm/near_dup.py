@@ -19,8 +19,12 @@ BANDS, ROWS = 24, 5
 #: Hubs of each bucket in a round, chosen by an order of the bucket's own; from the second round on also the member with
 #: most links. These rounds end when one finds no link between texts that weren't joined yet, or after ROUNDS.
 HUBS, ROUNDS = 2, 2
-#: Hubs of each bucket in the first of the rounds that finish what is left, and how many times as many in each next one.
-LATER, GROWTH = 16, 16
+#: Members outside a bucket's largest component that still meet its members pair by pair; of more, tiles are compared.
+FEW = 4
+#: A chunk of a tile has about so many shingles, and as many documents as if each had PER_ROW more.
+CHUNK_SHINGLES, PER_ROW = 200_000, 200
+#: Shingles of fewer documents of a tile than this are counted pair by pair, others by a matrix product.
+OFTEN = 32
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
@@ -47,9 +51,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a normal text: polynomial over its bytes, mixed with its length."""
-    if not text:
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word of a normal text, of which a part of whole words is in work at a time."""
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        end = text.find(b" ", at + _CHUNK // 2)
+        end = len(text) if end < 0 else end
+        parts.append(_hashed(text[at:end]))
+        at = end + 1
+    return np.concatenate(parts)
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    """Of each word: polynomial over its bytes, mixed with its length."""
     size = max(_CHUNK, 1 << (len(text)).bit_length())
     up, down = _powers(size)
     data = np.frombuffer(text, np.uint8)
@@ -109,16 +122,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _sketched(batches):
     for batch in slices(batches):
-        digests, counts, keys = [], [], []
+        digests, counts, keys, texts = [], [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             text = normal(text)
             hashes = shingle_set(text)
             counts.append(len(hashes))
             digests.append(xxhash.xxh3_128_digest(text) if text else None)
             keys.append(band_keys(hashes) if text else None)
+            texts.append(text)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "digest", "bands"],
+            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.binary())],
+            ["doc_id", "n_shingles", "digest", "bands", "normal"],
         )
 
 
@@ -139,7 +153,7 @@ def _like(percent: int):
             left, right = [], []
             columns = [batch.column(c) for c in ("a", "b", "text_a", "text_b")]
             a_s, b_s = columns[0].to_pylist(), columns[1].to_pylist()
-            texts = [c.cast(pa.binary()).to_pylist() for c in columns[2:]]
+            texts = [c.to_pylist() for c in columns[2:]]
             for a, b, text_a, text_b in zip(a_s, b_s, *texts, strict=True):
                 x, y = of(a, text_a), of(b, text_b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -151,18 +165,6 @@ def _like(percent: int):
     return run
 
 
-def _texts(batches):
-    """Normal texts of the rows whose digest is the wanted one."""
-    for batch in slices(batches):
-        nodes, texts = [], []
-        for node, text, want in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("digest").to_pylist(), strict=True):
-            text = normal(text)
-            if xxhash.xxh3_128_digest(text) == want:
-                nodes.append(node)
-                texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["node", "text"])
-
-
 def _stars(members: DataFrame, labels: DataFrame | None, links: DataFrame | None, tested: DataFrame | None, number: int, percent: int) -> DataFrame:
     """Pairs a < b to compare in a round: each member of a bucket with the bucket's hubs that aren't joined to it yet."""
     # Exclusive or with a mask of the bucket orders the members anew in each bucket; the least is the hub.
@@ -189,33 +191,113 @@ def _stars(members: DataFrame, labels: DataFrame | None, links: DataFrame | None
     return edges if tested is None else edges.join(tested, ["a", "b"], "left_anti")
 
 
-def _unjoined(members: DataFrame, labels: DataFrame, number: int, most: int) -> DataFrame:
-    """The members of buckets whose members aren't all joined; ``hub``: about ``most`` of those outside the largest part.
-
-    A bucket with no more than ``most`` of those has all as hubs. The draw goes by node, so buckets have hubs in common.
-    """
+def _unjoined(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets whose members aren't all joined, with the bucket's largest part, the number of ``others``
+    and the number of chunks that its members are dealt over."""
     known = labels.select(F.col("node").alias("m"), "label")
     members = members.join(known, members.node == known.m, "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
     members = materialize(members, "labelled")
-    parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    buckets = parts.groupBy(F.col("key").alias("bucket")).agg(F.max_by("label", F.struct("size", "label")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n") + PER_ROW).alias("weight"))
+    buckets = parts.groupBy(F.col("key").alias("bucket")).agg(
+        F.max_by("label", F.struct("size", "label")).alias("main"),
+        (F.sum("size") - F.max("size")).alias("others"),
+        F.ceil(F.sum("weight") / CHUNK_SHINGLES).cast("int").alias("chunks"),
+    )
     buckets = buckets.where("others > 0")
-    draw = F.xxhash64("node", F.lit(number)).bitwiseAND(F.lit((1 << 30) - 1)) / (1 << 30)
-    hub = (F.col("label") != F.col("main")) & (draw * F.col("others") < most)
-    left = members.join(buckets, members.key == buckets.bucket).select("node", "n", "key", "label", hub.alias("hub"))
+    left = members.join(buckets, members.key == buckets.bucket).select("node", "n", "key", "label", "main", "others", "chunks")
     return materialize(left, "left")
 
 
 def _meetings(left: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b to compare: each hub with all members of its bucket that it isn't joined to."""
-    hubs = left.where("hub").select(F.col("key").alias("bucket"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-    met = left.join(hubs, left.key == hubs.bucket)
+    """Pairs a < b to compare: each member outside the largest part with all members of its bucket."""
+    few = left.where(F.col("others") <= FEW)
+    hubs = few.where("label <> main").select(F.col("key").alias("bucket"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    met = few.join(hubs, few.key == hubs.bucket)
     alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     met = met.where(alike & (F.col("label") != F.col("hub_label")))
     edges = met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
     return edges.join(tested, ["a", "b"], "left_anti")
 
 
+def _sets(batches):
+    for batch in slices(batches):
+        hashes = [shingle_set(text).view(np.int64) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(hashes, pa.list_(pa.int64()))], ["node", "hashes"])
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each two of some sets: a square matrix, of which what lies above the diagonal counts.
+
+    An element of few sets adds to each pair of them; the others, few in number, are columns of a matrix of ones.
+    """
+    d = len(sets)
+    rows = np.repeat(np.arange(d), [len(x) for x in sets])
+    items = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.lexsort((rows, items))
+    rows, items = rows[order], items[order]
+    count = np.bincount(items)
+    some = np.flatnonzero((count[items] > 1) & (count[items] < OFTEN))
+    few_rows, few_items = rows[some], items[some]
+    out = np.zeros(d * d, np.float32)
+    for k in range(1, OFTEN - 1):
+        same = np.flatnonzero(few_items[k:] == few_items[:-k])
+        if not len(same):
+            break
+        out += np.bincount(few_rows[same] * d + few_rows[same + k], minlength=d * d)
+    out = out.reshape(d, d)
+    often = np.flatnonzero(count >= OFTEN)
+    step = max(1, (1 << 22) // max(1, d))
+    for at in range(0, len(often), step):
+        cut = often[at : at + step]
+        there = np.flatnonzero((items >= cut[0]) & (items <= cut[-1]) & (count[items] >= OFTEN))
+        ones = np.zeros((d, len(cut)), np.float32)
+        ones[rows[there], np.searchsorted(cut, items[there])] = 1
+        out += ones @ ones.T
+    return out
+
+
+def _tile(percent: int):
+    """Joins (node, least node of its part of the tile) that the links of a tile make."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        node, label, chunk = (part.column(c).to_numpy() for c in ("node", "label", "chunk"))
+        sets = [np.asarray(x, np.int64) for x in part.column("hashes").to_numpy(zero_copy_only=False)]
+        n = np.array([len(x) for x in sets], np.float64)
+        both = common_shingles(sets)
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        linked &= label[:, None] != label[None, :]
+        if part.column("i")[0] != part.column("j")[0]:
+            linked &= chunk[:, None] != chunk[None, :]
+        x, y = np.nonzero(np.triu(linked, 1))
+        least = np.arange(len(node))
+        while True:  # the least row of each part of the tile
+            low = np.minimum(least[x], least[y])
+            before = least.copy()
+            np.minimum.at(least, x, low)
+            np.minimum.at(least, y, low)
+            least = least[least]
+            if (least == before).all():
+                break
+        moved = np.flatnonzero(least != np.arange(len(node)))
+        return pa.Table.from_arrays([pa.array(node[moved]), pa.array(node[least[moved]])], schema=schema)
+
+    return run
+
+
+def _tiles(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Joins among the members of buckets with many of them unjoined, all compared, chunk by chunk."""
+    many = left.where(F.col("others") > FEW).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    sets = texts.join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_sets, "node bigint, hashes array<bigint>")
+    sets = materialize(sets, "sets")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    dealt = many.select("node", "label", "key", "chunk", other)
+    dealt = dealt.select("node", "label", "key", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    tiles = dealt.join(sets, "node").select("node", "label", "key", "chunk", "i", "j", "hashes")
+    return materialize(tiles.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a bigint, b bigint"), "joins")
+
+
 def _verified(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole texts are alike enough."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -231,33 +313,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Texts are linked if the sets of their five-word shingles share ``percent`` of their union or more; component_id is
     the least doc_id that links reach. A text of fewer than five words has one shingle, all of it; an empty or null
     text has none and is linked with nothing. Equal word sequences, repeated rows among them, are one class, whose
-    links are found once. Rows without doc_id take part in no link and have neither component nor ``kept``. An empty
-    table gives an empty result.
-
-    Scale: one narrow pass makes sketches; classes of equal texts are aggregated before anything else, partially on
-    the map side, so a third of all rows being copies costs one row a partition. Bucket hubs are also aggregates, and a
-    bucket's members meet its hubs, not one another: edges are linear in the members, in each of ROUNDS rounds at most.
-    Rounds that follow draw hubs among the members outside a bucket's largest component, and hubs that have met all
-    others leave, until no bucket holds texts of two components that haven't been compared; their edges are as many as
-    the unjoined members times the bucket, as no fewer comparisons rule a link out. Joins that can have a hot key have
-    an exchange on either side for adaptive execution to split. Only texts of candidates are compared.
+    links are found once. Texts that share a doc_id are classes of their own, each with its links. Rows without doc_id
+    take part in no link and have neither component nor ``kept``. An empty table gives an empty result. A text of any
+    length is one value of a Python worker, which takes some ten bytes for each of its own at most.
+
+    Scale: one narrow pass makes sketches and keeps normal texts; classes of equal texts are aggregated before anything
+    else, partially on the map side, so a third of all rows being copies costs one row a partition. Bucket hubs are also
+    aggregates, and a bucket's members meet its hubs, not one another: edges are linear in the members, in each of ROUNDS
+    rounds at most. Then every member of a bucket that isn't joined to its largest part is compared with all members:
+    pair by pair if there are FEW of them, else in tiles of two chunks of bounded size, whose common shingles are counted
+    by matrix products, so that no row is made for a pair. That rest takes time with the square of a bucket of unlike
+    members, as no fewer comparisons rule a link out. Joins that can have a hot key have an exchange on either side for
+    adaptive execution to split. Only texts of candidates are compared.
     """
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(base.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "sketch")
-    classes = materialize(
+    rows = base.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, normal binary")
+    rows = materialize(rows.withColumn("tag", F.monotonically_increasing_id()), "sketch")
+    classes = (
         rows.where("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
+        .agg(F.min("doc_id").alias("first"), F.min("tag").alias("tag"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("bucket"))
     members = members.join(sizes, members.key == sizes.bucket).select("node", "n", "key")
     members = materialize(members, "members")
-    # Texts that share a bucket leave the documents once; a round reads those that it compares.
-    wanted = members.select("node").distinct().join(classes.select("node", "digest"), "node")
-    texts = base.join(wanted, base.doc_id == wanted.node).select("node", "text", "digest")
-    texts = materialize(texts.mapInArrow(_texts, "node bigint, text string"), "texts")
+    # Texts that share a bucket leave the sketches once, one of each class; a round reads those that it compares.
+    wanted = members.select("node").distinct().join(classes.select("node", "tag"), "node")
+    texts = materialize(rows.select("tag", F.col("normal").alias("text")).join(wanted, "tag").select("node", "text"), "texts")
     labels = links = tested = None
     for number in range(ROUNDS):
         edges = materialize(_stars(members, labels, links, tested, number, percent), "candidates")
@@ -266,23 +350,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             break
         links = new if links is None else links.union(new)
         tested = edges if tested is None else tested.union(edges)
-        labels = connected_components(links, labels)
-    # What stars left: hubs that have met all others of their bucket leave it, until each bucket is of one component.
-    left, most = members, LATER
-    while True:
-        number += 1
-        left = _unjoined(left, labels, number, most)
-        if left.isEmpty():
-            break
-        edges = materialize(_meetings(left, tested, percent), "candidates")
-        new = _verified(texts, edges, percent)
-        left, tested, most = left.where("not hub").select("node", "n", "key"), tested.union(edges), most * GROWTH
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = connected_components(links, labels)
-
-    found = classes.select("digest", "node").join(labels, "node", "left")
-    found = materialize(found.select("digest", F.coalesce("label", "node").alias("component")), "components")
+        labels = _joined(labels, new)
+    # What stars left: all members of a bucket that aren't joined yet are compared with all others of it.
+    left = _unjoined(members, labels)
+    edges = materialize(_meetings(left, tested, percent), "candidates")
+    labels = _joined(labels, _verified(texts, edges, percent).union(_tiles(left, texts, percent)))
+
+    # A component has the least doc_id of its classes.
+    named = labels.join(classes.select("node", "digest", "first"), "node")
+    named = materialize(named.select("label", "digest", "first"), "labelled")
+    least = materialize(named.groupBy("label").agg(F.min("first").alias("component")), "least")
+    found = named.join(least, "label").select("digest", "component")
+    rest = classes.join(labels, "node", "left_anti").select("digest", F.col("first").alias("component"))
+    found = materialize(found.union(rest), "components")
     plain = rows.select("doc_id", "n_shingles", "digest")
     return plain.join(found, "digest", "left").select(
         "doc_id",
@@ -292,6 +372,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
+def _joined(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Labels of the components once the new links are among them: known components enter as stars."""
+    edges = new.select("a", "b")
+    return connected_components(edges if labels is None else edges.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

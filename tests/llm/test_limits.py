@@ -1,0 +1,83 @@
+"""Sizes and shapes at which an operator might change its ways."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from test_llm_small import docs
+
+from chronolith.llm import graph, near_dup
+
+
+@pytest.mark.parametrize(("n", "numbering"), [(10_000, "random"), (300, "falling"), (300, "rising")])
+def test_components_of_long_chains(spark, n, numbering):
+    ids = list(range(n))
+    if numbering == "random":
+        random.Random(3).shuffle(ids)
+    elif numbering == "falling":
+        ids.reverse()
+    found = graph.connected_components(spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")).collect()
+    assert len(found) == n and {r["label"] for r in found} == {0} and len({r["node"] for r in found}) == n
+
+
+def _near(a, b, percent):
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _components(texts, percent):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    least = list(range(len(texts)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if _near(sets[i], sets[j], percent):
+            a, b = find(i), find(j)
+            least[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_common_shingles_equal_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 120))) for _ in range(90)] + [np.unique(rng.integers(0, 10**6, 50)) for _ in range(9)]
+    got = near_dup.common_shingles(sets)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+@pytest.mark.parametrize("chunk", [200_000, 3_000])
+def test_bucket_of_unlike_members_in_tiles(spark, monkeypatch, chunk):
+    """Copies of one text with a sixth of it anew: few are like the text, some are like each other."""
+    monkeypatch.setattr(near_dup, "CHUNK_SHINGLES", chunk)
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [text]
+    for _ in range(90):
+        copy = list(texts[rng.randrange(len(texts))] if rng.random() < 0.4 else text)
+        for _ in range(rng.choice((1, 3, 5))):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(5000)}"
+        texts.append(copy)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(spark, [" ".join(t) for t in texts])).collect()}
+    want = _components(texts, 85)
+    assert [got[i] for i in range(len(texts))] == want and 5 < len(set(want)) < 80
+
+
+def test_texts_that_share_a_doc_id_keep_their_links(spark):
+    rng = random.Random(2)
+    a, b = ([f"w{rng.randrange(900)}" for _ in range(200)] for _ in range(2))
+    rows = [(5, a), (5, b), (7, [*a, "x"]), (8, [*b, "y"]), (9, ["other"] * 7), (5, a)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()} == {(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)}
+
+
+def test_hashes_of_words_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abcé", k=rng.choice((1, 3, 40)))) for _ in range(3000)).encode()
+    whole = near_dup.word_hashes(text)
+    monkeypatch.setattr(near_dup, "_CHUNK", 64)
+    assert (near_dup.word_hashes(text) == whole).all() and len(whole) == 3000
