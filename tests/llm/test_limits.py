@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_llm_small import docs
 
-from chronolith.llm import graph, near_dup
+from chronolith.llm import graph, html_text, near_dup
 
 
 @pytest.mark.parametrize(("n", "numbering"), [(10_000, "random"), (300, "falling"), (300, "rising")])
@@ -81,3 +81,59 @@ def test_hashes_of_words_do_not_depend_on_chunks(monkeypatch):
     whole = near_dup.word_hashes(text)
     monkeypatch.setattr(near_dup, "_CHUNK", 64)
     assert (near_dup.word_hashes(text) == whole).all() and len(whole) == 3000
+
+
+def _page(*lines):
+    return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+
+
+def test_names_hide_no_article_and_differencing_settles_doubts(spark):
+    pages = {
+        1: ("http://a.org/1", '<div class="layout has-sidebar"><article><p>Hello main text</article><div class="sidebar">s</div></div>'),
+        2: ("http://a.org/b/1", '<form id="social-history"><article><header><h1>Title</h1></header><div class="recipe cookies">Bake</div><div class="share-row">Tell all</div><p>One</p></article></form>'),
+        3: ("http://a.org/b/2", '<article><header><h1>Other</h1></header><div class="share-row">Tell all</div><p>One</p></article>'),
+        4: ("http://c.org/", '<aside><article>Teaser</article></aside><article>Real<article class="comment">Reader</article></article>'),
+        5: ("http://d.org/", '<div class="footer-links"><p>Links</p></div><div hidden><article>Unseen</article></div><div role="main"><p>Role</div>tail'),
+    }
+    rows = [(i, u, h) for i, (u, h) in pages.items()]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Hello main text", 2: "Title\n\nBake\n\nOne", 3: "Other\n\nOne", 4: "Real", 5: "Role"}
+
+
+def _plain_text(rows, page_id):
+    """The lines of a page of plain divs that its nearest unlike page lacks, by a table of all prefixes."""
+    own = next(r for r in rows if r[0] == page_id)
+    host = sorted((r[1], r[0], r[2]) for r in rows)
+    prefix = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    copies = [i for i, r in enumerate(host) if r[2] == own[2]]
+    best = []
+    for i in copies:
+        for side in (-1, 1):
+            j = i + side
+            if 0 <= j < len(host) and host[j][2] != own[2]:
+                best.append((prefix(host[i][0], host[j][0]), -side, -i, host[j][2]))
+    if not best:
+        return own[2]
+    a, b = own[2], max(best)[3]
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+    return len(a) - size[len(a)][len(b)]
+
+
+def test_extraction_by_differencing_equals_brute_force(spark):
+    rng = random.Random(12)
+    menus = [["Home", "News", "About"], ["Start", "Shop"]]
+    rows = []
+    for i in range(60):
+        body = [f"Line {rng.randrange(4000)} of page" for _ in range(rng.randrange(1, 6))]
+        rows.append((i, f"http://h.org/{rng.choice('ab')}/{rng.randrange(10**6)}", [*rng.choice(menus), *body, "Imprint", "Privacy"]))
+    rows += [(100 + i, rows[i][1] + "0", rows[i][2]) for i in (3, 4, 4)]
+    table = spark.createDataFrame([(i, u, _page(*lines)) for i, u, lines in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.extract_text(table).collect()}
+    for i, _, lines in rows:
+        want = _plain_text(rows, i)
+        assert len([x for x in got[i] if x]) == (len(want) if isinstance(want, list) else want)
+        rest = iter(lines)
+        assert all(x in rest for x in got[i] if x) and any(x.startswith("Line") for x in got[i])
