@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import assert_same
 from test_llm_small import docs
 
-from chronolith.llm import graph, html_text, near_dup
+from chronolith.llm import graph, html_text, near_dup, url_filter
 
 
 @pytest.mark.parametrize(("n", "numbering"), [(10_000, "random"), (300, "falling"), (300, "rising")])
@@ -137,3 +139,31 @@ def test_extraction_by_differencing_equals_brute_force(spark):
         assert len([x for x in got[i] if x]) == (len(want) if isinstance(want, list) else want)
         rest = iter(lines)
         assert all(x in rest for x in got[i] if x) and any(x.startswith("Line") for x in got[i])
+
+
+def test_planted_links_equal_sql_and_queries_tell_pages_apart(spark):
+    rng = random.Random(9)
+    hosts = ["a.org", "b.net", "x.example.com", "c.example.net", "d.io", "e.io", "f.io"]
+    where = lambda: rng.choice(["/p", "/de/q", "/fr/r", "/en/s", "/t/u/v", "/", ""]) + rng.choice(["", "", "?id=1", "?id=2"])
+    refs = lambda: rng.choice([f"http://{rng.choice(hosts)}{where()}", f"//{rng.choice(hosts)}/p", "/de/q", "q", "../q", "./w/../z", "?id=2", "#x", "", "mailto:x", "u?to=http://b.net/"])
+    tag = lambda r: rng.choice([f'<link rel="canonical" href="{r}">', f"<LINK href='{r}' rel=canonical>", f'<meta http-equiv="refresh" content="0; url={r}">'])
+    rows = [(i, f"http://{rng.choice(hosts)}{where()}", "<head>" + "".join(tag(refs()) for _ in range(rng.choice((0, 1, 1, 2))))) for i in range(150)]
+    rows += [(900, None, tag("http://b.net/")), (901, "no address", tag("p")), (902, "http://f.io/one", None), (902, "http://f.io/one", None)]
+    rows += [(910, "http://g.io/p?id=1", tag("http://only.net/")), (911, "http://g.io/p?id=2", ""), (912, "http://g.io/p", tag("?id=1"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    got = url_filter.judge_urls(frame)
+    assert assert_same(got, con, url_filter.ORACLE)
+    verdicts = {r["page_id"]: r["verdict"] for r in got.collect()}
+    assert [verdicts[i] for i in (910, 911, 912)] == ["block", "allow", "block"]
+    assert {r["verdict"] for r in got.where("rule is null").collect()} == {"allow", "block"}
+
+
+def test_alias_chain_of_many_pages(spark):
+    ids = list(range(1000))
+    random.Random(4).shuffle(ids)
+    rows = [(i, f"http://h.io/{a}", f'<link rel=canonical href="/{b}">') for i, (a, b) in enumerate(itertools.pairwise(ids))]
+    rows.append((5000, f"http://h.io/{ids[-1]}", '<link rel=canonical href="http://b.net/">'))
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got.where("verdict = 'block'").count() == len(rows)
