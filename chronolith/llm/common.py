@@ -33,6 +33,21 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"__c{i}").alias(n) for i, n in zip(found, names, strict=True)])
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with the named columns under these names and all others under names that clash with nothing, and the names.
+
+    With ``select(*the names).toDF(*docs.columns)`` the columns are as they were.
+    """
+    places = {}
+    for name in names:
+        at = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+        if not at:
+            raise ValueError(f"no column {name!r} among {docs.columns}")
+        places[at[0]] = name
+    renamed = [places.get(i, f"__c{i}") for i in range(len(docs.columns))]
+    return docs.toDF(*renamed), renamed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

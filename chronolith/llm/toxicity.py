@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections import Counter
 
 import numpy as np
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, slices, table
+from .common import materialize, pick, set_aside, slices, table
 
 #: Labelled rows, about, that the model is fitted on; one half makes the lexicon, the other the weights.
 SAMPLE_ROWS = 24_000
@@ -104,7 +104,7 @@ class Lexicon:
         """The nearest term within its allowed edits and their number; of several, the first by edits, then order."""
         if word in self.terms:
             return word, 0
-        k = edits_allowed(len(word) + 1)
+        k = edits_allowed(len(word) + 2)  # as many as the longest term in reach allows
         if not k or word in self.ordinary or not self.may_be_near(word):
             return None
         automaton, best = Levenshtein(word, k), None
@@ -147,12 +147,14 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     plain = misspelled = quoted = most = 0.0
     count = 0
     lowered = _ODD.sub(lambda m: '"' if _QUOTES.match(m.group()) else " ", text.lower())
-    marks = [i for i, c in enumerate(lowered) if c == '"']
+    marks = [m.start() for m in re.finditer('"', lowered)]
+    lines = [0, *[m.end() for m in re.finditer("\n", lowered)]]
     spans = [(m.start(), m.group()) for m in _WORD.finditer(lowered)]
     for i, (a, word) in enumerate(spans):
         if word.encode() not in hits or not (found := lexicon.near(word.encode())):
             continue
-        open_quote = marks and (bisect(marks, a) - bisect(marks, lowered.rfind("\n", max(0, a - 4000), a))) % 2
+        line = lines[bisect(lines, a) - 1]
+        open_quote = marks and (bisect(marks, a) - bisect_left(marks, line)) % 2
         term, edits = found
         weight = lexicon.terms[term]
         around = [w for _, w in spans[max(0, i - WINDOW) : i + WINDOW + 1]]
@@ -329,10 +331,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, by a model of the labels that aren't held out."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those predicted to be toxic."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return score_toxicity(docs, labels, keep=rest, with_text=True).where("predicted = 0").select(*docs.columns)
+    plain, names = set_aside(docs, "doc_id", "text")
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    scored = score_toxicity(plain, labels, keep=rest, with_text=True)
+    return scored.where("predicted = 0").select(*names).toDF(*docs.columns)
