@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -14,23 +15,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, slices, table
+from .common import pick, set_aside, slices, table
 
 #: Labelled findings that a forest is trained on, at most; more are sampled by hash.
 MOST_FINDINGS = 20_000
 TREES, DEPTH, LEAF = 40, 10, 3
 #: A candidate with this share of votes or more is a secret.
 VOTES = 0.5
+#: Signs of what is left of a candidate beside another one, at least.
+LEAST = 6
 MASK = "[SECRET]"
 
 #: Shapes of candidates: name, what a lower-cased text has if there is one, pattern.
 _SHAPES = (
     ("key_id", ("akia", "asia", "aida", "aroa"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("prefixed", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "aiza", "glpat-"), re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20,})")),
-    ("private_key", ("-----begin",), re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?")),
+    ("private_key", ("-----begin",), re.compile(
+        r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:(?:\s|\\[nr])++[A-Za-z][A-Za-z0-9-]*+:[ \t][^\r\n\\]*+)*+"  # headers of an encrypted key
+        r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{1,15}(?=(?:\s|\\[nr])*+(?:-----END|\Z)|[ \t]*\n))?"
+        r"(?:(?:\s|\\[nr])*+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?"
+    )),
     ("web_token", ("eyj",), re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("assigned", ("passw", "pwd", "passphrase", "secret", "token", "key", "credential"), re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|credentials?)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'<>,;]{6,})")),
-    ("dense", (), re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9@])")),
+    ("dense", (), re.compile(r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9@])")),
 )
 #: What a text with a dense candidate has.
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}")
@@ -47,7 +54,11 @@ _NEAR = re.compile(r"[A-Za-z0-9]+")
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, shape) of what may be a secret, in order; of overlapping ones, the first shape's."""
+    """(start, end, shape) of what may be a secret, in order.
+
+    Where they overlap, the first shape has the place, and what the others have before and after it stays, if it is
+    LEAST signs long or longer, so that all of a text that any shape finds is judged.
+    """
     if not text:
         return []
     low = text.lower()
@@ -55,15 +66,20 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     for shape, hints, pattern in _SHAPES:
         if any(h in low for h in hints) if hints else _RUN.search(text):
             found += [(*m.span(1 if pattern.groups else 0), shape) for m in pattern.finditer(text)]
-    order = {shape: i for i, (shape, _, _) in enumerate(_SHAPES)}
-    found.sort(key=lambda x: (x[0], order[x[2]]))
-    kept: list[tuple[int, int, str]] = []
-    for c in found:
-        if kept and c[0] < kept[-1][1]:
-            if order[c[2]] < order[kept[-1][2]]:
-                kept[-1] = c
-        else:
-            kept.append(c)
+    kept: list[tuple[int, int, str]] = []  # apart from one another, in order
+    for shape in dict.fromkeys(x[2] for x in found):  # in the order of shapes
+        taken, fresh, i = kept, [], 0
+        for a, b in ((a, b) for a, b, s in found if s == shape):
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            at, j = a, i
+            while j < len(taken) and taken[j][0] < b:
+                if taken[j][0] - at >= LEAST:
+                    fresh.append((at, taken[j][0], shape))
+                at, j = max(at, taken[j][1]), j + 1
+            if b - at >= LEAST or at == a:
+                fresh.append((at, b, shape))
+        kept = sorted(taken + fresh)
     return kept
 
 
@@ -88,13 +104,10 @@ FEATURES = ("length", "entropy", "kinds", "transitions", "pairs", "figures", "co
 
 def measures(candidate: str, before: str, after: str, path: str | None) -> list[float]:
     """Length, character transitions, dictionary coverage, path and neighbouring words of a candidate, as numbers."""
-    cut = candidate[:256]
-    n = len(cut) or 1
-    counts: dict[str, int] = {}
-    for c in cut:
-        counts[c] = counts.get(c, 0) + 1
-    kinds = [_kind(c) for c in cut]
-    low = cut.lower()
+    n = len(candidate) or 1
+    counts = Counter(candidate)
+    kinds = [_kind(c) for c in candidate]
+    low = candidate.lower()
     usual = _usual()
     covered = np.zeros(n, bool)
     for word in PLACEHOLDERS:
@@ -116,8 +129,8 @@ def measures(candidate: str, before: str, after: str, path: str | None) -> list[
         float(len(near & _TELLING)),
         float(len(near & _HARMLESS)),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
-        float(bool(re.fullmatch(r"[0-9a-fA-F]+", cut))),
-        float(bool(re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|AIza|glpat-|eyJ|-----BEGIN", cut))),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", candidate))),
+        float(bool(re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|AIza|glpat-|eyJ|-----BEGIN", candidate))),
     ]
 
 
@@ -131,6 +144,7 @@ def made_findings(n: int = 6000, seed: int = 9) -> list[tuple[str, str, str, str
     some = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     hexes, alnum, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     words = [*PLACEHOLDERS, "north", "river", "table", "window", "letter", "simple", "garden", "market"]
+    plain = [w for w in words if w not in PLACEHOLDERS] + "summer winter dragon monkey tiger hunter orange silver".split()
     prose = lambda: " ".join(rng.choice(words[20:]) for _ in range(3)) + " "
     ask = lambda: rng.choice(["password=", "token = \"", "secret: ", "api_key=", "access_key = '", "passwd: ", "pwd="])
     out = []
@@ -146,6 +160,8 @@ def made_findings(n: int = 6000, seed: int = 9) -> list[tuple[str, str, str, str
                     lambda: (some(hexes, rng.choice([16, 20, 32, 40, 64])), prose() + ask()),
                     lambda: (some(alnum, rng.randint(10, 44)), prose() + ask()),
                     lambda: (some(alnum + "!@#$%^&*", rng.randint(8, 20)), prose() + ask()),
+                    lambda: (rng.choice(plain) + some(string.digits, rng.randint(1, 4)) + rng.choice(["", "!", "$", rng.choice(plain), rng.choice(plain) + some(string.digits, 1)]), prose() + ask()),
+                    lambda: (rng.choice(plain).capitalize() + rng.choice(["_", "@", ""]) + some(string.digits, rng.randint(2, 6)) + rng.choice(["!", "#", ""]), prose() + ask()),
                     lambda: ("eyJ" + some(alnum, 20) + "." + some(alnum, 30) + "." + some(alnum, 40), prose() + rng.choice(["bearer ", ask()])),
                     lambda: ("-----BEGIN RSA PRIVATE KEY-----\n" + some(alnum + "+/", 120), prose()),
                 ]
@@ -261,6 +277,14 @@ def scan_text(text: str | None, path: str | None, forest: Forest) -> tuple[int,
     return len(found), [(a, b, shape, float(v)) for (a, b, shape), v in zip(found, votes, strict=True) if v >= VOTES]
 
 
+def masked(text: str | None, found: list[tuple[int, int, str, float]]) -> str | None:
+    """The text with MASK in place of each finding."""
+    if not found:
+        return text
+    edges = [0, *[x for a, b, _, _ in found for x in (a, b)], len(text)]
+    return MASK.join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, keep: list[str] | None = None, path_column: str = "source") -> DataFrame:
     """doc_id, n_candidates, n_secrets, findings, findings_sha256, redacted of every row of docs (doc_id, text, source).
 
@@ -288,9 +312,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, keep: list[
                 counts.append(n)
                 all_found.append([dict(zip(("start", "end", "shape", "votes"), f, strict=True)) for f in found])
                 digests.append(hashlib.sha256(",".join(f"{a}:{b}:{shape}" for a, b, shape, _ in found).encode()).hexdigest())
-                for a, b, _, _ in reversed(found):
-                    text = text[:a] + MASK + text[b:]
-                texts.append(text)
+                texts.append(masked(text, found))
             names = batch.schema.names[:-2]
             out = {c: batch.column(c) for c in names}
             out["n_candidates"] = pa.array(counts, pa.int64())
@@ -306,14 +328,18 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, keep: list[
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the secrets of every document."""
     return scan_secrets(table(spark, sf_dir, "documents")).drop("findings", "redacted")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with secrets in text masked, and n_chars, if there is one, counted anew."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    scanned = scan_secrets(docs, keep=rest)
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("redacted")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("n_secrets") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return scanned.select(*[v.alias(c) for c, v in columns.items()])
+    counted = ["n_chars"] * ("n_chars" in docs.columns)
+    sourced = ["source"] * ("source" in docs.columns)
+    plain, names = set_aside(docs, "doc_id", "text", *counted, *sourced)
+    kept = [c for c in names if c not in ("doc_id", "text")]
+    scanned = scan_secrets(plain, keep=kept)
+    columns = {c: F.col(c) for c in names} | {"text": F.col("redacted")}
+    for c in counted:
+        columns[c] = F.when(F.col("n_secrets") > 0, F.length("redacted").cast(plain.schema[c].dataType)).otherwise(F.col(c))
+    return scanned.select(*[v.alias(c) for c, v in columns.items()]).toDF(*docs.columns)
