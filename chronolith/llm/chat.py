@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import global_rank, materialize, pick, table
@@ -39,10 +39,12 @@ def marker_of(text: Column) -> Column:
     return out
 
 
-def without_marker(text: Column) -> Column:
-    for role in ROLES:
-        text = F.regexp_replace(text, _marker(role), "")
-    return F.trim(F.regexp_replace(text, r"<\|(?:im_end|end|eot_id)\|>\s*$", ""))
+def without_marker(text: Column, role: Column) -> Column:
+    """The text without one speaker marker of the given role at its head, and without a mark of its end."""
+    out = text
+    for name in ROLES:
+        out = F.when(role == name, F.regexp_replace(text, _marker(name), "")).otherwise(out)
+    return F.trim(F.regexp_replace(out, r"<\|(?:im_end|end|eot_id)\|>\s*$", ""))
 
 
 #: Sizes of the line features: marker, length, lines, question, list or code, opening words of an instruction.
@@ -195,7 +197,7 @@ def _joined(summaries: list) -> dict[int, tuple[int | None, int | None, int | No
 
 
 def _decoder(hmm: Hmm, shipped):
-    schema = pa.schema([("rank", pa.int64()), ("found", pa.int32()), ("begins", pa.bool_())])
+    schema = pa.schema([("block", pa.int64()), ("rank", pa.int64()), ("found", pa.int32()), ("begins", pa.bool_()), ("start", pa.int64())])
 
     def run(part: pa.Table) -> pa.Table:
         part, conv, observed = _ordered(part)
@@ -208,9 +210,14 @@ def _decoder(hmm: Hmm, shipped):
             found = viterbi(hmm, emitted[a:b], was, last)
             begins += [x != y for x, y in zip([was, *found], found, strict=False)]
             roles += found
-        return pa.Table.from_arrays([part.column("rank").cast(pa.int64()), pa.array(roles, pa.int32()), pa.array(begins, pa.bool_())], schema=schema)
+        ranks, starts, start = part.column("rank").cast(pa.int64()), [], None
+        for rank, new in zip(ranks.to_pylist(), begins, strict=True):
+            start = rank if new else start
+            starts.append(start)
+        blocks = part.column("block").cast(pa.int64())
+        return pa.Table.from_arrays([blocks, ranks, pa.array(roles, pa.int32()), pa.array(begins, pa.bool_()), pa.array(starts, pa.int64())], schema=schema)
 
-    return run, "rank bigint, found int, begins boolean"
+    return run, "block bigint, rank bigint, found int, begins boolean, start bigint"
 
 
 def held_out(conv_id: Column) -> Column:
@@ -247,13 +254,15 @@ def train(rows: DataFrame) -> Hmm:
 
 
 def parse_chats(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """conv_id, turn, role, role_found, begins_turn, rendered of every row of rows (conv_id, turn, text, and role if known).
+    """conv_id, turn, role, role_found, begins_turn, rendered, rank, start of every row of rows (conv_id, turn, text, and
+    role if known); ``render_turns`` joins them to turns.
 
     Rows are lines or turns of transcripts. The roles of a conversation's rows, in the order of turn, are the best path
     of a hidden Markov model whose states are ROLES; its tables are counted from rows with a known role (conversations
     held out by the checksum of conv_id are never counted), or usual ones without such rows. ``begins_turn``: its role
     differs from the row before; a canonical turn is such a row and those after it, up to the next. ``rendered``: the
-    text without its speaker marker; a row that begins a turn has a canonical head, ``<|role|>`` and a new line.
+    text without a speaker marker of the role found; a row that begins a turn has a canonical head, ``<|role|>`` and a
+    new line. ``rank`` is the place of a row among all, ``start`` that of the row which begins its turn.
 
     Null conv_id is a conversation of its own, null turns come first; rows with equal turns follow the order of their
     texts; repeated rows are lines like others. Null and empty texts are short lines. An empty table gives an empty
@@ -280,15 +289,34 @@ def parse_chats(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     summaries = narrow.groupBy("block").applyInArrow(function, schema)
     shipped = rows.sparkSession.sparkContext.broadcast(_joined(sorted((r.asDict() for r in summaries.collect()), key=lambda r: r["block"])))
     function, schema = _decoder(hmm, shipped)
-    found = narrow.groupBy("block").applyInArrow(function, schema)
+    found = materialize(narrow.groupBy("block").applyInArrow(function, schema), "roles")
+    # A turn that goes on from an earlier block began at the last row before that does; a row for each block is gathered.
+    last = found.groupBy("block").agg(F.max("start").alias("start"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("block", F.last("start", ignorenulls=True).over(before).alias("carried"))
+    found = found.join(F.broadcast(carried), "block").select("rank", "found", "begins", F.coalesce("start", "carried").alias("start"))
     name = F.element_at(F.array(*map(F.lit, ROLES)), F.col("found") + 1)
-    plain = without_marker(F.coalesce("text", F.lit("")))
+    plain = without_marker(F.coalesce("text", F.lit("")), F.col("role_found"))
     out = ranked.select("rank", "conv_id", "turn", "role", "text").join(found, "rank").withColumn("role_found", name)
     head = F.when(F.col("begins"), F.concat(F.lit("<|"), "role_found", F.lit("|>\n"))).otherwise(F.lit(""))
-    return out.select("conv_id", "turn", "role", "role_found", F.col("begins").alias("begins_turn"), F.concat(head, plain).alias("rendered"))
+    return out.select("conv_id", "turn", "role", "role_found", F.col("begins").alias("begins_turn"), F.concat(head, plain).alias("rendered"), "rank", "start")
+
+
+def render_turns(parsed: DataFrame) -> DataFrame:
+    """conv_id, turn, role_found, n_rows, rendered of every canonical turn of what parse_chats returns.
+
+    ``turn`` is that of the turn's first row. ``rendered`` is the head and the texts of all its rows, by line breaks, in
+    their order; a turn is one value, so its rows meet in one task, but those of a conversation don't.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "rendered"))), lambda x: x["rendered"])
+    turns = parsed.groupBy("start").agg(
+        F.min_by("conv_id", "rank").alias("conv_id"), F.min_by("turn", "rank").alias("turn"), F.min("role_found").alias("role_found"),
+        F.count(F.lit(1)).alias("n_rows"), F.array_join(lines, "\n").alias("rendered"),
+    )
+    return turns.drop("start")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of conversations, its text as if the role weren't known, which is counted in training only."""
-    parsed = parse_chats(table(spark, sf_dir, "conversations"))
-    return parsed.select("conv_id", "turn", "role", "role_found", "begins_turn", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"))
+    """Every canonical turn of conversations, found as if roles weren't known, which are counted in training only."""
+    turns = render_turns(parse_chats(table(spark, sf_dir, "conversations")))
+    return turns.select("conv_id", "turn", "role_found", "n_rows", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"))
