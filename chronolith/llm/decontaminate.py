@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, slices, table
+from .common import materialize, pick, set_aside, slices, table
 
 WINDOW = 10
-#: Words of an item block whose tables one pass ships to the executors; larger benchmarks take several passes.
-BLOCK_WORDS = 2_000_000
+#: Words of an item block whose tables one pass ships to the executors, and bytes of its texts; larger benchmarks take
+#: several passes. A worker's tables take some 1,200 bytes a word, so 120 MB.
+BLOCK_WORDS, BLOCK_BYTES = 100_000, 4_000_000
 
 #: Bytes that aren't of a word become spaces, A-Z become a-z; all bytes from 0x80 belong to words.
 _FOLD = bytes(
@@ -97,17 +98,18 @@ def mark(words: list[bytes], searchers: list[WuManber], spans: list[tuple[int, i
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """Items in blocks of about ``most`` words; the driver holds one block at a time."""
-    block, words = [], 0
+    """Items in blocks of about ``most`` words or BLOCK_BYTES, and at least one; the driver holds one block at a time."""
+    block, words, size = [], 0, 0
     for name, text in pick(benchmark, "item_id", "text").where("item_id is not null").select(
         F.col("item_id").cast("string"), F.col("text").cast("string").cast("binary")
     ).toLocalIterator():
         text = bytes(text) if text is not None else None
         block.append((name, text))
         words += len(words_of(text))
-        if words >= most:
+        size += len(text or b"")
+        if words >= most or size >= BLOCK_BYTES:
             yield block
-            block, words = [], 0
+            block, words, size = [], 0, 0
     yield block
 
 
@@ -122,8 +124,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     benchmark marks nothing; an empty docs table gives an empty result.
 
     One narrow pass over the documents for each block of the benchmark, no exchange. A block's tables are broadcast;
-    their size is bounded by ``block_words``, and a larger benchmark takes more passes over what the ones before have
-    found, so neither driver nor executors hold more than a block for each pass.
+    their size is bounded by ``block_words`` and BLOCK_BYTES, but for a single longer item. A larger benchmark takes more
+    passes, each over what the one before has written to the shared folder, so neither driver nor executors hold more
+    than one block. A text of any length is one value of a Python worker, some sixty bytes for each of its words.
     """
     keep = keep or []
     spark = docs.sparkSession
@@ -136,6 +139,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
         after = next(blocks, None)
         shipped = spark.sparkContext.broadcast(block)
         now = now.mapInArrow(_marker(shipped, after is None, with_text), _schema(head, after is None, with_text))
+        if after is not None:
+            now = materialize(now, "marked")
+            shipped.destroy()
         block = after
     return now
 
@@ -183,15 +189,17 @@ def _marker(shipped, last: bool, with_text: bool):
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document has of the benchmark's windows."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those that hold a window of the benchmark."""
-    names = docs.columns
+    plain, names = set_aside(docs, "doc_id", "text")
     rest = [c for c in names if c not in ("doc_id", "text")]
-    return find_contamination(docs, benchmark, keep=rest, with_text=True).where(~F.col("contaminated")).select(*names)
+    found = find_contamination(plain, benchmark, keep=rest, with_text=True)
+    return found.where(~F.col("contaminated")).select(*names).toDF(*docs.columns)
 
 
 ORACLE = r"""
