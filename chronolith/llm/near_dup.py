@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, slices, table
+from .common import materialize, pick, set_aside, slices, table
 from .graph import connected_components
 
 SHINGLE = 5
@@ -379,6 +379,7 @@ def _joined(labels: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and size of every document, linked at 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -387,8 +388,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows repeated with the same doc_id and text are one document and stay or go together; rows without doc_id stay.
     """
-    dropped = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    plain, names = set_aside(docs, "doc_id", "text")
+    dropped = near_duplicates(plain.select("doc_id", "text"), percent).where("not kept").select("doc_id").distinct()
+    return plain.join(dropped, "doc_id", "left_anti").select(*names).toDF(*docs.columns)
 
 
 ORACLE = r"""

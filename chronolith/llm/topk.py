@@ -26,7 +26,8 @@ def quantised(vectors: list) -> list[np.ndarray | None]:
     """floor(256 * x) of each component, x as double; None for a vector that takes no part.
 
     These are null vectors and those with null or non-finite components. Components of 2**40 and more stay floats,
-    which are whole numbers, and turn into Python integers in exact products.
+    which are whole numbers, and turn into Python integers in exact products. A component that is finite and 256 times
+    of which isn't raises an error, as its scores have more than 64 bits.
     """
     out: list[np.ndarray | None] = []
     for v in vectors:
@@ -34,9 +35,11 @@ def quantised(vectors: list) -> list[np.ndarray | None]:
             out.append(None)
             continue
         x = np.array(v, np.float64)
-        with np.errstate(over="ignore", invalid="ignore"):
-            x = np.floor(256 * x)
-        out.append(x if np.isfinite(x).all() else None)
+        if not np.isfinite(x).all():
+            out.append(None)
+            continue
+        with np.errstate(over="raise"):
+            out.append(np.floor(256 * x))
     return out
 
 
@@ -183,6 +186,7 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every other vector for each vector whose vec_id is divisible by 50."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
