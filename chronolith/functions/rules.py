@@ -6,7 +6,10 @@ once ``java`` has added the flags that make them Unicode-aware.
 
 from __future__ import annotations
 
+import functools
 import re
+from re import _constants as constants
+from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,6 +134,49 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
 
 
+def needed(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match of a pattern of lower case holds one at least; empty if there is no telling.
+
+    Searching for them is many times faster than a Unicode-aware regular expression, which then runs where one occurs.
+    """
+
+    def runs(parts) -> tuple[str, ...]:
+        best, run = (), ""
+        for op, arg in [*parts, (None, None)]:
+            if op is constants.LITERAL and chr(arg) != "ſ":
+                run += chr(arg)
+                continue
+            if len(run) > min(map(len, best), default=0):
+                best = (run,)
+            run, inner = "", ()
+            if op is constants.SUBPATTERN:
+                inner = runs(arg[3])
+            elif op is constants.BRANCH:
+                each = [runs(x) for x in arg[1]]
+                inner = tuple(w for x in each for w in x) if all(each) else ()
+            elif op is constants.MAX_REPEAT and arg[0] > 0:
+                inner = runs(arg[2])
+            if inner and min(map(len, inner)) > min(map(len, best), default=0):
+                best = inner
+        return best
+
+    return tuple(dict.fromkeys(runs(parser.parse(pattern))))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, and what else a pattern that ignores case takes for a plain letter as that letter."""
+    return F.translate(F.lower(text), "ſıİ", "sii")
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """False only where the folded text can't match the pattern."""
+    words = needed(pattern)
+    out = F.lit(True) if not words else low.contains(words[0])
+    for word in words[1:]:
+        out = out | low.contains(word)
+    return out
+
+
 _EDGE = r"[^\p{L}\p{N}_]"
 
 
@@ -146,8 +192,16 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(java(pattern)), F.lit(False))
+def matches(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether a pattern occurs; with the folded text, the pattern runs only where it may."""
+    hit = text.rlike(java(pattern))
+    return F.coalesce(hit if low is None else may_match(low, pattern) & hit, F.lit(False))
+
+
+def once(make, *columns: Column) -> Column:
+    """``make`` of the columns, each of which is evaluated once a row, however often its result is used."""
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return F.transform(F.array(row), lambda x: make(*[x[f"c{i}"] for i in range(len(columns))]))[0]
 
 
 def first_match(conditions: list[tuple[Column, str]], otherwise: Column) -> Column:
@@ -160,7 +214,7 @@ def first_match(conditions: list[tuple[Column, str]], otherwise: Column) -> Colu
 
 def topics_of(text: Column, topics=TOPICS) -> Column:
     """Names of the topics whose pattern occurs, in the order of the rules."""
-    return F.array_compact(F.array(*[F.when(matches(text, p), F.lit(n)) for n, p in topics]))
+    return once(lambda t, low: F.array_compact(F.array(*[F.when(matches(t, p, low), F.lit(n)) for n, p in topics])), text, folded(text))
 
 
 def is_intent(text: Column, pattern: str = INTENT) -> Column:
@@ -181,11 +235,14 @@ def grid_lines(text: Column) -> Column:
 def artifact_of(text: Column, signals=ARTIFACT_SIGNALS, most: int = 8) -> Column:
     """Struct of class, cues, score: distinct matched tokens a class, a bonus for grids; the earlier class wins ties.
 
-    Every pattern is applied once: the classes are compared as structs of score and rank. Select its fields in a
-    projection of their own.
+    Every pattern is applied once at most, where its literals occur: the classes are compared as structs of score and
+    rank. Select its fields in a projection of their own.
     """
-    low, grid = F.lower(F.coalesce(text, F.lit(""))), grid_lines(text)
-    token = lambda p: F.trim(F.regexp_extract(low, "(?sU)" + p.replace(".*", r"[^\n]*"), 0))
+    return once(lambda low, grid: _artifact(low, grid, signals, most), F.lower(F.coalesce(text, F.lit(""))), grid_lines(text))
+
+
+def _artifact(low: Column, grid: Column, signals, most: int) -> Column:
+    token = lambda p: F.when(may_match(low, p), F.trim(F.regexp_extract(low, "(?sU)" + p.replace(".*", r"[^\n]*"), 0))).otherwise("")
     found = F.array(*[F.array_distinct(F.filter(F.array(*map(token, patterns)), lambda x: x != "")) for _, patterns in signals])
     names = [n for n, _ in signals]
     bonus = F.when(grid >= 4, F.least(F.floor(grid / 3).cast("int"), F.lit(4))).otherwise(F.lit(0))
@@ -198,38 +255,38 @@ def artifact_of(text: Column, signals=ARTIFACT_SIGNALS, most: int = 8) -> Column
             F.when(i == sheet, F.concat(c, note)).otherwise(c).alias("cues"),
         ),
     )
-    return F.transform(
-        F.array(F.array_max(scored)),
+    return once(
         lambda b: F.struct(
             F.when(b["score"] > 0, F.element_at(F.array(*map(F.lit, names)), 1 - b["rank"])).otherwise("otro").alias("artifact"),
             F.when(b["score"] > 0, F.slice(b["cues"], 1, most)).otherwise(F.array().cast("array<string>")).alias("cues"),
             b["score"].alias("score"),
         ),
-    )[0]
+        F.array_max(scored),
+    )
 
 
 def action_of(text: Column, change: Column, activity: Column, actions=ACTIONS) -> Column:
     """The first action whose pattern occurs; without one, by movement on the screen."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    by_text = [(low.rlike("(?U)" + "|".join(p)), n) for n, p in actions]
     moved = F.when(change >= 25.0, "cambiar").when((activity >= 0.35) | (change >= 6.0), "escribir").when(activity >= 0.15, "interactuar").otherwise("revisar")
-    return first_match(by_text, moved)
+    any_of = lambda low, ps: functools.reduce(Column.__or__, [may_match(low, p) & low.rlike("(?U)" + p) for p in ps])
+    return once(lambda low, other: first_match([(any_of(low, p), n) for n, p in actions], other), F.lower(F.coalesce(text, F.lit(""))), moved)
 
 
 def value_score(text: Column, cues=VALUE_CUES) -> Column:
     """Sum of the weights of the cues that occur."""
-    return sum((F.when(matches(text, p), F.lit(w)).otherwise(F.lit(0.0)) for p, w in cues), F.lit(0.0))
-
-
-def theme_score(text: Column, artifact: Column, value: Column, theme) -> tuple[Column, Column]:
-    """(whether a cue occurs, score): two for each cue, 1.5 for the artifact, a fifth of the value."""
-    _, _, _, artifacts, cues = theme
-    hits = [matches(text, p) for p in cues]
-    any_hit = hits[0]
-    for h in hits[1:]:
-        any_hit = any_hit | h
-    score = sum((F.when(h, F.lit(2.0)).otherwise(F.lit(0.0)) for h in hits), F.lit(0.0))
-    return any_hit, score + F.when(artifact.isin(*artifacts) if artifacts else F.lit(False), F.lit(1.5)).otherwise(F.lit(0.0)) + 0.2 * value
+    return once(lambda t, low: sum((F.when(matches(t, p, low), F.lit(w)).otherwise(F.lit(0.0)) for p, w in cues), F.lit(0.0)), text, folded(text))
+
+
+def theme_scores(text: Column, artifact: Column, value: Column, themes) -> Column:
+    """Array of (slug, score) of the themes with a cue: two for each cue, 1.5 for the artifact, a fifth of the value."""
+
+    def scored(theme, t: Column, low: Column) -> Column:
+        slug, _, _, artifacts, cues = theme
+        hits = sum((F.when(matches(t, p, low), F.lit(1)).otherwise(F.lit(0)) for p in cues), F.lit(0))
+        more = F.when(artifact.isin(*artifacts) if artifacts else F.lit(False), F.lit(1.5)).otherwise(F.lit(0.0)) + 0.2 * value
+        return once(lambda n: F.when(n > 0, F.struct(F.lit(slug).alias("slug"), (2.0 * n + more).alias("score"))), hits)
+
+    return once(lambda t, low: F.array_compact(F.array(*[scored(theme, t, low) for theme in themes])), text, folded(text))
 
 
 def canonical_topic(text: Column, rules=CANONICAL_TOPICS) -> Column:

@@ -51,11 +51,8 @@ def present_themes(moments: DataFrame, track: list[str], clock_: str, text: str,
 
     The themes are a few constant rules, so their scores are columns of one pass, not a join.
     """
-    items = []
-    for theme in themes:
-        hit, score = rules.theme_score(F.col(text), F.col(artifact), F.col(value), theme)
-        items.append(F.when(hit, F.struct(F.lit(theme[0]).alias("slug"), score.alias("score"))))
-    shown = moments.select(*track, clock_, F.explode(F.array_compact(F.array(*items))).alias("t")).select(*track, clock_, "t.slug", "t.score")
+    scores = rules.theme_scores(F.col(text), F.col(artifact), F.col(value), themes)
+    shown = moments.select(*track, clock_, F.explode(scores).alias("t")).select(*track, clock_, "t.slug", "t.score")
     return shown.groupBy(*track, "slug").agg(
         F.min(clock_).alias("start"), F.max(clock_).alias("end"), F.count(F.lit(1)).alias("moments"), F.max("score").alias("score")
     ).where(F.col("moments") >= least)
