@@ -165,7 +165,7 @@ def needed(pattern: str) -> tuple[str, ...]:
 
 def folded(text: Column) -> Column:
     """Lower case, and what else a pattern that ignores case takes for a plain letter as that letter."""
-    return F.translate(F.lower(text), "ſıİ", "sii")
+    return F.lower(F.translate(text, "ſıİ", "sii"))  # in this order, as lower makes two signs of the last
 
 
 def may_match(low: Column, pattern: str) -> Column:
