@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chronolith.functions import text as T
+from chronolith.shared import global_rank
 
 DUPLICATE, EXISTING, RELATED = 0.92, 0.75, 0.55
 FIELD_WEIGHTS = (("name", 0.35), ("objective", 0.30), ("actor", 0.10), ("flow", 0.15), ("trigger", 0.10))
@@ -108,10 +109,10 @@ def match_use_cases(candidates: DataFrame, store: DataFrame, block: Column | Non
 
 
 def next_ids(rows: DataFrame, known: DataFrame, key: str, prefix: str, order: list[str]) -> DataFrame:
-    """Adds ids PREFIX-001 on, after the highest known one. rows: one batch of new entities, numbered in one task."""
+    """Adds ids PREFIX-001 on, after the highest known one, in the order of ``order``; ties get theirs in any order."""
     top = known.agg(F.coalesce(F.max(F.regexp_extract(key, rf"^{prefix}-(\d+)", 1).try_cast("long")), F.lit(0)).alias("__top"))
-    number = F.row_number().over(Window.orderBy(*order))
-    return rows.crossJoin(F.broadcast(top)).withColumn(key, F.format_string(f"{prefix}-%03d", F.col("__top") + number)).drop("__top")
+    ranked = global_rank(rows, order, "__rank").crossJoin(F.broadcast(top))
+    return ranked.withColumn(key, F.format_string(f"{prefix}-%03d", F.col("__top") + F.col("__rank") + 1)).select(*[F.col(c) for c in rows.columns if c != key], key)
 
 
 def add_evidence(store: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,14 +1,18 @@
 """Constrained selection of moments: minimum gaps, budgets, even spreads, novelty.
 
-Greedy rules depend on what was chosen before, so they are folds over an array. The array isn't a whole track where the
-rule falls apart by time: moments further apart than the gap never touch each other, so each run of moments closer than
-the gap (an island) is folded by itself, and limits are applied afterwards by rank.
+Greedy rules depend on what was chosen before, so they are folds. Where the rule falls apart by time, the fold is over
+an array that isn't a whole track: moments further apart than the gap never touch each other, so each run of moments closer
+than the gap (an island) is folded by itself, and limits are applied afterwards by rank. Where it doesn't, the fold goes
+along the sorted rows with what it has kept, and no track becomes one row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def islands(moments: DataFrame, track: list[str], clock: str, gap: float, out: str = "__island") -> DataFrame:
@@ -100,26 +104,54 @@ def best_of_windows(found: DataFrame, track: list[str], start: str, end: str, sc
     return out.withColumn("__place", place).where((F.col("__m") <= n) | (F.col("__place") <= n)).drop("__m", "__bucket", "__score", "__refill", "__best", "__place")
 
 
+def _fold(rows: DataFrame, track: list[str], order: list[str], begin, step, taken: str | None = None) -> DataFrame:
+    """Rows whose ``__v`` is kept by ``step(state, v)``; the state begins anew with ``begin()`` at each track's first row.
+
+    The state is carried along the sorted rows of a task, batch by batch, and sorting spills, so a track of any length takes
+    the memory of a batch and of the state. The rule looks at what was kept before, so one track is one task's work. step
+    returns None for a row that goes; for one that stays, the value of the column ``taken``, if there is one, or else True.
+    Rows of equal order come by ``__v``.
+    """
+    first = F.row_number().over(Window.partitionBy(*track).orderBy(*order, "__v")) == 1
+    ranked = rows.withColumn("__first", first)
+    schema = T.StructType([*rows.schema.fields, *([T.StructField(taken, T.DoubleType())] if taken else [])])
+
+    def run(batches):
+        state = None
+        for batch in batches:
+            keep, values = [], []
+            for i, (is_first, v) in enumerate(zip(batch["__first"].to_pylist(), batch["__v"].to_pylist(), strict=True)):
+                if is_first:
+                    state = begin()
+                value = step(state, v)
+                if value is not None:
+                    keep.append(i)
+                    values.append(value)
+            if keep:
+                out = batch.drop_columns(["__first"]).take(pa.array(keep, pa.int64()))
+                yield out.append_column(taken, pa.array(values, pa.float64())) if taken else out
+
+    return ranked.mapInArrow(run, schema)
+
+
 def pack(found: DataFrame, track: list[str], order: list[str], length: str, *, per: float, budget: float, least: float = 3.0) -> DataFrame:
     """Rows in order, each with as much of ``per`` seconds and of the budget as it can take (column ``taken``).
 
-    ``length`` bounds what a row can give. Packing ends where less than ``least`` is left; a row that gives less is left
-    out. The fold's array has the rows of one track; what it can keep is bounded by budget / least.
+    ``length`` bounds what a row can give; null is no bound. Packing ends where less than ``least`` is left; a row that gives
+    less is left out.
     """
-    cols = [c for c in found.columns if c not in track]
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(length).cast("double").alias("len"), F.struct(*cols).alias("row"))
-    lists = found.groupBy(*track).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    row = lists.schema["all"].dataType.elementType["row"].dataType.simpleString()
-    none = F.expr(f"cast(array() as array<struct<row:{row},taken:double>>)")
-    start = F.struct(F.lit(0.0).alias("used"), none.alias("kept"))
 
-    def add(a: Column, m: Column) -> Column:
-        take = F.least(F.lit(per), F.lit(budget) - a["used"], m["len"])
-        more = F.struct((a["used"] + take).alias("used"), F.concat(a["kept"], F.array(F.struct(m["row"].alias("row"), take.alias("taken")))).alias("kept"))
-        return F.when((a["used"] < budget) & (F.lit(budget) - a["used"] >= least) & (take >= least), more).otherwise(a)
+    def step(used: list[float], most: float | None) -> float | None:
+        left = budget - used[0]
+        take = min(per, left, per if most is None else most)
+        if used[0] >= budget or left < least or not take >= least:
+            return None
+        used[0] += take
+        return take
 
-    kept = lists.select(*track, F.explode(F.aggregate("all", start, add)["kept"]).alias("k"))
-    return kept.select(*track, "k.row.*", F.col("k.taken").alias("taken"))
+    cols = [c for c in found.columns if c not in track]
+    kept = _fold(found.withColumn("__v", F.nanvl(F.col(length).cast("double"), F.lit(per))), track, order, lambda: [0.0], step, "taken")
+    return kept.select(*track, *cols, "taken")
 
 
 def lengthen(clips_: DataFrame, track: list[str], *, least: float, clip: float, most: float = 14.0) -> DataFrame:
@@ -161,16 +193,20 @@ def nearest_clean(marks: DataFrame, clean: DataFrame, key: list[str], clock: str
 def anchored(samples: DataFrame, track: list[str], order: list[str], value: str, threshold: float, most: int = 80) -> DataFrame:
     """Samples that differ by ``threshold`` or more from the last one kept; a track's first is kept.
 
-    Unlike the difference from the previous sample, it notices slow drift. The fold's array has the rows of one track.
+    Unlike the difference from the previous sample, it notices slow drift. ``most`` of a track are kept. Samples without a
+    value are left out.
     """
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"))
-    lists = samples.groupBy(*track).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kept = F.aggregate(
-        "all", F.slice("all", 1, 0),
-        lambda a, m: F.when((F.size(a) == 0) | ((F.size(a) < most) & (F.abs(m["v"] - F.element_at(a, -1)["v"]) >= threshold)), F.concat(a, F.array(m))).otherwise(a),
-    )
-    flat = lists.select(*track, F.explode(kept).alias("k"))
-    return flat.select(*track, *[F.col(f"k.o{i}").alias(c) for i, c in enumerate(order)], F.col("k.v").alias(value))
+
+    def step(kept: list, v: float) -> bool | None:
+        """kept: how many, and the value of the last one."""
+        if kept[0] and (kept[0] >= most or abs(v - kept[1]) < threshold):
+            return None
+        kept[:] = kept[0] + 1, v
+        return True
+
+    v = F.col(value).cast("double").alias("__v")
+    rows = samples.where(F.col(value).isNotNull()).select(*track, *order, v)
+    return _fold(rows, track, order, lambda: [0, None], step).withColumnRenamed("__v", value)
 
 
 def mean_distance(a: Column, b: Column) -> Column:
@@ -182,10 +218,23 @@ def mean_distance(a: Column, b: Column) -> Column:
 def novel(vectors: DataFrame, track: list[str], order: str, vector: str, threshold: float, most: int = 60) -> DataFrame:
     """Leaders: vectors ``threshold`` or more from all leaders before them, ``most`` of a track at most.
 
-    The fold keeps at most ``most`` leaders, and reads the vectors of one track.
+    Vectors that are null or hold a null take no part; vectors of unlike sizes can't be compared, so one that isn't of the
+    leaders' size is no leader.
     """
-    item = F.struct(F.col(order).alias("ord"), F.col(vector).alias("v"))
-    lists = vectors.groupBy(*track).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    fits = lambda a, m: (F.size(a) < most) & F.forall(a, lambda k: mean_distance(k["v"], m["v"]) >= threshold)
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda a, m: F.when(fits(a, m), F.concat(a, F.array(m))).otherwise(a))
-    return lists.select(*track, F.explode(kept).alias("k")).select(*track, F.col("k.ord").alias(order))
+
+    def step(leaders: list[np.ndarray], components: list[float]) -> bool | None:
+        if leaders and (len(leaders) >= most or len(components) != leaders[0].size):
+            return None
+        v = np.asarray(components, np.float64)
+        if leaders:
+            # Summed one after the other, so that the sums are those of mean_distance.
+            sums = np.add.accumulate(np.abs(np.stack(leaders) - v), axis=1)[:, -1]
+            if (sums / v.size < threshold).any():
+                return None
+        leaders.append(v)
+        return True
+
+    v = F.col(vector).cast("array<double>")
+    usable = F.col("__v").isNotNull() & (F.size("__v") > 0) & F.forall("__v", lambda x: x.isNotNull())
+    rows = vectors.select(*track, order, v.alias("__v")).where(usable)
+    return _fold(rows, track, [order], list, step).drop("__v")

@@ -102,7 +102,6 @@ class Store:
     def add_evidence(self, evidence: DataFrame) -> DataFrame:
         """Append evidence (use_case_id, ord, item); returns the rows whose use case isn't there."""
         kept, lost = entities.add_evidence(self.table("use_cases"), evidence)
-        lost = lost.persist()
         noted = entities.audit_of(evidence.join(lost.select("use_case_id"), "use_case_id", "left_anti"), "EVIDENCE_ADDED", "use_case_id", F.lit("Nueva evidencia"), self._now())
         missing = lost.collect()
         self.save(use_cases=kept, audit=self._logged(noted))
