@@ -256,12 +256,53 @@ def slugs(spark, sf_dir):
     return d.select("doc_id", F.length("slug").cast("long").alias("n_chars"), F.sha2("slug", 256).alias("slug_sha256"))
 
 
-@register("screen_titles")
+_WHITE = r"[ \t\n\x0B\f\r]"
+
+
+def _trimmed(column: str, signs: str) -> str:
+    return f"regexp_replace({column}, '^[{signs}]+|[{signs}]+$', '', 'g')"
+
+
+def _screen_sql() -> str:
+    """Lines of every document in order, each word of a line tested by itself."""
+    words = "list_filter(regexp_split_to_array({}, '" + _WHITE + "+'), lambda x: x <> '')"
+    noise = r"(?i)^(archivo|inicio|insertar|ayuda|buscar|file|home|edit|view|\d{1,2}:\d{2}|[^\p{L}\p{N}_]+)$"
+    bad = rf"(?i)ctrl?{_WHITE}*\+|\(ctr|@|\.(com|cl|net)(?:$|[^\p{{L}}\p{{N}}_])|^{_WHITE}*(esta|este|esto|updated?|new|nuevo|nueva|session|home|men[uú]){_WHITE}*$"
+    known = ", ".join(map(rules.quoted, rules.UI_CHROME))
+    upper = r"(regexp_matches(w, '\p{Lu}') AND w = upper(w))"
+    pieces = f"list_transform(regexp_extract_all(w, '[{T._UPPER}][a-záéíóúñ]+'), lambda p: lower(p))"
+    return rf"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS raw, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), 1) AS n FROM documents),
+s AS (SELECT doc_id, n, array_to_string(each, ' ') AS s, each FROM (SELECT doc_id, n, {words.format('raw')} AS each FROM l)),
+f AS (SELECT * FROM s WHERE length(s) BETWEEN 4 AND 34 AND len(each) BETWEEN 1 AND 4 AND NOT regexp_matches(s, '{noise}') AND regexp_matches(s, '[A-Za-zÁÉÍÓÚáéíóúÑñ]{{3}}')
+  AND NOT regexp_matches(s, '{bad}') AND regexp_matches(s, '^[{T._LETTERS}0-9][{T._LETTERS}0-9 .&\-]*$') AND length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) >= 4),
+w AS (SELECT doc_id, n, s, unnest(list_transform(each, lambda x: {_trimmed('x', '.&/-')})) AS w FROM f),
+t AS (SELECT doc_id, n, s, lower(w) IN ({known}) AS chrome, w <> '' AND NOT regexp_matches(w, '(?i)^(updated?|al|the|de|del|la|el|los|las|un|una|y|o|en)$') AND (regexp_matches(w, '^\p{{Lu}}') OR regexp_matches(w, '^[0-9]+$'))
+  AND (length(w) >= 3 OR {upper}) AND len({pieces}) < 3 AND NOT (len({pieces}) >= 2 AND len(list_distinct({pieces})) < len({pieces})) AND (NOT {upper} OR regexp_matches(w, '^[{T._UPPER}]{{2,6}}[0-9]{{0,2}}$')) AS good FROM w),
+h AS (SELECT doc_id, n, any_value(s) AS s FROM t GROUP BY 1, 2 HAVING bool_and(good) AND NOT bool_and(chrome))
+SELECT d.doc_id, coalesce(b.s, '') AS screen FROM documents d LEFT JOIN (SELECT doc_id, arg_min(s, n) AS s FROM h GROUP BY 1) b ON b.doc_id = d.doc_id"""
+
+
+@register("screen_titles", _screen_sql())
 def screen_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.screen_title(F.col("text")).alias("screen"))
 
 
-@register("phrases")
+def _phrase_sql() -> str:
+    out = "coalesce(text, '')"
+    for pattern, by in (
+        (r"(?i)\[por validar\]", ""), (r"\[[^\]]*\]\([^)]*\)", ""), (r"[`*_>#|]", " "), (_WHITE + r"+([,.;:])", r"\1"), (_WHITE + "+", " "),
+        (r"^[ ·\-—:;,.]+|[ ·\-—:;,.]+$", ""),
+    ):
+        out = f"regexp_replace({out}, {rules.quoted(pattern)}, '{by}', 'g')"
+    last = "coalesce(list_max(list_filter(range(1, 166), lambda i: {})), 0) - 1"
+    return f"""WITH w AS (SELECT doc_id, {out} AS whole FROM documents), c AS (SELECT *, substring(whole, 1, 165) AS cut FROM w),
+p AS (SELECT *, {last.format("substring(cut, i, 2) IN ('. ', ', ')")} AS stop, {last.format("substring(cut, i, 1) = ' '")} AS space FROM c),
+k AS (SELECT *, CASE WHEN stop > 60 THEN substring(cut, 1, stop) WHEN space >= 0 THEN substring(cut, 1, space) ELSE cut END AS short FROM p),
+e AS (SELECT doc_id, CASE WHEN length(whole) > 165 THEN {_trimmed('short', ' ,;:')} ELSE whole END AS kept FROM k)
+SELECT doc_id, CASE WHEN kept = '' THEN '' ELSE upper(substring(kept, 1, 1)) || substring(kept, 2) || CASE WHEN regexp_matches(kept, '[.!?]$') THEN '' ELSE '.' END END AS phrase FROM e"""
+
+
+@register("phrases", _phrase_sql())
 def phrases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.phrase(F.col("text")).alias("phrase"))
 
