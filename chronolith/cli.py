@@ -1,4 +1,4 @@
-"""Command line of the store and of the gate; results are lines of JSON.
+"""Command line of the store, the registry and the gate; results are lines of JSON.
 
     python -m chronolith.cli --store FOLDER check-video --video FILE --seconds 61
 """
@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import gate
 from chronolith.sources import sinks
+from chronolith.registry import Registry
 from chronolith.store import Store
 
 
@@ -39,6 +41,12 @@ def _parser() -> argparse.ArgumentParser:
     command("update-use-case", "name", "objective", "flow", "business-rule*", "confidence", required=("use-case", "reason"))
     command("list-videos"), command("list-use-cases"), command("history", "entity")
     command("verify", required=("checks",))
+    folders = ("videos", "made", "discovery")
+    command("import-registry", required=("registry",))
+    command("more-cases", *folders), command("list", "made"), command("identify", "seconds", required=("video",))
+    command("record-videos", *folders, "seconds*"), command("deletable", *folders)
+    command("delete-video", "videos", required=("name",)).add_argument("--yes", action="store_true")
+    command("record", "output", "video", "dur", "skin", required=("topic",))
     return top
 
 
@@ -51,6 +59,8 @@ def run(spark: SparkSession, argv: list[str]) -> tuple[int, list[str]]:
     a = _parser().parse_args(argv)
     store = Store(spark, a.store)
     shown = lambda df: [r["value"] for r in sinks.json_lines(df).collect()]
+    if a.command in _REGISTRY:
+        return _registry(spark, a, shown)
     if a.command == "import":
         store.import_memory(a.memory)
         return 0, []
@@ -90,6 +100,33 @@ def run(spark: SparkSession, argv: list[str]) -> tuple[int, list[str]]:
     return 0, shown(store.table(a.command.removeprefix("list-").replace("-", "_")).orderBy("ord"))
 
 
+_REGISTRY = ("import-registry", "more-cases", "list", "identify", "record-videos", "deletable", "delete-video", "record")
+
+
+def _registry(spark: SparkSession, a, shown) -> tuple[int, list[str]]:
+    registry = Registry(spark, a.store, *(getattr(a, f, None) for f in ("videos", "made", "discovery")))
+    if a.command == "import-registry":
+        registry.import_registry(a.registry)
+        return 0, []
+    if a.command == "list":
+        return 0, shown(registry.sync().orderBy("ord").select("tema_canonico", "output"))
+    if a.command == "identify":
+        return 0, shown(registry.identify(a.video, float(a.seconds) if a.seconds else None))
+    if a.command == "record":
+        registry.record(a.topic, a.output, a.video, *(float(x) if x else None for x in (a.dur, a.skin)))
+        return 0, []
+    if a.command == "delete-video":
+        decision = registry.delete_video(a.name, a.yes)
+        return int(decision.startswith("BLOCKED")), [json.dumps({"video": a.name, "decision": decision})]
+    if a.command == "record-videos":
+        lengths = {name: float(n) for name, _, n in (x.rpartition("=") for x in a.seconds)}
+        return 0, shown(registry.record_videos(lengths or None).orderBy("video"))
+    registry.sync()
+    if a.command == "deletable":
+        return 0, shown(registry.report().orderBy(F.col("sin_casos_nuevos").desc(), "video"))
+    return 0, shown(registry.cases().orderBy("video", "topic")) + shown(registry.more_cases().orderBy(F.col("mentions").desc(), "topic").withColumn("candidate", F.lit(True)))
+
+
 _EVIDENCE = "struct<video_id:string,timestamp_start:string,timestamp_end:string,screenshot_ids:array<string>>"
 
 

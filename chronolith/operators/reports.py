@@ -34,6 +34,40 @@ def topic_profile(topic: Column) -> Column:
     return out
 
 
+# What the script of a catalogue theme says about its parts, in order, and how it ends.
+THEME_OPENING = "Cápsula."
+THEME_CONTEXT = "Veamos primero el contexto."
+THEME_ASKS = "La pregunta que suele surgir es esta:"
+THEME_ANSWERS = "Y la respuesta, en simple, es la siguiente."
+THEME_EXAMPLE = "Mirémoslo con un ejemplo bien sencillo, a prueba de niños."
+THEME_RESULT = "Entonces, ¿cuál es el resultado?"
+THEME_WORTH = "¿Y qué significa esto para el banco?"
+THEME_CLOSE = (
+    "En resumen: el Framework Agéntico no reemplaza a las personas, amplifica lo que saben hacer. "
+    "La inteligencia artificial ejecuta; las personas deciden. Gracias por acompañarme en esta Cápsula."
+)
+THEME_QUESTION = ("¿Cómo funciona ", " y qué gano con esto?")
+ACT_LABELS = ("¿Qué hace?", "¿Para qué sirve?", "¿Cuál es el resultado?")
+
+
+def theme_script(title: Column, hook: Column, what: Column, purpose: Column, result: Column, question: Column, example: Column, worth: Column) -> Column:
+    """The spoken text about a catalogue theme. Null and empty parts are left out; without an example or a worth their
+    headings go too, and without a question one is made of the title."""
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    under = lambda head, c: F.when(filled(c).isNotNull(), F.concat(F.lit(head), F.lit(" "), c))
+    asked = F.coalesce(filled(question), F.concat(F.lit(THEME_QUESTION[0]), F.lower(F.coalesce(title, F.lit(""))), F.lit(THEME_QUESTION[1])))
+    return F.concat_ws(
+        " ", F.lit(THEME_OPENING), filled(hook), F.lit(THEME_CONTEXT), filled(what), F.lit(THEME_ASKS), asked, F.lit(THEME_ANSWERS), filled(purpose),
+        under(THEME_EXAMPLE, example), F.lit(THEME_RESULT), filled(result), under(THEME_WORTH, worth), F.lit(THEME_CLOSE),
+    )
+
+
+def act_caption(act: Column, title: Column) -> Column:
+    """The label of an act, the first for those before it and the last for those after it, and the title."""
+    label = F.element_at(F.array(*map(F.lit, ACT_LABELS)), F.least(F.greatest(act.cast("int"), F.lit(0)), F.lit(2)) + 1)
+    return F.concat(label, F.lit(" · "), title)
+
+
 def grounded_script(topic: Column, walkthrough: Column | None = None) -> Column:
     """The spoken text about a topic, a walkthrough in its middle if there is one."""
     p = topic_profile(topic)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import rules
@@ -9,8 +10,8 @@ from chronolith.operators import reports, topics
 from chronolith.sources import sinks
 
 from .catalog import register
-from .common import SAMPLES_SQL, samples, segments
-from .text_queries import _CASES, WORDS
+from .common import SAMPLES_SQL, samples, segments, table
+from .text_queries import _CASES, _TAGGED, SHOWN, WORDS, _theme_sql
 
 _ACTION = {"view": "revisar", "click": "interactuar", "purchase": "crear", "error": "validar", "signup": "formulario"}
 _CASE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTION.items()) + " END"
@@ -28,8 +29,6 @@ t AS (SELECT * FROM h WHERE k <= 16 OR (user_id, i) IN (SELECT user_id, i FROM q
 
 
 def _told(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = samples(spark, sf_dir)
     index = F.row_number().over(Window.partitionBy("user_id").orderBy("seconds", "event_id"))
     action = rules.lookup(F.col("event_type"), _ACTION, "revisar")
@@ -91,3 +90,55 @@ def temporal_map(spark, sf_dir):
     s = segments(spark, sf_dir)
     moments = s.where("role <> 'user'").select("track", (F.col("start") + 14).alias("ts"), "ord", F.col("role").alias("artifact"))
     return reports.temporal_map(topics.tag_segments(s, WORDS), moments, ["track"]).select("track", "ord", "artifact")
+
+
+_CLOCK = "strftime(make_timestamp(CAST(floor({0}) AS BIGINT) * 1000000), '%H:%M:%S')"
+
+
+@register("map_lines", f"""WITH {_TAGGED} SELECT track, ord, '| ' || {_CLOCK.format('start')} || ' | ' || {_CLOCK.format('"end"')} || ' | ' || CASE WHEN coalesce(question, false) THEN 'PREGUNTA' WHEN coalesce(intent, false) THEN 'INTENCION' ELSE '·' END || ' | ' ||
+  CASE WHEN len(topics) > 0 THEN array_to_string(topics, ', ') ELSE '-' END || ' | - | ' || CASE WHEN length(coalesce(text, '')) > 90 THEN substring(replace(text, '|', '/'), 1, 87) || '…' ELSE replace(coalesce(text, ''), '|', '/') END || ' |' AS line FROM t""")
+def map_lines(spark, sf_dir):
+    tagged = topics.tag_segments(segments(spark, sf_dir), WORDS).withColumn("artifact", F.lit("-"))
+    return sinks.map_lines(tagged, ("track",)).select("track", "ord", F.col("value").alias("line"))
+
+
+@register("matrix_lines", _CASES + f""", n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY start, topic) AS n FROM c)
+SELECT track, n, '| ' || n || ' | ' || topic || ' | ' || {_CLOCK.format('start')} || '–' || {_CLOCK.format('"end"')} || ' | ' || mentions || ' | ' || substring(replace(CASE WHEN question = '' THEN '-' ELSE question END, '|', '/'), 1, 60) || ' | ' || substring(replace(CASE WHEN intent = '' THEN '-' ELSE intent END, '|', '/'), 1, 60) || ' |' AS line FROM n""")
+def matrix_lines(spark, sf_dir):
+    cases = topics.topic_cases(topics.tag_segments(segments(spark, sf_dir), WORDS), ["track"], "start", "end", "ord")
+    n = F.row_number().over(Window.partitionBy("track").orderBy("start", "topic"))
+    return sinks.matrix_lines(cases.withColumn("n", n.cast("long")), ("track",)).select("track", "n", F.col("value").alias("line"))
+
+
+@register("rundown_lines", f"""WITH p AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS start, o_custkey + o_orderkey % 40 / 4.0 AS "end", o_orderpriority AS caption FROM orders)
+SELECT o_orderkey, '| ' || o_orderkey || ' | ' || {_CLOCK.format('start')} || '–' || {_CLOCK.format('"end"')} || ' | ' || CAST(round_even("end" - start, 0) AS BIGINT) || 's | ' || caption || ' |' AS line FROM p""")
+def rundown_lines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    start = F.col("o_custkey").cast("double")
+    parts = o.select(F.col("o_orderkey").alias("n"), start.alias("start"), (start + F.col("o_orderkey") % 40 / 4.0).alias("end"), F.col("o_orderpriority").alias("caption"))
+    return sinks.rundown_lines(parts).select(F.col("n").alias("o_orderkey"), F.col("value").alias("line"))
+
+
+@register("theme_scripts", f"""WITH p AS (SELECT p_partkey, p_name AS title, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END AS hook, p_type AS what, p_brand AS purpose, p_type AS result, CASE WHEN p_size % 2 = 0 THEN p_brand || '?' END AS question, CASE WHEN p_size % 3 = 0 THEN p_type END AS example, CASE WHEN p_size % 7 = 0 THEN p_name ELSE '' END AS worth FROM part)
+SELECT p_partkey, concat_ws(' ', {rules.quoted(reports.THEME_OPENING)}, nullif(hook, ''), {rules.quoted(reports.THEME_CONTEXT)}, what, {rules.quoted(reports.THEME_ASKS)}, coalesce(question, {rules.quoted(reports.THEME_QUESTION[0])} || lower(title) || {rules.quoted(reports.THEME_QUESTION[1])}), {rules.quoted(reports.THEME_ANSWERS)}, purpose,
+  CASE WHEN example <> '' THEN {rules.quoted(reports.THEME_EXAMPLE)} || ' ' || example END, {rules.quoted(reports.THEME_RESULT)}, result, CASE WHEN worth <> '' THEN {rules.quoted(reports.THEME_WORTH)} || ' ' || worth END, {rules.quoted(reports.THEME_CLOSE)}) AS script FROM p""")
+def theme_scripts(spark, sf_dir):
+    """Parts as themes, some without hook, question, example or worth."""
+    every = lambda n, c, other=None: F.when(F.col("p_size") % n == 0, c).otherwise(other)
+    c = F.col
+    script = reports.theme_script(c("p_name"), F.when(c("p_size") % 5 != 0, c("p_brand")).otherwise(""), c("p_type"), c("p_brand"), c("p_type"), every(2, F.concat("p_brand", F.lit("?"))), every(3, c("p_type")), every(7, c("p_name"), F.lit("")))
+    return table(spark, sf_dir, "part").select("p_partkey", script.alias("script"))
+
+
+@register("discovered_use_cases", f"""WITH s AS ({' UNION ALL '.join(_theme_sql(t) for t in SHOWN[1:])}),
+l AS (SELECT source, CAST(max(doc_id) AS DOUBLE) AS length FROM documents GROUP BY 1),
+f AS (SELECT source, slug, CAST(min(doc_id) AS DOUBLE) AS start, CAST(max(doc_id) AS DOUBLE) AS "end" FROM s GROUP BY 1, 2 HAVING count(*) >= 3),
+p AS (SELECT f.*, l.length, CAST(row_number() OVER (PARTITION BY f.source ORDER BY start, slug) AS INTEGER) AS place FROM f JOIN l ON l.source = f.source)
+SELECT source, '{SHOWN[0][0]}' AS slug, 0 AS place, CAST(0 AS DOUBLE) AS start, length AS "end" FROM l
+UNION ALL SELECT source, slug, place, start, "end" FROM p WHERE place <= 7 AND "end" - start >= 15 AND "end" - start >= greatest(6.0, least(20.0, length / 60.0))""")
+def discovered_use_cases(spark, sf_dir):
+    """Sources as tracks, doc_id as clock; the language stands for the artifact and the length for the value."""
+    d = table(spark, sf_dir, "documents")
+    moments = d.select("source", F.col("doc_id").alias("ts"), F.col("doc_id").alias("ord"), F.col("text").alias("ocr_text"), F.col("lang").alias("artifact"), F.lit(0.0).alias("skin"), F.col("n_chars").cast("double").alias("value"))
+    lengths = d.groupBy("source").agg(F.max("doc_id").cast("double").alias("length"))
+    return reports.discovered_use_cases(moments, lengths, ["source"], SHOWN)

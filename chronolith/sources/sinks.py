@@ -54,6 +54,62 @@ def case_lines(cases: DataFrame) -> DataFrame:
     return cases.select("n", value.alias("value"))
 
 
+def _cell(text: Column) -> Column:
+    """A text inside a row of a table."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("/"))
+
+
+def _span(start: str = "start", end: str = "end") -> Column:
+    return F.concat(C.clock(F.col(start)), F.lit("–"), C.clock(F.col(end)))
+
+
+def _row(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))
+
+
+def rundown_lines(parts: DataFrame) -> DataFrame:
+    """A table row for each part of a cut: its number, origin, seconds (halves to even) and caption; columns n and value."""
+    seconds = F.concat(F.bround(F.col("end") - F.col("start")).cast("long").cast("string"), F.lit("s"))
+    return parts.select("n", _row(F.col("n"), _span(), seconds, F.col("caption")).alias("value"))
+
+
+def map_lines(mapped: DataFrame, track: tuple[str, ...] = (), most: int = 90) -> DataFrame:
+    """A table row for each segment of a temporal map: interval, mark, topics, artifact, text cut to ``most``; track, ord, value."""
+    mark = F.when(F.col("question"), "PREGUNTA").when(F.col("intent"), "INTENCION").otherwise("·")
+    names = F.when(F.size("topics") > 0, F.array_join("topics", ", ")).otherwise("-")
+    text = _cell(F.col("text"))
+    text = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("…"))).otherwise(text)
+    return mapped.select(*track, "ord", _row(C.clock(F.col("start")), C.clock(F.col("end")), mark, names, F.coalesce("artifact", F.lit("-")), text).alias("value"))
+
+
+def matrix_lines(cases: DataFrame, track: tuple[str, ...] = (), most: int = 60) -> DataFrame:
+    """A table row for each case: number, topic, interval, mentions, question and intent cut to ``most``; track, n, value."""
+    said = lambda c: F.substring(_cell(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))), 1, most)
+    return cases.select(*track, "n", _row(F.col("n"), F.col("topic"), _span(), F.col("mentions"), said("question"), said("intent")).alias("value"))
+
+
+def theme_lines(found: DataFrame) -> DataFrame:
+    """A block for each use case of the catalogue: interval, moments, and what, what for and with which result."""
+    part = lambda head, c: F.concat(F.lit(f"**{head}** "), F.coalesce(c, F.lit("")))
+    head = F.concat(F.lit("## "), F.col("n").cast("string"), F.lit(". "), "title")
+    where = F.concat(F.lit("- **Tramo en el video:** "), _span(), F.lit(" · "), F.col("moments").cast("string"), F.lit(" momentos"))
+    blocks = [head, where, part("¿Qué hace?", F.col("what")), part("¿Para qué sirve?", F.col("purpose")), part("¿Cuál es el resultado?", F.col("result"))]
+    return found.select("n", F.concat(F.concat_ws("\n\n", *blocks), F.lit("\n")).alias("value"))
+
+
+def write_deliverables(folder: str, segments: DataFrame, mapped: DataFrame, cases: DataFrame) -> None:
+    """The four results of the discovery of a recording: transcript, temporal map, cases, matrix of cases.
+
+    segments: ord, start, end, text; mapped: of temporal_map, or all segments with artifact; cases: n, topic, start, end,
+    mentions, question, intent.
+    """
+    for name, lines, order in (
+        ("01_transcripcion", transcript_lines(segments), "ord"), ("02_discovery_video", map_lines(mapped), "ord"),
+        ("03_casos_de_uso", case_lines(cases), "n"), ("04_matriz_casos_uso", matrix_lines(cases), "n"),
+    ):
+        write_report(lines, f"{folder.rstrip('/')}/{name}", [order])
+
+
 def timeline_lines(merged: DataFrame) -> DataFrame:
     head = F.concat(F.lit("["), C.clock(F.col("ts")), F.lit("]"))
     value = F.when(F.col("source") == "audio", F.concat(F.lit("**"), head, F.lit("** "), "text")).otherwise(F.concat(F.lit("### "), head, F.lit(" "), "text"))

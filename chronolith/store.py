@@ -14,8 +14,10 @@ from chronolith.sources import files, sinks
 
 VIDEOS = "video_id string, file_name string, title string, status string, parent_video_id string, duration_seconds double, version int, processed_at string, functionalities array<string>, use_cases array<string>, ord bigint"
 USE_CASES = f"use_case_id string, name string, status string, actor string, objective string, flow string, trigger string, confidence string, version int, functionalities array<string>, business_rules array<string>, evidence array<{files.EVIDENCE}>, ord bigint"
+OUTPUTS = "output string, video_fuente string, tema_canonico string, tema string, slug string, origen string, duracion_s double, piel_max double, fecha string, ord bigint"
+PROCESSED = "video string, video_id string, discovery string, duration_seconds double, objetivo array<string>, capsulas array<string>, casos_nuevos array<string>, procesado boolean, sin_casos_nuevos boolean, registrado string, actualizado string, eliminado string, ord bigint"
 AUDIT = "date string, action string, entity string, reason string, previous string"
-SCHEMAS = {"videos": VIDEOS, "use_cases": USE_CASES, "audit": AUDIT}
+SCHEMAS = {"videos": VIDEOS, "use_cases": USE_CASES, "audit": AUDIT, "outputs": OUTPUTS, "processed": PROCESSED}
 
 
 class Store:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import rules
 from chronolith.functions import text as T
 from chronolith.operators import entities, reports, select, timeline, topics
+from chronolith.sources import sinks
 from chronolith.streaming import steps as streaming
 
 
@@ -102,3 +103,26 @@ def test_streaming_steps_close_as_the_next_opens(spark, tmp_path):
     finally:
         query.stop()
     assert got == [("a", 0.0, 2.0, 0.5, 1.0), ("a", 2.0, 4.0, pytest.approx(0.1), 0.0)]
+
+
+def test_theme_script_leaves_out_what_is_missing(spark):
+    n = F.lit(None).cast("string")
+    script = one(spark, reports.theme_script(F.lit("API Mesa"), F.lit(""), F.lit("qué."), F.lit("para."), F.lit("fin."), n, n, F.lit("")))
+    assert script == f"Cápsula. Veamos primero el contexto. qué. {reports.THEME_ASKS} ¿Cómo funciona api mesa y qué gano con esto? {reports.THEME_ANSWERS} para. {reports.THEME_RESULT} fin. {reports.THEME_CLOSE}"
+    assert [one(spark, reports.act_caption(F.lit(a), F.lit("T"))) for a in (-1, 0, 1, 7)] == ["¿Qué hace? · T", "¿Qué hace? · T", "¿Para qué sirve? · T", "¿Cuál es el resultado? · T"]
+
+
+def test_deliverables(spark, tmp_path):
+    rows = [(0, 0.0, 2.0, "hola | eco", True, False, ["A"]), (1, 61.0, 62.0, "x" * 100, False, True, []), (2, 3700.0, 3701.0, None, False, False, [])]
+    segments = spark.createDataFrame(rows, "ord int, start double, end double, text string, intent boolean, question boolean, topics array<string>")
+    cases = spark.createDataFrame([(1, "A", 0.0, 62.0, 3, "¿y?", "")], "n int, topic string, start double, end double, mentions int, question string, intent string")
+    mapped = segments.withColumn("artifact", F.lit("code"))
+    sinks.write_deliverables(str(tmp_path), segments.where("text is not null"), mapped, cases)
+    lines = lambda name: [r["value"] for r in spark.read.text(f"{tmp_path}/{name}").collect()]
+    assert lines("02_discovery_video") == [
+        "| 00:00:00 | 00:00:02 | INTENCION | A | code | hola / eco |", f"| 00:01:01 | 00:01:02 | PREGUNTA | - | code | {'x' * 87}… |", "| 01:01:40 | 01:01:41 | · | - | code |  |",
+    ]
+    assert lines("04_matriz_casos_uso") == ["| 1 | A | 00:00:00–00:01:02 | 3 | ¿y? | - |"]
+    assert lines("03_casos_de_uso")[0] == "## Caso 1: A" and len(lines("01_transcripcion")) > 2
+    found = spark.createDataFrame([(1, "T", 0.0, 30.0, 4, "a", "b", "c")], "n int, title string, start double, end double, moments int, what string, purpose string, result string")
+    assert sinks.theme_lines(found).first()["value"].split("\n\n") == ["## 1. T", "- **Tramo en el video:** 00:00:00–00:00:30 · 4 momentos", "**¿Qué hace?** a", "**¿Para qué sirve?** b", "**¿Cuál es el resultado?** c\n"]
