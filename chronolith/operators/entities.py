@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -15,6 +18,10 @@ from chronolith.shared import global_rank
 DUPLICATE, EXISTING, RELATED = 0.92, 0.75, 0.55
 FIELD_WEIGHTS = (("name", 0.35), ("objective", 0.30), ("actor", 0.10), ("flow", 0.15), ("trigger", 0.10))
 SHARED_BONUS = 0.05
+#: Candidates, and rows of the store, that one step of matching holds.
+TILE, STORE_TILE = 16, 128
+#: The place of a row of the store that has none.
+LAST = 2**62
 #: What names of outputs begin with; fixed values.
 OUTPUT_PREFIXES = ("Capsula-", "CapsulaExtensa-")
 STORE_KEYS = ("videos", "actors", "systems", "functionalities", "business_rules", "use_cases", "relationships", "analysis_history")
@@ -86,22 +93,104 @@ def name_words() -> Column:
     return F.array_distinct(F.filter(F.split(T.plain(F.lower(F.coalesce("name", F.lit("")))), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))
 
 
+class _Stored:
+    """A row of the store made ready for many comparisons: trimmed fields, counts of their characters, matchers."""
+
+    def __init__(self, row: dict):
+        self.id, self.raw = row["use_case_id"], [row[f] or "" for f, _ in FIELD_WEIGHTS]
+        self.ord = LAST if row["ord"] is None else row["ord"]
+        self.texts = [t.strip().lower() for t in self.raw]
+        self.counts = [Counter(t) for t in self.texts]
+        self.functions = {x for x in row["functionalities"] or () if x is not None}
+        self.matchers = [None] * len(self.texts)
+
+    def ratio(self, field: int, text: str) -> float:
+        if self.matchers[field] is None:
+            self.matchers[field] = SequenceMatcher(None, "", self.texts[field])
+        self.matchers[field].set_seq1(text)
+        return self.matchers[field].ratio()
+
+
+def _score(ratios: list[float], counts: list[bool], shared: bool) -> float:
+    """The weighted likeness from the ratios of the fields; never falls when a ratio rises, in floating point too."""
+    total = weights = 0.0
+    for ratio_, (_, weight), on in zip(ratios, FIELD_WEIGHTS, counts, strict=True):
+        if on:
+            total, weights = total + weight * ratio_, weights + weight
+    bonus = SHARED_BONUS if shared else 0.0
+    return (total + bonus) / (weights + bonus) if weights + bonus > 0 else 0.0
+
+
+def _best_in_tile(candidate: dict, stored: list[_Stored]) -> tuple[str, float, int] | None:
+    """(use_case_id, score, ord) of the stored row most like the candidate, of equals the first; None without likeness.
+
+    Two texts have no more in common than their characters, whatever their order. So rows are tried from the highest such
+    bound on, the ratios of short fields before those of long ones, and a row is given up where its bound falls below the
+    best score so far. Nothing that could win is left out.
+    """
+    mine = _Stored({**candidate, "use_case_id": None, "ord": None})
+    tries = []
+    for e in stored:
+        bounds = []
+        for x, y, cx, cy in zip(mine.texts, e.texts, mine.counts, e.counts, strict=True):
+            bounds.append(2.0 * sum(min(n, cy[ch]) for ch, n in cx.items()) / (len(x) + len(y)) if x and y else 0.0)
+        counts = [a != "" or b != "" for a, b in zip(mine.raw, e.raw, strict=True)]
+        shared = not mine.functions.isdisjoint(e.functions)
+        tries.append((_score(bounds, counts, shared), bounds, counts, shared, e))
+    best = None
+    for bound, ratios, counts, shared, e in sorted(tries, key=lambda t: (-t[0], t[4].ord)):
+        if bound <= 0 or (best and bound < best[1]):
+            break
+        score = bound
+        for field in sorted(range(len(ratios)), key=lambda f: len(mine.texts[f]) * len(e.texts[f])):
+            if ratios[field]:
+                ratios[field] = e.ratio(field, mine.texts[field])
+                score = _score(ratios, counts, shared)
+                if best and score < best[1]:
+                    break
+        if score > 0 and (best is None or (score, -e.ord) > (best[1], -best[2])):
+            best = e.id, score, e.ord
+    return best
+
+
+def _best_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            stored = [_Stored(e) for e in batch["e"][row].as_py()]
+            found = [(c["cand_id"], _best_in_tile(c, stored)) for c in batch["c"][row].as_py()]
+            found = [(k, m) for k, m in found if m]
+            columns = [[k for k, _ in found], *[[m[i] for _, m in found] for i in range(3)]]
+            types = (batch.schema.field("c").type.value_type.field("cand_id").type, pa.string(), pa.float64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["cand_id", "use_case_id", "score", "ord"])
+
+
+def _tiles(rows: DataFrame, key: str, size: int, item: Column, out: str) -> tuple[DataFrame, int]:
+    """Rows dealt by the hash of their key into lists of about ``size``: columns __<out>, out; and how many lists."""
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"__{out}")).agg(F.collect_list(item).alias(out)), n
+
+
 def match_use_cases(candidates: DataFrame, store: DataFrame, block: Column | None = None, store_block: Column | None = None) -> DataFrame:
     """status, use_case_id and score of each candidate's best match in the store; the first of equals; NEW has no match.
 
     Both have name, objective, actor, flow, trigger, functionalities; candidates a key ``cand_id``, the store use_case_id
-    and ord. Every candidate is scored against the whole store, candidates dealt over tasks; where blocks (arrays, of both
-    sides) are given, only pairs that share one are, and candidates that share none with any row are NEW with score 0.
+    and ord. Every candidate is held against the whole store, a tile of ``TILE`` candidates against one of ``STORE_TILE``
+    rows at a time, so a text goes to Python once a tile and not once a pair; where blocks (arrays, of both sides) are
+    given, only pairs that share one are scored, and candidates that share none with any row are NEW with score 0.
     """
     fields = [f for f, _ in FIELD_WEIGHTS] + ["functionalities"]
-    c, e = F.struct(*fields).alias("c"), F.struct(*fields).alias("e")
     if block is None and store_block is None:
-        dealt = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        pairs = dealt.select("cand_id", c).crossJoin(store.select("use_case_id", "ord", e))
+        mine, _ = _tiles(candidates, "cand_id", TILE, F.struct("cand_id", *fields), "c")
+        theirs, n = _tiles(store, "use_case_id", STORE_TILE, F.struct("use_case_id", F.col("ord").cast("long").alias("ord"), *fields), "e")
+        tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = mine.withColumn("__e", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(theirs, "__e").repartition(tasks, "__c", "__e")
+        key = candidates.schema["cand_id"].dataType.simpleString()
+        pairs = each.select("c", "e").mapInArrow(_best_of_tiles, f"cand_id {key}, use_case_id string, score double, ord bigint")
     else:
+        c, e = F.struct(*fields).alias("c"), F.struct(*fields).alias("e")
         mine = candidates.select("cand_id", c, F.explode(block).alias("__b"))
         pairs = mine.join(store.select("use_case_id", "ord", e, F.explode(store_block).alias("__b")), "__b").dropDuplicates(["cand_id", "use_case_id"])
-    pairs = pairs.withColumn("score", similarity()).where("score > 0")
+        pairs = pairs.withColumn("score", similarity()).where("score > 0")
     best = pairs.groupBy("cand_id").agg(F.max_by(F.struct("use_case_id", "score"), F.struct("score", -F.col("ord"))).alias("m"))
     out = candidates.join(best, "cand_id", "left").withColumn("score", F.coalesce("m.score", F.lit(0.0)))
     out = out.withColumn("status", status_of(F.col("score")))
