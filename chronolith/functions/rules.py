@@ -114,13 +114,16 @@ THEMES = (
     ("Auto-aprendizaje-Calibracion", "Auto-aprendizaje y calibración", 5, ("code",), (r"skill", r"guardrail", r"guardarra", r"calibr", r"aprend", r"lenguaje", r"guideline", r"lecci[oó]n", r"regla[s]?", r"entren")),
     ("Software-de-Terceros", "Integración con terceros", 6, ("excel", "browser", "code"), (r"third[-\s]?party", r"terceros", r"external", r"externo", r"excel", r"power\s?bi", r"postman", r"swagger", r"open\s?api", r"spectral", r"figma", r"sonar", r"trivy", r"xray")),
 )
-ACT_LABELS = ("¿Qué hace?", "Propósito", "Resultado")
+ACT_LABELS = ("¿Qué hace?", "¿Para qué sirve?", "¿Cuál es el resultado?")
 UI_CHROME = (
-    "chat chats sessions session about acerca notas resumen compartida compartido compartir participantes participante reunion reunión grabacion "
-    "grabación transcripcion transcripción pregunta preguntas pregun respuesta respuestas mensaje mensajes teams meet zoom copilot menu menú opciones "
-    "configuracion configuración ayuda archivo editar ver inicio home file edit view help search buscar settings more mas más calendario calendar "
-    "actividad activity aplicaciones apps camara cámara microfono micrófono silenciar salir finalizar"
-).split()
+    "chat", "chats", "sessions", "session", "about", "acerca", "notas", "resumen", "compartida", "compartido",
+    "compartir", "participantes", "participante", "reunion", "reunión", "grabacion", "grabación", "transcripcion",
+    "transcripción", "pregunta", "preguntas", "pregun", "respuesta", "respuestas", "mensaje", "mensajes", "teams",
+    "meet", "zoom", "copilot", "menu", "menú", "opciones", "configuracion", "configuración", "ayuda", "archivo",
+    "editar", "ver", "inicio", "home", "file", "edit", "view", "help", "search", "buscar", "settings", "more", "mas",
+    "más", "calendario", "calendar", "actividad", "activity", "aplicaciones", "apps", "camara", "cámara", "microfono",
+    "micrófono", "silenciar", "salir", "finalizar",
+)
 VOICES = {
     "mx": "es-MX-DaliaNeural", "mx-f": "es-MX-DaliaNeural", "mx-m": "es-MX-JorgeNeural", "co": "es-CO-SalomeNeural", "co-m": "es-CO-GonzaloNeural",
     "ar": "es-AR-ElenaNeural", "ar-m": "es-AR-TomasNeural", "cl": "es-CL-CatalinaNeural", "cl-m": "es-CL-LorenzoNeural", "us": "es-US-PalomaNeural", "us-m": "es-US-AlonsoNeural",

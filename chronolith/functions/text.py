@@ -15,6 +15,11 @@ PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCcYyy"
 _VERSION = r"(?:[-_\s]*(?:v\d+|version\s*\d+|final[-_\s]*\d+|final|copy|copia|rev\d*))+[-_ ]*$"
 _LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 _UPPER = "A-ZÁÉÍÓÚÑ"
+# What names of screens don't have, words that are none, lines that are noise, and the signs cut off words.
+SCREEN_NOISE = r"(?iu)ctrl?\s*\+|\(ctr|@|\.(com|cl|net)\b|^\s*(esta|este|esto|updated?|new|nuevo|nueva|session|home|men[uú])\s*$"
+SCREEN_FILLERS = r"(?i)^(updated?|al|the|de|del|la|el|los|las|un|una|y|o|en)$"
+LINE_NOISE = r"(?iu)^(archivo|inicio|insertar|ayuda|buscar|file|home|edit|view|\d{1,2}:\d{2}|[^\p{L}\p{N}_]+)$"
+WORD_EDGES = r"^[.&/\-]+|[.&/\-]+$"
 
 
 def plain(text: Column) -> Column:
@@ -114,25 +119,25 @@ def words(text: Column) -> Column:
 def is_chrome(text: Column, chrome=tuple(UI_CHROME)) -> Column:
     """Whether all words are parts of any program's window; true without words."""
     known = F.array(*map(F.lit, chrome))
-    return F.forall(words(text), lambda w: F.array_contains(known, F.lower(F.regexp_replace(w, r"^[.&/\-]+|[.&/\-]+$", ""))))
+    return F.forall(words(text), lambda w: F.array_contains(known, F.lower(F.regexp_replace(w, WORD_EDGES, ""))))
 
 
 def is_screen_name(text: Column) -> Column:
     """Whether a line can be the name of a screen: a short label of capitalised words or acronyms, without noise."""
     s = F.coalesce(text, F.lit(""))
-    bad = s.rlike(r"(?iu)ctrl?\s*\+|\(ctr|@|\.(com|cl|net)\b|^\s*(esta|este|esto|updated?|new|nuevo|nueva|session|home|men[uú])\s*$")
+    bad = s.rlike(SCREEN_NOISE)
     signs = s.rlike(rf"^[{_LETTERS}0-9][{_LETTERS}0-9 .&\-]*$")
     each = words(s)
 
     def good(word: Column) -> Column:
-        w = F.regexp_replace(word, r"^[.&/\-]+|[.&/\-]+$", "")
+        w = F.regexp_replace(word, WORD_EDGES, "")
         upper = w.rlike(r"\p{Lu}") & (w == F.upper(w))
         pieces = F.regexp_extract_all(w, F.lit(rf"([{_UPPER}][a-záéíóúñ]+)"), F.lit(1))
         lower = F.transform(pieces, lambda p: F.lower(p))
         twice = (F.size(pieces) >= 2) & (F.size(F.array_distinct(lower)) < F.size(pieces))
         return (
             (w != "")
-            & ~w.rlike(r"(?i)^(updated?|al|the|de|del|la|el|los|las|un|una|y|o|en)$")
+            & ~w.rlike(SCREEN_FILLERS)
             & (w.rlike(r"^\p{Lu}") | w.rlike(r"^\d+$"))
             & ((F.length(w) >= 3) | upper)
             & (F.size(pieces) < 3)
@@ -148,8 +153,7 @@ def is_screen_name(text: Column) -> Column:
 def screen_title(text: Column, most: int = 40) -> Column:
     """The first line of a text that can be the name of a screen, or ''."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.array_join(words(x), " "))
-    noise = r"(?iu)^(archivo|inicio|insertar|ayuda|buscar|file|home|edit|view|\d{1,2}:\d{2}|[^\p{L}\p{N}_]+)$"
-    fits = lambda s: F.length(s).between(3, most) & ~s.rlike(noise) & s.rlike(r"[A-Za-zÁÉÍÓÚáéíóúÑñ]{3}") & is_screen_name(s)
+    fits = lambda s: F.length(s).between(3, most) & ~s.rlike(LINE_NOISE) & s.rlike(r"[A-Za-zÁÉÍÓÚáéíóúÑñ]{3}") & is_screen_name(s)
     return F.coalesce(F.get(F.filter(lines, fits), F.lit(0)), F.lit(""))
 
 

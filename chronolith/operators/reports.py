@@ -25,10 +25,17 @@ TOPIC_PROFILES = (
 )
 
 
+# How a topic without a profile is spoken of, and the sentences about any topic around its parts.
+OTHER_DONE = ("el equipo trabaja sobre ", " dentro del proceso de desarrollo")
+OTHER_WORTH = "aporta orden y trazabilidad al trabajo del equipo"
+TOPIC_INTRO = ("En esta cápsula revisamos ", ". Durante la sesión, ", ". Veamos el procedimiento en pantalla, tal como fue ejecutado.")
+TOPIC_CLOSE = ("El procedimiento queda documentado y puede repetirse cuando se necesite. Para la organización, ", ".")
+
+
 def topic_profile(topic: Column) -> Column:
     """Struct of name, done and worth of a topic; a neutral one of an unknown topic."""
     bare = F.lower(F.trim(F.regexp_replace(topic, r"\s*/\s*", " y ")))
-    out = F.struct(bare.alias("name"), F.concat(F.lit("el equipo trabaja sobre "), bare, F.lit(" dentro del proceso de desarrollo")).alias("done"), F.lit("aporta orden y trazabilidad al trabajo del equipo").alias("worth"))
+    out = F.struct(bare.alias("name"), F.concat(F.lit(OTHER_DONE[0]), bare, F.lit(OTHER_DONE[1])).alias("done"), F.lit(OTHER_WORTH).alias("worth"))
     for name, *parts in TOPIC_PROFILES:
         out = F.when(topic == name, F.struct(*[F.lit(p).alias(n) for p, n in zip(parts, ("name", "done", "worth"), strict=True)])).otherwise(out)
     return out
@@ -47,7 +54,6 @@ THEME_CLOSE = (
     "La inteligencia artificial ejecuta; las personas deciden. Gracias por acompañarme en esta Cápsula."
 )
 THEME_QUESTION = ("¿Cómo funciona ", " y qué gano con esto?")
-ACT_LABELS = ("¿Qué hace?", "¿Para qué sirve?", "¿Cuál es el resultado?")
 
 
 def theme_script(title: Column, hook: Column, what: Column, purpose: Column, result: Column, question: Column, example: Column, worth: Column) -> Column:
@@ -62,17 +68,11 @@ def theme_script(title: Column, hook: Column, what: Column, purpose: Column, res
     )
 
 
-def act_caption(act: Column, title: Column) -> Column:
-    """The label of an act, the first for those before it and the last for those after it, and the title."""
-    label = F.element_at(F.array(*map(F.lit, ACT_LABELS)), F.least(F.greatest(act.cast("int"), F.lit(0)), F.lit(2)) + 1)
-    return F.concat(label, F.lit(" · "), title)
-
-
 def grounded_script(topic: Column, walkthrough: Column | None = None) -> Column:
     """The spoken text about a topic, a walkthrough in its middle if there is one."""
     p = topic_profile(topic)
-    intro = F.concat(F.lit("En esta cápsula revisamos "), p["name"], F.lit(". Durante la sesión, "), p["done"], F.lit(". Veamos el procedimiento en pantalla, tal como fue ejecutado."))
-    close = F.concat(F.lit("El procedimiento queda documentado y puede repetirse cuando se necesite. Para la organización, "), p["worth"], F.lit("."))
+    intro = F.concat(F.lit(TOPIC_INTRO[0]), p["name"], F.lit(TOPIC_INTRO[1]), p["done"], F.lit(TOPIC_INTRO[2]))
+    close = F.concat(F.lit(TOPIC_CLOSE[0]), p["worth"], F.lit(TOPIC_CLOSE[1]))
     middle = F.nullif(F.coalesce(walkthrough if walkthrough is not None else F.lit(""), F.lit("")), F.lit(""))
     return F.concat_ws(" ", intro, middle, close)
 

@@ -152,7 +152,7 @@ def voices(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", rules.voice_of(alias).alias("voice"))
 
 
-@register("act_captions", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '¿Qué hace?' WHEN p_size % 5 = 1 THEN 'Propósito' ELSE 'Resultado' END || ' · ' || p_name AS caption FROM part")
+@register("act_captions", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '¿Qué hace?' WHEN p_size % 5 = 1 THEN '¿Para qué sirve?' ELSE '¿Cuál es el resultado?' END || ' · ' || p_name AS caption FROM part")
 def act_captions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rules.act_caption((F.col("p_size") % 5).cast("int"), F.col("p_name")).alias("caption"))
 

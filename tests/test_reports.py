@@ -21,7 +21,7 @@ def test_captions_and_scripts(spark):
     script = one(spark, reports.grounded_script(F.lit("CI/CD"), F.lit("Luego, algo.")))
     assert script.startswith("En esta cápsula revisamos la integración") and " Luego, algo. El procedimiento" in script
     assert one(spark, reports.topic_profile(F.lit("Foo / Bar")))["name"] == "foo y bar"
-    assert one(spark, rules.act_caption(F.lit(9), F.lit("T"))) == "Resultado · T"
+    assert one(spark, rules.act_caption(F.lit(9), F.lit("T"))) == "¿Cuál es el resultado? · T"
     assert one(spark, reports.item_seconds(F.lit(4.0), F.lit(6.0))) == 6.4 and one(spark, reports.item_seconds(F.lit(4.0), F.lit(None).cast("double"))) == 4.0
     lines = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(s).alias("score"), F.lit(t).alias("text")) for x, y, s, t in [(50, 5, 0.9, "b"), (1, 7, 0.9, "a"), (0, 40, 0.9, "c"), (0, 0, 0.1, "no")]])
     assert one(spark, T.ocr_text(lines)) == "b\na\nc"  # 7 / 12 rounds to the next row
@@ -109,7 +109,7 @@ def test_theme_script_leaves_out_what_is_missing(spark):
     n = F.lit(None).cast("string")
     script = one(spark, reports.theme_script(F.lit("API Mesa"), F.lit(""), F.lit("qué."), F.lit("para."), F.lit("fin."), n, n, F.lit("")))
     assert script == f"Cápsula. Veamos primero el contexto. qué. {reports.THEME_ASKS} ¿Cómo funciona api mesa y qué gano con esto? {reports.THEME_ANSWERS} para. {reports.THEME_RESULT} fin. {reports.THEME_CLOSE}"
-    assert [one(spark, reports.act_caption(F.lit(a), F.lit("T"))) for a in (-1, 0, 1, 7)] == ["¿Qué hace? · T", "¿Qué hace? · T", "¿Para qué sirve? · T", "¿Cuál es el resultado? · T"]
+    assert [one(spark, rules.act_caption(F.lit(a), F.lit("T"))) for a in (-1, 0, 1, 7)] == ["¿Qué hace? · T", "¿Qué hace? · T", "¿Para qué sirve? · T", "¿Cuál es el resultado? · T"]
 
 
 def test_deliverables(spark, tmp_path):
