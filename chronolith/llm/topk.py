@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, table
 
-#: Queries whose vectors one pass ships to the executors; more queries take more passes.
-QUERY_BLOCK = 8192
+#: Numbers of the queries, and of the vectors, that meet in one cell: about 16,384 vectors of 64 components each.
+CELL_NUMBERS = 1 << 20
 #: Vectors of a tile, and queries of a product: a tile of scores is of QUERY_TILE x TILE numbers.
 TILE, QUERY_TILE = 4096, 512
-#: Parts whose lists one task of the first merge takes.
+#: Tiles of the table whose lists one task of the first merge takes.
 FAN = 32
-#: Passes that one job makes, before its lists are written.
-PASSES = 16
+#: Cells of one task, where there are more of them than a shuffle's usual partitions.
+CELLS_A_TASK = 8
 
 
-def quantised(vectors: list) -> list[np.ndarray | None]:
-    """floor(256 * x) of each component, x as double; None for a vector that takes no part.
+def quantised(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vector: the rows of such vectors, and floor(256 * x) of each component, x as double.
 
-    These are null vectors and those with null or non-finite components. Components of 2**40 and more stay floats,
+    Null vectors and those with null or non-finite components are left out. Components of 2**40 and more stay floats,
     which are whole numbers, and turn into Python integers in exact products. A component that is finite and 256 times
     of which isn't raises an error, as its scores have more than 64 bits.
     """
-    out: list[np.ndarray | None] = []
-    for v in vectors:
-        if v is None or any(x is None for x in v):
-            out.append(None)
-            continue
-        x = np.array(v, np.float64)
-        if not np.isfinite(x).all():
-            out.append(None)
-            continue
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    widths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(np.maximum(widths, 0)) - np.maximum(widths, 0)
+    out = {}
+    for width in np.unique(widths[widths >= 0]).tolist():
+        rows = np.flatnonzero(widths == width)
+        numbers = flat[starts[rows][:, None] + np.arange(width)]
+        finite = np.isfinite(numbers).all(axis=1)
         with np.errstate(over="raise"):
-            out.append(np.floor(256 * x))
+            out[width] = rows[finite], np.floor(256 * numbers[finite])
     return out
 
 
@@ -103,84 +104,85 @@ class _Lists:
         return self.rows[0], self.ids[0], self.scores[0]
 
 
-def _searcher(shipped, k: int):
-    def run(batches):
-        blocks = {}
-        for width in {len(v) for _, v in shipped.value}:
-            some = [(i, v) for i, v in shipped.value if len(v) == width]
-            blocks[width] = np.array([i for i, _ in some], np.int64), np.array([v for _, v in some], np.float64).reshape(len(some), width)
+def _cell(k: int):
+    """The k best of each query of a cell among the cell's vectors, tile by tile."""
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found = [pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")} | {"tile": pa.array([], pa.int64())})]
+        if not queries.num_rows or not vectors.num_rows:
+            return found[0]
+        own_ids, all_ids = (t.column("vec_id").to_numpy() for t in (queries, vectors))
+        number = vectors.column("tile")[0].as_py()
+        blocks = quantised(queries.column("vector"))
         lists = {width: _Lists(k) for width in blocks}
-        for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                part = batch.slice(at, TILE)
-                ids = part.column("vec_id").to_pylist()
-                by_width: dict[int, list] = {}
-                for i, v in zip(ids, quantised(part.column("vector").to_pylist()), strict=True):
-                    if v is not None and len(v) in blocks:
-                        by_width.setdefault(len(v), []).append((i, v))
-                for width, some in by_width.items():
-                    some.sort(key=lambda x: x[0])
-                    tile_ids, tile = np.array([i for i, _ in some], np.int64), np.array([v for _, v in some]).reshape(len(some), width)
-                    own, vectors = blocks[width]
-                    for q in range(0, len(own), QUERY_TILE):
-                        rows, found, scores = tile_top(exact_products(vectors[q : q + QUERY_TILE], tile), tile_ids, own[q : q + QUERY_TILE], k)
-                        lists[width].add(rows + q, found, scores)
+        for at in range(0, vectors.num_rows, TILE):
+            for width, (rows, tile) in quantised(vectors.column("vector").slice(at, TILE)).items():
+                if width not in blocks:
+                    continue
+                ids = all_ids[at + rows]
+                order = np.argsort(ids, kind="stable")
+                ids, tile = ids[order], tile[order]
+                of, block = blocks[width]
+                for q in range(0, len(of), QUERY_TILE):
+                    some = slice(q, q + QUERY_TILE)
+                    best, at_ids, scores = tile_top(exact_products(block[some], tile), ids, own_ids[of[some]], k)
+                    lists[width].add(best + q, at_ids, scores)
         for width, some in lists.items():
             rows, ids, scores = some.merge()
-            for at in range(0, len(rows), 65536):
-                cut = slice(at, at + 65536)
-                whole = pa.array([int(s) for s in scores[cut]], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[width][0][rows[cut]]), pa.array(ids[cut]), whole], ["query_id", "vec_id", "score"])
+            whole = pa.array([int(x) for x in scores] if scores.dtype == object else scores.astype(np.int64), pa.int64())
+            found.append(pa.table({"query_id": own_ids[blocks[width][0][rows]], "vec_id": pa.array(ids, pa.int64()), "score": whole, "tile": pa.array(np.full(len(rows), number, np.int64))}))
+        return pa.concat_tables(found)
 
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    block: list = []
-    some = False
-    for i, v in queries.toLocalIterator():
-        (x,) = quantised([v])
-        if x is not None:
-            block.append((i, x))
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block, some = [], True
-    if block or not some:
-        yield block
-
-
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with every other vector.
 
     vectors: vec_id, embedding. ``is_query`` chooses the queries by vec_id. Ties go to the smaller vec_id. Null vectors,
     vectors with null or non-finite components and rows without vec_id take no part. A query meets vectors of its own
-    length only, and none with its own vec_id. Rows that repeat a query's vec_id are one query, of the least vector;
-    repeated vectors are listed each.
+    length only, and none with its own vec_id. Rows that repeat a query's vec_id are one query, of the least vector that
+    takes part; repeated vectors are listed each.
     Fewer than k vectors are all listed; no queries or an empty table give an empty result. A score beyond 64 bits
     raises an error.
 
-    Queries are shipped in blocks of ``QUERY_BLOCK`` vectors, whose size doesn't depend on the table; each block passes
-    over the table once, tile by tile, and each part of the table keeps k rows a query. Lists of parts merge in two
-    levels, so no task takes the lists of all parts.
+    Queries are dealt over blocks and the table over tiles, each of some ``CELL_NUMBERS`` numbers, by hashes of which no
+    hot id or vector makes one large; each pair of a block and a tile is a cell, whose sides meet by an equi-join on the
+    two numbers. So a task holds one block and one tile, whatever the table's size, nothing is broadcast, and no vector
+    comes to the driver, which takes two counts and the greatest length. A row is sent once for each block or tile of
+    the other side, whose thousands of rows it meets there. Lists of tiles merge in two levels, so no task takes the
+    lists of all tiles.
     """
     base = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
-    base = base.where("vec_id is not null")
-    queries = base.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    spark = vectors.sparkSession
-    done, lists = [], []
-    for block in _blocks(queries):
-        part = base.mapInArrow(_searcher(spark.sparkContext.broadcast(block), k), "query_id bigint, vec_id bigint, score bigint")
-        lists.append(_merged(part.withColumn("part", F.spark_partition_id()), k))
-        if len(lists) == PASSES:
-            done, lists = [*done, materialize(reduce(DataFrame.union, lists), "top")], []
-    return reduce(DataFrame.union, [*done, *lists])
+
+    def usable(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+
+    base = base.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", usable))
+    queries = materialize(base.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    n_queries, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    # Where a row lies is written with it, as its number could differ if an executor is lost and the row computed anew.
+    base = base.where(F.size("vector") <= width).withColumn("spot", F.xxhash64(F.monotonically_increasing_id()))
+    base = materialize(base, "vectors")
+    tiles, blocks = (max(1, math.ceil(rows * max(1, width) / CELL_NUMBERS)) for rows in (base.count(), n_queries))
+    usual = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(4 * tiles * blocks, max(usual, math.ceil(tiles * blocks / CELLS_A_TASK)))
+
+    def every(n: int, name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    of_tile = base.select("vec_id", "vector", F.pmod("spot", F.lit(tiles)).cast("int").alias("tile"), every(blocks, "block"))
+    of_block = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(tiles, "tile"))
+    of_tile, of_block = (side.repartition(tasks, "tile", "block") for side in (of_tile, of_block))
+    cells = of_block.groupBy("tile", "block").cogroup(of_tile.groupBy("tile", "block"))
+    return _merged(cells.applyInArrow(_cell(k), "query_id bigint, vec_id bigint, score bigint, tile bigint"), k)
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, over groups of parts and then over groups."""
+    """The k best of each query, over groups of tiles and then over groups."""
     best = [F.col("score").desc(), F.col("vec_id")]
     near = Window.partitionBy("query_id", "group").orderBy(*best)
-    lists = lists.withColumn("group", F.expr(f"part div {FAN}")).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k)
+    lists = lists.withColumn("group", F.expr(f"tile div {FAN}")).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k)
     ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

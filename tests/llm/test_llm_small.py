@@ -310,7 +310,10 @@ def test_shards_are_even_and_gapless(spark, sf_dir):
 # 8 top-k
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("numbers", [1 << 20, 24])
+def test_top_k_equals_brute_force(spark, monkeypatch, numbers):
+    """Also in cells of a few rows each, so that blocks and tiles are many."""
+    monkeypatch.setattr(topk, "CELL_NUMBERS", numbers)
     rng = random.Random(9)
     rows = [(i, [rng.choice([0.0, 0.5, -0.25, 0.125]) for _ in range(4)]) for i in range(230)]
     rows += [(230, None), (231, [1.0, None, 0.0, 0.0]), (232, [float("nan")] * 4), (233, [float("inf")] * 4), (234, [1.0, 2.0]), (250, [2.0, 1.0]), (300, [1e6, -1e6, 1e6, 1.0]), (301, [1e6, -1e6, 1e6, 2.0]), (None, [1.0] * 4)]
