@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import report_queries, source_queries, store_queries, text_queries, timeline_queries  # noqa: F401
+    from . import file_queries, report_queries, source_queries, store_queries, text_queries, timeline_queries  # noqa: F401
