@@ -18,7 +18,8 @@ def text(v):
         return ""
     kind = type(v).__name__
     if "float" in kind or "Decimal" in kind:
-        return repr(round(float(v), 6) + 0.0)
+        v = round(float(v), 6)
+        return str(int(v)) if v.is_integer() else repr(v)  # pandas turns whole numbers into floats where some are null
     return str(int(v)) if "int" in kind else str(v)
 
 
