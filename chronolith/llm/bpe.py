@@ -85,6 +85,34 @@ def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, places[1:], np.diff(of_text)
 
 
+def merge_in_order(ids: list[int], pairs: dict[int, int], size: int) -> list[int]:
+    """ids after all merges, one at a time: the pair of least rank, and of these the leftmost, comes next from a heap.
+
+    ``pairs``: of left * size + right, the id they merge to; ids ascend with ranks.
+    """
+    ids, n = list(ids), len(ids)
+    get = pairs.get
+    heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] * size + ids[i + 1])) is not None]
+    if not heap:
+        return ids
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] < 0 or j >= n or get(ids[i] * size + ids[j]) != rank:
+            continue
+        ids[i], ids[j] = rank, -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (m := get(rank * size + ids[after[i]])) is not None:
+                heapq.heappush(heap, (m, i))
+        if (k := before[i]) >= 0 and (m := get(ids[k] * size + rank)) is not None:
+            heapq.heappush(heap, (m, k))
+    return [x for x in ids if x >= 0]
+
+
 class Vocabulary:
     """Ranks of byte strings and a hash table of the pairs that merge.
 
@@ -197,27 +225,8 @@ class Vocabulary:
         return tuple(np.concatenate(x) for x in (order, counts, done))
 
     def heaped(self, piece: bytes) -> np.ndarray:
-        """Ids of a piece of any length: the same merges, one at a time, the next one from a heap."""
-        ids = [self.ranks[bytes([c])] for c in piece]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.pairs.get
-        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] * self.size + ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or get(ids[i] * self.size + ids[j]) != rank:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (m := get(rank * self.size + ids[after[i]])) is not None:
-                    heapq.heappush(heap, (m, i))
-            if (k := before[i]) >= 0 and (m := get(ids[k] * self.size + rank)) is not None:
-                heapq.heappush(heap, (m, k))
-        return np.array([x for x in ids if x >= 0], np.int64)
+        """Ids of a piece of any length: the same merges, one at a time."""
+        return np.array(merge_in_order([self.ranks[bytes([c])] for c in piece], self.pairs, self.size), np.int64)
 
     def learn(self, pieces: list[bytes]) -> None:
         """Encode pieces not met before, by buckets of lengths."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, near_dup, secrets, sharding, topk, toxicity, url_filter
+from . import bpe, chat, decontaminate, filter_audit, html_text, near_dup, secrets, sharding, topk, toxicity, url_filter, variants, word_bpe
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_secrets": secrets.op9_secrets,
     "op10_near_dup": near_dup.op10_near_dup,
+    "op11_word_bpe": word_bpe.op11_word_bpe,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_url_filters": url_filter.ORACLE,
     "op8_topk": topk.ORACLE,
     "op10_near_dup": near_dup.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
