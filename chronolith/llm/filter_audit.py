@@ -1,32 +1,41 @@
-"""Filter interaction audit by inclusion and exclusion over all 32 intersections of five filters. DataFrame expressions only."""
+"""Filter interaction audit by inclusion and exclusion over all 32 intersections of five filters."""
 
 from __future__ import annotations
 
+import hashlib
 from itertools import permutations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, slices, table
 
 FILTERS = "ABCDE"
 ALL = (1 << len(FILTERS)) - 1
 #: What is counted: rows, rows of good quality, toxic rows.
 WEIGHTS = ("rows", "good", "toxic")
+CAPITALS, MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 
 
-def text_failures(text: Column) -> dict[str, Column]:
-    """Whether a text (not null) fails each of the filters that look at it alone, as 0 or 1."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
-    capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
-    fails = {
-        "A": n < 50,
-        "B": F.lit(100) * distinct < F.lit(65) * n,
-        "C": F.lit(100) * capitals > F.lit(5) * F.length(text),
-        "D": text.rlike(r"[#$%&*|]"),
-    }
-    return {k: v.cast("int") for k, v in fails.items()}
+def text_failures(batches):
+    """doc_id, part, digest and the flags A to D of Arrow batches (doc_id, part, text): what a text alone decides.
+
+    White space that parts words is that of bytes.split(); every other sign that is counted is one byte wide, too.
+    """
+    for batch in slices(batches, 1024):
+        rows = []
+        column = batch.column("text")
+        for text, points in zip(column.cast(pa.binary()).to_pylist(), pc.utf8_length(column).to_pylist(), strict=True):
+            words = text.split()
+            capitals = len(text) - len(text.translate(None, CAPITALS))
+            marked = len(text) != len(text.translate(None, MARKS))
+            fails = (len(words) < 50, 100 * len(set(words)) < 65 * len(words), 100 * capitals > 5 * points, marked)
+            rows.append((hashlib.sha256(text).digest(), *map(int, fails)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        arrays = [pa.array(c, pa.binary() if i == 0 else pa.int32()) for i, c in enumerate(columns)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), *arrays], ["doc_id", "part", "digest", *"ABCD"])
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -36,11 +45,10 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (SHA-256); a null doc_id is smaller than none and larger than none. A doc_id that labels hold several times is good or
     toxic if any of its rows says so.
     """
-    base = pick(docs, "doc_id", "text", "source").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = base.select(
-        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), F.sha2(F.col("text"), 256).alias("digest"),
-        *[v.alias(k) for k, v in text_failures(F.col("text")).items()],
-    )
+    base = pick(docs, "doc_id", "text", "source")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    base = base.select("doc_id", text("source").alias("part"), text("text"))
+    own = base.mapInArrow(text_failures, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, part string, digest binary, A int, B int, C int, D int")
     # A text that occurs once needs no partner: only those of several rows are joined back, which a hot text's rows reach by a skewed join.
     least = own.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     marks = pick(labels, "doc_id", "quality", "toxic").filter("doc_id IS NOT NULL").groupBy("doc_id")
@@ -57,22 +65,15 @@ def joint_counts(flags: DataFrame) -> DataFrame:
     Each is a sum of products of flags, added up before the exchange, so no part's rows meet in one task.
     """
 
-    def product(mask: int, weight: str) -> Column:
-        out = F.col(weight)
-        for i, name in enumerate(FILTERS):
-            if mask >> i & 1:
-                out = out * F.col(name)
-        return F.sum(out)
-
-    sums = flags.groupBy("part").agg(*[product(m, w).alias(f"{w}{m}") for w in WEIGHTS for m in range(ALL + 1)])
-    return sums.select("part", *[F.array(*[F.col(f"{w}{m}") for m in range(ALL + 1)]).alias(w) for w in WEIGHTS])
+    product = lambda weight, mask: " * ".join([weight, *(name for i, name in enumerate(FILTERS) if mask >> i & 1)])
+    joint = [F.expr(f"array({', '.join(f'sum({product(w, m)})' for m in range(ALL + 1))})").alias(w) for w in WEIGHTS]
+    return flags.groupBy("part").agg(*joint)
 
 
-def _sum(terms: list[tuple[int, Column]]) -> Column:
-    out = F.lit(0).cast("long")
-    for factor, c in terms:
-        out = out + c * F.lit(factor)
-    return out
+def _array(joint: str, sums: list[list[tuple[int, int]]]) -> Column:
+    """Array of sums of (factor, set) over the joint counts."""
+    terms = lambda some: " + ".join(f"{factor} * {joint}[{mask}]" for factor, mask in some)
+    return F.expr(f"array({', '.join(terms(some) for some in sums)})")
 
 
 def _subsets(mask: int) -> list[int]:
@@ -81,12 +82,12 @@ def _subsets(mask: int) -> list[int]:
 
 def survivors(joint: str) -> Column:
     """Array by a set's bits: how many fail none of the set (inclusion and exclusion over its subsets)."""
-    return F.array(*[_sum([((-1) ** m.bit_count(), F.get(F.col(joint), F.lit(m))) for m in _subsets(mask)]) for mask in range(ALL + 1)])
+    return _array(joint, [[((-1) ** m.bit_count(), m) for m in _subsets(mask)] for mask in range(ALL + 1)])
 
 
 def alone(joint: str) -> Column:
     """Array by filter: how many fail it and nothing else (Möbius inversion over the supersets)."""
-    return F.array(*[_sum([((-1) ** m.bit_count(), F.get(F.col(joint), F.lit(m | 1 << i))) for m in _subsets(ALL ^ 1 << i)]) for i in range(len(FILTERS))])
+    return _array(joint, [[((-1) ** m.bit_count(), m | 1 << i) for m in _subsets(ALL ^ 1 << i)] for i in range(len(FILTERS))])
 
 
 def shapley(joint: str) -> Column:
@@ -96,8 +97,7 @@ def shapley(joint: str) -> Column:
     joint count, negative for sets of even size. A filter gets an equal share of every dividend it takes part in: in 120
     orders, 120 / size.
     """
-    shares = lambda i: [(120 // m.bit_count() * (-1) ** (m.bit_count() + 1), F.get(F.col(joint), F.lit(m))) for m in range(1, ALL + 1) if m >> i & 1]
-    return F.array(*[_sum(shares(i)) for i in range(len(FILTERS))])
+    return _array(joint, [[(120 // m.bit_count() * (-1) ** (m.bit_count() + 1), m) for m in range(1, ALL + 1) if m >> i & 1] for i in range(len(FILTERS))])
 
 
 def orders() -> Column:
@@ -121,7 +121,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     counts = joint_counts(flagged(docs, labels))
     solved = counts.select(
-        "part", F.array(*[F.get(F.col("rows"), F.lit(1 << i)) for i in range(len(FILTERS))]).alias("fails"),
+        "part", _array("rows", [[(1, 1 << i)] for i in range(len(FILTERS))]).alias("fails"),
         *[survivors(w).alias(f"left_{w}") for w in WEIGHTS], alone("rows").alias("alone"), shapley("rows").alias("shares"),
     )
     rows = solved.select("*", F.explode(orders()).alias("o")).select("*", "o.*")
