@@ -1,9 +1,8 @@
-"""The registry by its commands, and the progress log."""
+"""The registry by its commands."""
 
 import json
 
 from chronolith import cli
-from chronolith.progress import Progress
 
 CASES = """# Casos
 ## Caso 1: Jira y backlog
@@ -54,12 +53,3 @@ def test_registry_commands(spark, tmp_path):
     assert delete("Demo-Uno-Dos.mp4", "--yes") == (0, "SKIP_ABSENT")
     got = {x["video"]: x for x in call("record-videos", *folders)[1]}
     assert got["Demo-Uno-Dos.mp4"]["eliminado"] and got["Demo-Uno-Dos.mp4"]["registrado"] == demo["registrado"]
-
-
-def test_progress_log(tmp_path):
-    at = tmp_path / "a" / "progress.log"
-    p = Progress(str(at))
-    p.phase("uno")
-    p.log("dos")
-    lines = at.read_text().split("\n")
-    assert lines[0] == "# progreso" and lines[3].endswith("===== uno =====") and lines[4].endswith("] dos")
