@@ -279,8 +279,7 @@ def parse_chats(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit(""))
     base = base.withColumn("conv", conv).withColumn("text", F.col("text").cast("string"))
     base = base.select("*", *[f.cast("int").alias(f"f{i}") for i, f in enumerate(observation(F.col("text")))])
-    base = base.withColumn("tie", F.xxhash64("text", "role"))
-    ranked = materialize(global_rank(base, ["conv", "turn", "tie"]), "chats")
+    ranked = materialize(global_rank(base, ["conv", "turn", "text"]), "chats")
     total = ranked.count()
     size = max(block_rows, -(-total // MOST_BLOCKS))
     hmm = train(ranked)

@@ -131,8 +131,8 @@ def _sketched(batches):
             keys.append(band_keys(hashes) if text else None)
             texts.append(text)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "bands", "normal"],
+            [batch.column("doc_id"), batch.column("same"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.binary())],
+            ["doc_id", "same", "n_shingles", "digest", "bands", "normal"],
         )
 
 
@@ -326,8 +326,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members, as no fewer comparisons rule a link out. Joins that can have a hot key have an exchange on either side for
     adaptive execution to split. Only texts of candidates are compared.
     """
+    return _labelled(docs, percent).drop("same")
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of near_duplicates with ``same``, a hash of the text as it is: rows of one doc_id and text share a lot."""
     base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = base.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, normal binary")
+    base = base.select("doc_id", F.xxhash64("text").alias("same"), "text")
+    rows = base.mapInArrow(_sketched, "doc_id bigint, same bigint, n_shingles bigint, digest binary, bands array<bigint>, normal binary")
     rows = materialize(rows.withColumn("tag", F.monotonically_increasing_id()), "sketch")
     classes = (
         rows.where("digest is not null and doc_id is not null")
@@ -363,9 +369,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = named.join(least, "label").select("digest", "component")
     rest = classes.join(labels, "node", "left_anti").select("digest", F.col("first").alias("component"))
     found = materialize(found.union(rest), "components")
-    plain = rows.select("doc_id", "n_shingles", "digest")
+    plain = rows.select("doc_id", "same", "n_shingles", "digest")
     return plain.join(found, "digest", "left").select(
         "doc_id",
+        "same",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"),
@@ -386,11 +393,13 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without those that a document of lower doc_id in their component stands for.
 
-    Rows repeated with the same doc_id and text are one document and stay or go together; rows without doc_id stay.
+    Rows repeated with the same doc_id and text are one document and stay or go together; texts that share a doc_id are
+    documents of their own, each judged by itself; rows without doc_id stay.
     """
     plain, names = set_aside(docs, "doc_id", "text")
-    dropped = near_duplicates(plain.select("doc_id", "text"), percent).where("not kept").select("doc_id").distinct()
-    return plain.join(dropped, "doc_id", "left_anti").select(*names).toDF(*docs.columns)
+    gone = _labelled(plain.select("doc_id", "text"), percent).where("not kept").select(F.col("doc_id").alias("__gone"), "same").distinct()
+    here = (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("same"))
+    return plain.join(gone, here, "left_anti").select(*names).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -51,6 +52,8 @@ _HARMLESS = frozenset("sha sha1 sha256 sha512 md5 checksum digest hash commit re
 _TELLING = frozenset("password passwd pwd passphrase secret token key apikey api credential credentials auth bearer login private access".split())
 _TEST_PATH = re.compile(r"(?i)(?:^|[/._-])(?:tests?|examples?|samples?|mocks?|fixtures?|docs?|demo|spec)(?:[/._-]|$)")
 _NEAR = re.compile(r"[A-Za-z0-9]+")
+#: Neighbouring words that are looked at.
+BEFORE, AFTER = 5, 3
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
@@ -115,7 +118,7 @@ def measures(candidate: str, before: str, after: str, path: str | None) -> list[
         while at >= 0:
             covered[at : at + len(word)] = True
             at = low.find(word, at + 1)
-    near = {w.lower() for w in _NEAR.findall(before)[-5:]} | {w.lower() for w in _NEAR.findall(after)[:3]}
+    near = {w.lower() for w in _NEAR.findall(before)[-BEFORE:]} | {w.lower() for w in _NEAR.findall(after)[:AFTER]}
     return [
         math.log2(len(candidate) + 1),
         -sum(v / n * math.log2(v / n) for v in counts.values()),
@@ -272,7 +275,15 @@ def scan_text(text: str | None, path: str | None, forest: Forest) -> tuple[int,
     found = candidates(text)
     if not found:
         return 0, []
-    x = np.array([measures(text[a:b], text[max(0, a - 80) : a], text[b : b + 40], path) for a, b, _ in found])
+    spans = [m.span() for m in _NEAR.finditer(text)]
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def around(a: int, b: int) -> tuple[str, str]:
+        """The text from the fifth word before a, and up to the third one after b, whole words of any length."""
+        i, j = bisect_left(starts, a), bisect_right(ends, b)
+        return text[starts[max(0, i - BEFORE)] if i else 0 : a], text[b : ends[min(j + AFTER, len(ends)) - 1] if j < len(ends) else len(text)]
+
+    x = np.array([measures(text[a:b], *around(a, b), path) for a, b, _ in found])
     votes = forest.votes(x)
     return len(found), [(a, b, shape, float(v)) for (a, b, shape), v in zip(found, votes, strict=True) if v >= VOTES]
 

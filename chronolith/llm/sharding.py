@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize, pick, table
+from .common import global_rank, materialize, pick, set_aside, table
 
 BITS = 8
 
@@ -65,10 +65,14 @@ def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     The text is read once, for its size and checksum; narrow rows are written, and these are ranked. The range exchange has doc_id
     among its keys, so a source or group of copies with a third of all rows is spread over many tasks.
     """
-    base = pick(docs, "doc_id", "text", "lang", "source")
+    return _ranked(pick(docs, "doc_id", "text", "lang", "source"), shards)
+
+
+def _ranked(base: DataFrame, shards: int, *carry: str) -> DataFrame:
+    """Shards and slots of base (doc_id, text, lang, source, and the columns to carry)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + F.lit(16).cast("long")
-    narrow = base.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
+    narrow = base.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source", *carry)
     narrow = narrow.withColumn("curve", hilbert_index(quantised(F.col("lang"), F.col("source"), F.col("size"))))
     narrow = materialize(narrow.drop("lang", "source"), "curve")  # the range exchange reads its input twice
     ranked = global_rank(narrow, ["curve", "text_crc32", "doc_id", "size"])
@@ -77,14 +81,29 @@ def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     cut = ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
     return cut.select(
         "doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry,
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write docs as one folder for each shard, joined by doc_id to their assignment."""
-    at = assigned.select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    docs.join(at, "doc_id").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
+    """Write every row of docs, all columns, in one folder for each shard (``shard=0`` and so on), in the order of ``slot``.
+
+    Where docs has columns of these names, in any case, the new ones get underscores behind theirs.
+
+    Rows are written once with a tag, so that those that repeat a doc_id, or have none, are told apart; the ranks of the
+    tagged rows are joined back by the tag, and a shard's rows meet in one task.
+    """
+    plain, names = set_aside(docs, "doc_id", "text", "lang", "source")
+    tagged = materialize(plain.withColumn("__tag", F.monotonically_increasing_id()), "tagged")
+    at = _ranked(tagged.select("doc_id", "text", "lang", "source", "__tag"), shards, "__tag")
+    placed = tagged.join(at.select("__tag", F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "__tag")
+    placed = placed.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot")
+    taken, free = {c.lower() for c in docs.columns}, []
+    for name in ("shard", "slot"):
+        while name in taken:
+            name += "_"
+        free.append(name)
+    placed.select(*names, "__shard", "__slot").toDF(*docs.columns, *free).write.partitionBy(free[0]).parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pick, table
 
-#: Numbers of the queries, and of the vectors, that meet in one cell: about 16,384 vectors of 64 components each.
-CELL_NUMBERS = 1 << 20
+#: Numbers of the queries, and of the vectors, that meet in one cell: about 65,536 vectors of 64 components each.
+CELL_NUMBERS = 1 << 22
 #: Vectors of a tile, and queries of a product: a tile of scores is of QUERY_TILE x TILE numbers.
 TILE, QUERY_TILE = 4096, 512
 #: Tiles of the table whose lists one task of the first merge takes.
@@ -53,14 +53,13 @@ def exact_products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     return whole(queries).dot(whole(tile).T)
 
 
-def tile_top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the k highest of each row of scores, ties to smaller ids; ids equal to own take no part.
+def tile_top(scores: np.ndarray, ids: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, score) of the k highest of each row of scores, ties to smaller ids; places that are ``same`` take no part.
 
     Columns are in the order of ids. Where it is exact, score and column share one number, so that partial selection
     of k numbers also settles ties.
     """
     q, n = scores.shape
-    same = own[:, None] == ids[None, :]
     if scores.dtype != object and n and np.abs(scores).max(initial=0) < 2**52 / n:
         packed = scores * n + (n - 1 - np.arange(n))
         packed[same] = -np.inf
@@ -108,10 +107,11 @@ def _cell(k: int):
     """The k best of each query of a cell among the cell's vectors, tile by tile."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        found = [pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")} | {"tile": pa.array([], pa.int64())})]
+        found = [pa.table({c: pa.array([], pa.int64()) for c in ("query", "query_id", "vec_id", "score", "tile")})]
         if not queries.num_rows or not vectors.num_rows:
             return found[0]
         own_ids, all_ids = (t.column("vec_id").to_numpy() for t in (queries, vectors))
+        own_rows, all_rows = (t.column("row").to_numpy() for t in (queries, vectors))
         number = vectors.column("tile")[0].as_py()
         blocks = quantised(queries.column("vector"))
         lists = {width: _Lists(k) for width in blocks}
@@ -121,16 +121,17 @@ def _cell(k: int):
                     continue
                 ids = all_ids[at + rows]
                 order = np.argsort(ids, kind="stable")
-                ids, tile = ids[order], tile[order]
+                ids, tile, tags = ids[order], tile[order], all_rows[at + rows][order]
                 of, block = blocks[width]
                 for q in range(0, len(of), QUERY_TILE):
                     some = slice(q, q + QUERY_TILE)
-                    best, at_ids, scores = tile_top(exact_products(block[some], tile), ids, own_ids[of[some]], k)
+                    best, at_ids, scores = tile_top(exact_products(block[some], tile), ids, own_rows[of[some]][:, None] == tags[None, :], k)
                     lists[width].add(best + q, at_ids, scores)
         for width, some in lists.items():
             rows, ids, scores = some.merge()
             whole = pa.array([int(x) for x in scores] if scores.dtype == object else scores.astype(np.int64), pa.int64())
-            found.append(pa.table({"query_id": own_ids[blocks[width][0][rows]], "vec_id": pa.array(ids, pa.int64()), "score": whole, "tile": pa.array(np.full(len(rows), number, np.int64))}))
+            at = blocks[width][0][rows]
+            found.append(pa.table({"query": own_rows[at], "query_id": own_ids[at], "vec_id": pa.array(ids, pa.int64()), "score": whole, "tile": pa.array(np.full(len(rows), number, np.int64))}))
         return pa.concat_tables(found)
 
     return run
@@ -141,8 +142,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     vectors: vec_id, embedding. ``is_query`` chooses the queries by vec_id. Ties go to the smaller vec_id. Null vectors,
     vectors with null or non-finite components and rows without vec_id take no part. A query meets vectors of its own
-    length only, and none with its own vec_id. Rows that repeat a query's vec_id are one query, of the least vector that
-    takes part; repeated vectors are listed each.
+    length only, and every row but its own; rows that repeat a vec_id are queries and vectors of their own, so a repeated
+    query_id has as many lists, and may itself be listed.
     Fewer than k vectors are all listed; no queries or an empty table give an empty result. A score beyond 64 bits
     raises an error.
 
@@ -159,11 +160,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
 
     base = base.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", usable))
-    queries = materialize(base.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    # A row's number is written with it, as it could differ if an executor is lost and the row computed anew.
+    base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = base.where(is_query)
     n_queries, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    # Where a row lies is written with it, as its number could differ if an executor is lost and the row computed anew.
-    base = base.where(F.size("vector") <= width).withColumn("spot", F.xxhash64(F.monotonically_increasing_id()))
-    base = materialize(base, "vectors")
+    base = base.where(F.size("vector") <= width)
     tiles, blocks = (max(1, math.ceil(rows * max(1, width) / CELL_NUMBERS)) for rows in (base.count(), n_queries))
     usual = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = min(4 * tiles * blocks, max(usual, math.ceil(tiles * blocks / CELLS_A_TASK)))
@@ -171,19 +172,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def every(n: int, name: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
-    of_tile = base.select("vec_id", "vector", F.pmod("spot", F.lit(tiles)).cast("int").alias("tile"), every(blocks, "block"))
-    of_block = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(tiles, "tile"))
+    of_tile = base.select("row", "vec_id", "vector", F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int").alias("tile"), every(blocks, "block"))
+    of_block = queries.select("row", "vec_id", "vector", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), every(tiles, "tile"))
     of_tile, of_block = (side.repartition(tasks, "tile", "block") for side in (of_tile, of_block))
     cells = of_block.groupBy("tile", "block").cogroup(of_tile.groupBy("tile", "block"))
-    return _merged(cells.applyInArrow(_cell(k), "query_id bigint, vec_id bigint, score bigint, tile bigint"), k)
+    return _merged(cells.applyInArrow(_cell(k), "query bigint, query_id bigint, vec_id bigint, score bigint, tile bigint"), k)
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
     """The k best of each query, over groups of tiles and then over groups."""
     best = [F.col("score").desc(), F.col("vec_id")]
-    near = Window.partitionBy("query_id", "group").orderBy(*best)
+    near = Window.partitionBy("query", "group").orderBy(*best)
     lists = lists.withColumn("group", F.expr(f"tile div {FAN}")).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k)
-    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
+    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -194,14 +195,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  SELECT row_number() OVER () AS line, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.line, a.vec_id AS query_id, b.vec_id AS vec_id,
     CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.line <> b.line AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -17,8 +17,6 @@ from .common import materialize, pick, set_aside, slices, table
 
 #: Labelled rows, about, that the model is fitted on; one half makes the lexicon, the other the weights.
 SAMPLE_ROWS = 24_000
-#: Terms of the lexicon, and ordinary words like a term that are told apart from it, at most.
-TERMS, ORDINARY = 2_000, 50_000
 #: A term is in so many toxic rows of its half at least, as a share and as a count, and so much likelier there.
 TERM_SHARE, TERM_ROWS, TERM_RATIO = 0.01, 3, 15.0
 THRESHOLD = 0.3
@@ -249,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     Rows of the sample are those of least hash; a doc_id with several labels has the highest. One row stands for those
     that share any of their least hashes, as copies and near copies mostly do. Words are counted on the
-    executors; what comes to the driver is bounded: TERMS terms, ORDINARY words, and five numbers a row of the sample.
+    executors; what comes to the driver is bounded by the sample: the terms, the ordinary words near one of them, and five
+    numbers a row.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
@@ -273,8 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     words = materialize(words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
     ratio = ((F.col("toxic") + 0.5) / (toxic + 1.0)) / ((F.col("clean") + 0.5) / (clean + 1.0))
     least = max(TERM_ROWS, TERM_SHARE * toxic)
-    chosen = words.where((F.col("toxic") >= least) & (ratio >= TERM_RATIO)).select("word", F.log(ratio).alias("weight"), "toxic")
-    terms = {r["word"]: r["weight"] for r in chosen.orderBy((F.col("weight") * F.col("toxic")).desc(), "word").limit(TERMS).collect()}
+    chosen = words.where((F.col("toxic") >= least) & (ratio >= TERM_RATIO)).select("word", F.log(ratio).alias("weight"))
+    terms = {r["word"]: r["weight"] for r in chosen.collect()}
     lexicon = Lexicon(terms)
 
     def like(batches, terms=terms):
@@ -284,8 +283,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield batch.filter(pa.array(near, pa.bool_()))
 
     if terms:
-        near = words.where("clean > 0").select("word", "clean").mapInArrow(like, "word string, clean bigint")
-        lexicon.ordinary = frozenset(r["word"] for r in near.orderBy(F.col("clean").desc(), "word").limit(ORDINARY).collect())
+        near = words.where("clean > 0").select("word").mapInArrow(like, "word string")
+        lexicon.ordinary = frozenset(r["word"] for r in near.collect())
     shipped = docs.sparkSession.sparkContext.broadcast(Model(lexicon, np.zeros(6)))
 
     def measured(batches):
@@ -311,7 +310,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
     null doc_id is not held out. Without labels of both kinds the score rests on their share and any lexicon there is.
     An empty table gives an empty result. ``keep`` names further columns to carry, ``with_text`` carries the text.
 
-    The final pass is narrow: no exchange; the model that it broadcasts is bounded by TERMS and ORDINARY.
+    The final pass is narrow: no exchange; the model that it broadcasts is bounded by the words of the sample.
     """
     keep = keep or []
     shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels))

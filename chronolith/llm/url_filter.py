@@ -53,11 +53,14 @@ def best_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def link_targets(html: Column) -> Column:
-    """Array of addresses that a page names as its canonical form or redirects to."""
-    links = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1))
+    """Array of addresses that a page names as its canonical form or redirects to.
+
+    A tag ends at the next ``>`` and has no ``<``, so an unclosed one costs no more than its own length.
+    """
+    links = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^<>]*+>)"), F.lit(1))
     canonical = F.filter(links, lambda x: x.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"))
     canonical = F.transform(canonical, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^<>]*+>)"), F.lit(1))
     refresh = F.filter(metas, lambda x: x.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     refresh = F.transform(refresh, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1))
     return F.coalesce(F.filter(F.concat(canonical, refresh), lambda x: x != ""), F.array().cast("array<string>"))
@@ -160,8 +163,8 @@ ORACLE = rf"""
 WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query, coalesce(html, '') AS html FROM pages),
 t AS (
   SELECT host, path, query, unnest(list_concat(
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
-    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1)))) AS raw
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^<>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^<>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*[''"]?([^"''\s>;]+)', 1)))) AS raw
   FROM p),
 g AS (SELECT *, regexp_extract(raw, '^([^?#]*)', 1) AS given, regexp_extract(raw, '^[^?#]*(\?[^#]*)', 1) AS asked FROM t WHERE raw <> ''),
 w AS (SELECT *, CASE WHEN starts_with(given, '/') THEN given ELSE regexp_extract(path, '^(.*/)', 1) || given END AS whole FROM g),
