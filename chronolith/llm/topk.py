@@ -173,7 +173,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
     of_tile = base.select("row", "vec_id", "vector", F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int").alias("tile"), every(blocks, "block"))
-    of_block = queries.select("row", "vec_id", "vector", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), every(tiles, "tile"))
+    own = [F.col(c).alias(c) for c in ("row", "vec_id", "vector")]  # columns of their own, as both sides read one table
+    of_block = queries.select(*own, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), every(tiles, "tile"))
     of_tile, of_block = (side.repartition(tasks, "tile", "block") for side in (of_tile, of_block))
     cells = of_block.groupBy("tile", "block").cogroup(of_tile.groupBy("tile", "block"))
     return _merged(cells.applyInArrow(_cell(k), "query bigint, query_id bigint, vec_id bigint, score bigint, tile bigint"), k)

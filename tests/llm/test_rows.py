@@ -76,7 +76,7 @@ def test_whole_pages_with_planted_boilerplate(spark):
 @pytest.mark.parametrize("gap", [1, 3000])
 def test_neighbours_of_a_candidate_are_words_of_any_length(gap):
     forest = secrets.train_forest()
-    key = "c9Vb3Lq8Zx2Wm5Rt"
-    text = f"the password {'-' * gap} = {key} and {'y' * gap} end"
+    key = "c9Vb3Lq8Zx2Wm5RtK7pQ1nS4d"
+    text = f"secret token {chr(121) * gap} {key} and more"
     n, found = secrets.scan_text(text, None, forest)
     assert n == 1 and [text[a:b] for a, b, *_ in found] == [key]
