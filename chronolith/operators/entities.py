@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chronolith.functions import text as T
-from chronolith.shared import global_rank
+from chronolith.shared import global_rank, materialize
 
 DUPLICATE, EXISTING, RELATED = 0.92, 0.75, 0.55
 FIELD_WEIGHTS = (("name", 0.35), ("objective", 0.30), ("actor", 0.10), ("flow", 0.15), ("trigger", 0.10))
 SHARED_BONUS = 0.05
 #: Candidates, and rows of the store, that one step of matching holds.
 TILE, STORE_TILE = 16, 128
+#: A word of more names than this joins no names by itself.
+HOT = 1_000
 #: The place of a row of the store that has none.
 LAST = 2**62
 #: What names of outputs begin with; fixed values.
@@ -266,29 +268,56 @@ def merge_by_name(store: DataFrame, new: DataFrame, key: str, stamp: Column) ->
 def token_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str) -> DataFrame:
     """For each row of left the row of right whose name has most in common: shared words, again if all are there, 10 if equal.
 
-    Pairs are those that share a word or the whole compact name: an equi-join. Of equals, the first by right_key.
+    Of equals, the first by right_key. Names that are the same are one row of right. Pairs are those that share a word of at
+    most ``HOT`` names of right, or the whole compact name: an equi-join. What shares only hotter words has a score that their
+    sets alone decide, so these meet as sets: the sets of left with the sets of right, each of which stands for the first of
+    its rows. A pair that shares rarer words too has at least that score, and the other join has it in full.
     """
     l = left.select(left_key, T.tokens(F.col(left_name)).alias("lt"), T.compact(F.col(left_name)).alias("lc"))
     r = right.select(right_key, T.tokens(F.col(right_name)).alias("rt"), T.compact(F.col(right_name)).alias("rc")).where(F.size("rt") > 0)
+    r = r.groupBy("rt", "rc").agg(F.min(right_key).alias(right_key))
+    hot = r.select(F.explode("rt").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("w")
     keys = lambda t, c: F.array_distinct(F.concat(F.transform(t, lambda x: F.concat(F.lit("t:"), x)), F.array(F.concat(F.lit("c:"), c))))
-    pairs = l.withColumn("k", F.explode(keys(F.col("lt"), F.col("lc")))).join(r.withColumn("k", F.explode(keys(F.col("rt"), F.col("rc")))), "k")
-    pairs = pairs.dropDuplicates([left_key, right_key])
+    some_hot = bool(hot.head(1))
+    mine, theirs = l.withColumn("k", F.explode(keys(F.col("lt"), F.col("lc")))), r.withColumn("k", F.explode(keys(F.col("rt"), F.col("rc"))))
+    if some_hot:
+        hot = materialize(hot, "hot-words")
+        theirs = theirs.join(hot.select(F.concat(F.lit("t:"), "w").alias("k")), "k", "left_anti")
+    pairs = mine.join(theirs, "k").dropDuplicates([left_key, right_key])
     shared = F.size(F.array_intersect("lt", "rt"))
     whole = F.when(F.size(F.array_except("rt", "lt")) == 0, F.size("rt")).otherwise(0)
     equal = F.when((F.col("lc") != "") & (F.col("lc") == F.col("rc")), 10).otherwise(0)
-    pairs = pairs.withColumn("score", shared + whole + equal).where("score > 0")
+    pairs = pairs.withColumn("score", shared + whole + equal).where("score > 0").select(left_key, right_key, "score")
+    if some_hot:
+        pairs = pairs.unionByName(_hot_pairs(l, r, hot, left_key, right_key))
     w = Window.partitionBy(left_key).orderBy(F.col("score").desc(), right_key)
     return pairs.withColumn("n", F.row_number().over(w)).where("n = 1").select(left_key, right_key, "score")
 
 
+def _hot_pairs(l: DataFrame, r: DataFrame, hot: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """For each row of left, the best row of right by hot words alone."""
+    sets = lambda side, key, t, *more: side.select(key, *more, F.explode(t).alias("w")).join(hot, "w").groupBy(key, *more).agg(F.sort_array(F.collect_set("w")).alias("hs"))
+    mine = sets(l, left_key, "lt")
+    theirs = sets(r.withColumn("size", F.size("rt")), right_key, "rt", "size").withColumn("pure", F.col("size") == F.size("hs"))
+    kinds = theirs.groupBy(F.col("hs").alias("rs"), "pure").agg(F.min(right_key).alias(right_key))
+    met = mine.select(F.col("hs")).distinct().withColumn("w", F.explode("hs")).join(kinds.withColumn("w", F.explode("rs")), "w").drop("w").dropDuplicates(["hs", "rs", "pure"])
+    score = F.size(F.array_intersect("hs", "rs")) + F.when(F.col("pure") & (F.size(F.array_except("rs", "hs")) == 0), F.size("rs")).otherwise(0)
+    best = met.withColumn("score", score).groupBy("hs").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col(right_key))).alias("b"))
+    return mine.join(best, "hs").select(left_key, F.col(f"b.{right_key}").alias(right_key), (-F.col("b.less")).alias("score"))
+
+
 def most_specific(outputs: DataFrame, sources: DataFrame, output_key: str, output_name: str, source_key: str, source_name: str) -> DataFrame:
     """Pairs of an output and the sources whose words are all in its name, unless a source with more words claims it.
 
-    An output lies within the words of a source that has the source's first word, so pairs come from an equi-join.
+    An output that has all words of a source has the rarest of them, so pairs come from an equi-join on the word of each
+    source that fewest outputs have; a source with a word that no output has claims none.
     """
     o = outputs.select(output_key, T.tokens(F.col(output_name)).alias("ot"))
     s = sources.select(source_key, F.array_sort(T.tokens(F.col(source_name))).alias("st")).where(F.size("st") > 0)
-    pairs = o.withColumn("k", F.explode("ot")).join(s.withColumn("k", F.col("st")[0]), "k").where(F.size(F.array_except("st", "ot")) == 0)
+    words = o.withColumn("k", F.explode("ot"))
+    often = words.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rarest = s.withColumn("k", F.explode("st")).join(often, "k", "left").groupBy(source_key, "st").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))["k"].alias("k"))
+    pairs = words.join(rarest, "k").where(F.size(F.array_except("st", "ot")) == 0)
     pairs = pairs.select(output_key, source_key, "st")
     stricter = pairs.select(F.col(output_key).alias("__o"), F.col("st").alias("__t"))
     beaten = (F.col(output_key) == F.col("__o")) & (F.size("__t") > F.size("st")) & (F.size(F.array_except("st", "__t")) == 0)

@@ -197,8 +197,9 @@ def clips(chosen: DataFrame, clock: str, low: Column, high: Column, *, lead: flo
     return out.where(F.col("end") - F.col("start") >= 1.0)
 
 
-def clip_budget(most_seconds: float = 60.0, clip: float = 6.0, card: float = 3.2, cards: bool = True) -> int:
-    return max(1, int(max(0.0, most_seconds - 2 * card * cards) // clip))
+def clip_budget(most_seconds: Column, clip: float = 6.0, card: float = 3.2, cards: bool = True) -> Column:
+    """Whole clips that fit beside two cards, one at least."""
+    return F.greatest(F.lit(1), F.floor(F.greatest(F.lit(0.0), most_seconds - 2 * card * cards) / clip)).cast("int")
 
 
 def even_picks(moments: DataFrame, track: list[str], order: list[str], n: int) -> DataFrame:

@@ -179,6 +179,35 @@ def probes(windows: DataFrame, start: str, length: float = 10.0, samples: int =
     return windows.withColumn("probe", F.explode(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.col(start) + k * F.lit(gap))))
 
 
+def most_at_probes(windows: DataFrame, samples: DataFrame, track: list[str], start: str, clock: str, order: str, value: str, *, length: float = 10.0, n: int = 5, out: str = "most") -> DataFrame:
+    """windows with ``out``: the greatest value among the first samples at or after each of ``n`` probes of the window.
+
+    Probes and samples are put on one time line, from its end, so the last sample met is the next one in time; of samples at
+    one time it is the first by ``order``. A probe after the last sample sees nothing; a window of such probes has null.
+    """
+    w = windows.withColumn("__id", F.monotonically_increasing_id())
+    line = probes(w.select(*track, "__id", start), start, length, n)
+    line = line.select(*track, F.col("probe").cast("double").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__o"), "__id", F.lit(None).cast("struct<v:double>").alias("__v"))
+    seen = samples.select(*track, F.col(clock).cast("double").alias("__at"), F.lit(0).alias("__side"), F.col(order).cast("long").alias("__o"), F.lit(None).cast("long").alias("__id"), F.struct(F.col(value).cast("double").alias("v")).alias("__v"))
+    back = Window.partitionBy(*track).orderBy(F.col("__at").desc(), "__side", F.col("__o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = line.unionByName(seen).withColumn("__v", F.last("__v", ignorenulls=True).over(back)).where("__side = 1")
+    most = met.groupBy("__id").agg(F.max("__v.v").alias(out))
+    return w.join(most, "__id", "left").drop("__id")
+
+
+def in_window(moments: DataFrame, clock: str, low: Column, high: Column) -> DataFrame:
+    """Moments with ``low <= clock < high``."""
+    return moments.where((F.col(clock) >= low) & (F.col(clock) < high))
+
+
+def listed(*names: DataFrame) -> DataFrame:
+    """The distinct rows of several listings; order them where they are shown."""
+    out = names[0]
+    for more in names[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
 def sampled(samples: DataFrame, track: list[str], clock: str, every: float) -> DataFrame:
     """The first sample at or after each multiple of ``every`` seconds of a track."""
     slot = F.ceil(F.col(clock) / every)

@@ -194,3 +194,32 @@ SELECT label, unnest(ids) AS vec_id FROM r WHERE (label, n) IN (SELECT label, ma
 def novel_vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return select.novel(v, ["label"], "vec_id", "embedding", 0.9, 20).select("label", "vec_id")
+
+
+@register("window_people", f"""WITH s AS ({SAMPLES_SQL}), f AS (SELECT user_id, t, arg_min(value, event_id) AS value FROM s GROUP BY 1, 2),
+w AS (SELECT user_id, event_id, t AS a FROM s WHERE event_type = 'purchase'),
+p AS (SELECT user_id, event_id, a + k AS probe FROM w, (VALUES (CAST(0.0 AS DOUBLE)), (6.0), (12.0), (18.0), (24.0)) v(k))
+SELECT p.user_id, p.event_id, round(max(f.value), 6) AS most FROM p ASOF LEFT JOIN f ON p.user_id = f.user_id AND p.probe <= f.t GROUP BY 1, 2""")
+def window_people(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    windows = s.where("event_type = 'purchase'").select("user_id", "event_id", F.col("t").alias("a"))
+    found = timeline.most_at_probes(windows, s, ["user_id"], "a", "t", "event_id", "value", length=24.0, n=5)
+    return found.select("user_id", "event_id", F.round("most", 6).alias("most"))
+
+
+@register("candidates_in_window", f"WITH s AS ({SAMPLES_SQL}), m AS (SELECT user_id, min(t) AS a FROM s GROUP BY 1) SELECT user_id, event_id FROM s JOIN m USING (user_id) WHERE t >= a + 24.0 AND t < a + 240.0")
+def candidates_in_window(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    s = s.join(s.groupBy("user_id").agg(F.min("t").alias("a")), "user_id")
+    return timeline.in_window(s, "t", F.col("a") + 24.0, F.col("a") + 240.0).select("user_id", "event_id")
+
+
+@register("clip_budgets", f"WITH d AS (SELECT user_id, (max(seconds) - min(seconds)) / 10000.0 AS len FROM ({SAMPLES_SQL}) GROUP BY 1) SELECT user_id, CAST(greatest(1, floor(greatest(0.0, len - 6.4) / 6.0)) AS INTEGER) AS clips FROM d")
+def clip_budgets(spark, sf_dir):
+    lengths = samples(spark, sf_dir).groupBy("user_id").agg(((F.max("seconds") - F.min("seconds")) / 10000.0).alias("len"))
+    return lengths.select("user_id", select.clip_budget(F.col("len")).alias("clips"))
+
+
+@register("listed_names", "SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT n_name FROM nation")
+def listed_names(spark, sf_dir):
+    return timeline.listed(*[table(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("nation", "n_name"))])
