@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from chronolith.functions import likeness
 from chronolith.functions import text as T
+from chronolith.functions.likeness import ratio
 from chronolith.shared import global_rank, materialize
 
 DUPLICATE, EXISTING, RELATED = 0.92, 0.75, 0.55
@@ -20,6 +20,10 @@ FIELD_WEIGHTS = (("name", 0.35), ("objective", 0.30), ("actor", 0.10), ("flow",
 SHARED_BONUS = 0.05
 #: Candidates, and rows of the store, that one step of matching holds.
 TILE, STORE_TILE = 16, 128
+#: Up to so many tiles of the store are all met; of more, sums of so many make a block.
+FEW_TILES, SUM_BLOCK = 4, 512
+#: Classes of characters that a tile is summed up by.
+CLASSES = 64
 #: A word of more names than this joins no names by itself.
 HOT = 1_000
 #: The place of a row of the store that has none.
@@ -62,16 +66,6 @@ def register_videos(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(new.dropDuplicates(["video_id"]).join(known, "video_id", "left_anti"), allowMissingColumns=True)
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of two strings in common by longest matching blocks, trimmed and in lower case; 0 if either is empty."""
-    out = []
-    for x, y in zip(a.fillna(""), b.fillna(""), strict=True):
-        x, y = x.strip().lower(), y.strip().lower()
-        out.append(SequenceMatcher(None, x, y).ratio() if x and y else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
 def similarity(mine: str = "c", theirs: str = "e") -> Column:
     """Weighted likeness of two structs of fields; fields empty on both sides don't count; shared functions add."""
     total, weights = F.lit(0.0), F.lit(0.0)
@@ -95,108 +89,222 @@ def name_words() -> Column:
     return F.array_distinct(F.filter(F.split(T.plain(F.lower(F.coalesce("name", F.lit("")))), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))
 
 
-class _Stored:
-    """A row of the store made ready for many comparisons: trimmed fields, counts of their characters, matchers."""
+class _Rows:
+    """Rows of either side made ready for comparison: plain texts by field, which fields are filled, functions."""
 
-    def __init__(self, row: dict):
-        self.id, self.raw = row["use_case_id"], [row[f] or "" for f, _ in FIELD_WEIGHTS]
-        self.ord = LAST if row["ord"] is None else row["ord"]
-        self.texts = [t.strip().lower() for t in self.raw]
-        self.counts = [Counter(t) for t in self.texts]
-        self.functions = {x for x in row["functionalities"] or () if x is not None}
-        self.matchers = [None] * len(self.texts)
+    def __init__(self, rows: list[dict]):
+        raw = [[r[f] or "" for r in rows] for f, _ in FIELD_WEIGHTS]
+        self.filled = np.array([[t != "" for t in texts] for texts in raw], bool).reshape(len(raw), len(rows))
+        self.texts = [[likeness.plain(t) for t in texts] for texts in raw]
+        self.sizes = np.array([[len(t) for t in texts] for texts in self.texts], np.int64).reshape(len(raw), len(rows))
+        self.functions = [{x for x in r["functionalities"] or () if x is not None} for r in rows]
+
+    def counts(self, field: int, classes: np.ndarray | None = None) -> np.ndarray:
+        """How often each text has each of the characters, or each of ``CLASSES`` classes of them."""
+        codes = np.frombuffer("".join(self.texts[field]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        rows = np.repeat(np.arange(len(self.texts[field])), self.sizes[field])
+        if classes is None:
+            place, wide = codes % CLASSES, CLASSES
+        else:
+            place, wide = np.searchsorted(classes, codes), len(classes)
+        return np.bincount(rows * wide + place, minlength=len(self.texts[field]) * wide).reshape(-1, wide)
 
-    def ratio(self, field: int, text: str) -> float:
-        if self.matchers[field] is None:
-            self.matchers[field] = SequenceMatcher(None, "", self.texts[field])
-        self.matchers[field].set_seq1(text)
-        return self.matchers[field].ratio()
+    def bits(self) -> np.ndarray:
+        """64 bits a row, of which two rows with a function in common have one in common."""
+        return np.array([sum(1 << b for b in {zlib.crc32(x.encode("utf-8", "surrogatepass")) % 63 for x in own}) for own in self.functions], np.int64)
 
 
-def _score(ratios: list[float], counts: list[bool], shared: bool) -> float:
-    """The weighted likeness from the ratios of the fields; never falls when a ratio rises, in floating point too."""
-    total = weights = 0.0
-    for ratio_, (_, weight), on in zip(ratios, FIELD_WEIGHTS, counts, strict=True):
-        if on:
-            total, weights = total + weight * ratio_, weights + weight
-    bonus = SHARED_BONUS if shared else 0.0
-    return (total + bonus) / (weights + bonus) if weights + bonus > 0 else 0.0
+def _weigh(ratios: np.ndarray, on: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The weighted likeness from the ratios by field; never falls when a ratio rises, in floating point too."""
+    total, weights = np.zeros(ratios.shape[1:]), np.zeros(ratios.shape[1:])
+    for r, use, (_, weight) in zip(ratios, on, FIELD_WEIGHTS, strict=True):
+        total, weights = total + np.where(use, weight * r, 0.0), weights + np.where(use, weight, 0.0)
+    bonus = np.where(shared, SHARED_BONUS, 0.0)
+    return np.where(weights + bonus > 0, (total + bonus) / np.maximum(weights + bonus, 1e-300), 0.0)
 
 
-def _best_in_tile(candidate: dict, stored: list[_Stored]) -> tuple[str, float, int] | None:
-    """(use_case_id, score, ord) of the stored row most like the candidate, of equals the first; None without likeness.
+def _best_in_tile(mine: _Rows, theirs: _Rows, ords: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each candidate (row of the best match or -1, its score, how many rows it was compared with).
 
     Two texts have no more in common than their characters, whatever their order. So rows are tried from the highest such
-    bound on, the ratios of short fields before those of long ones, and a row is given up where its bound falls below the
-    best score so far. Nothing that could win is left out.
+    bound on, a few more in each round, and a row is left out where its bound is below the best score so far, or the
+    floor, the score of a match elsewhere. Nothing that could win is left out.
     """
-    mine = _Stored({**candidate, "use_case_id": None, "ord": None})
-    tries = []
-    for e in stored:
-        bounds = []
-        for x, y, cx, cy in zip(mine.texts, e.texts, mine.counts, e.counts, strict=True):
-            bounds.append(2.0 * sum(min(n, cy[ch]) for ch, n in cx.items()) / (len(x) + len(y)) if x and y else 0.0)
-        counts = [a != "" or b != "" for a, b in zip(mine.raw, e.raw, strict=True)]
-        shared = not mine.functions.isdisjoint(e.functions)
-        tries.append((_score(bounds, counts, shared), bounds, counts, shared, e))
-    best = None
-    for bound, ratios, counts, shared, e in sorted(tries, key=lambda t: (-t[0], t[4].ord)):
-        if bound <= 0 or (best and bound < best[1]):
+    bound = np.zeros((len(FIELD_WEIGHTS), mine.sizes.shape[1], theirs.sizes.shape[1]))
+    for f in range(len(FIELD_WEIGHTS)):
+        chars = np.unique(np.frombuffer("".join(mine.texts[f]).encode("utf-32-le", "surrogatepass"), np.uint32))
+        if not len(chars):
+            continue
+        chars = np.append(chars, np.uint32(0xFFFFFFFF))  # whatever isn't of the candidates
+        own, other = mine.counts(f, chars)[:, :-1], theirs.texts[f]
+        codes = np.frombuffer("".join(other).encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.searchsorted(chars, codes)
+        place = np.where(chars[place] == codes, place, len(chars) - 1)
+        rows = np.repeat(np.arange(len(other)), theirs.sizes[f])
+        stored = np.bincount(rows * len(chars) + place, minlength=len(other) * len(chars)).reshape(-1, len(chars))[:, :-1]
+        both = mine.sizes[f][:, None] + theirs.sizes[f][None, :]
+        common = np.array([np.minimum(c, stored).sum(axis=1) for c in own])
+        bound[f] = 2.0 * common / np.maximum(both, 1)
+    on = mine.filled[:, :, None] | theirs.filled[:, None, :]
+    shared = np.array([[not a.isdisjoint(b) for b in theirs.functions] for a in mine.functions])
+    most = _weigh(bound, on, shared)
+    order = np.lexsort((np.broadcast_to(ords, most.shape), -most), axis=1)
+    ranked = np.take_along_axis(most, order, axis=1)
+    n = len(order)
+    best, score, met, reached, take = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64), 0, 1
+    while reached < order.shape[1]:
+        ahead = ranked[:, reached : reached + take]
+        c, k = np.nonzero((ahead > 0) & (ahead >= np.maximum(score, floor)[:, None]))
+        if not len(c):
             break
-        score = bound
-        for field in sorted(range(len(ratios)), key=lambda f: len(mine.texts[f]) * len(e.texts[f])):
-            if ratios[field]:
-                ratios[field] = e.ratio(field, mine.texts[field])
-                score = _score(ratios, counts, shared)
-                if best and score < best[1]:
-                    break
-        if score > 0 and (best is None or (score, -e.ord) > (best[1], -best[2])):
-            best = e.id, score, e.ord
-    return best
+        e = order[c, reached + k]
+        told = np.zeros((len(FIELD_WEIGHTS), len(c)))
+        fields, pairs = np.nonzero(bound[:, c, e] > 0)
+        told[fields, pairs] = likeness.ratios([mine.texts[f][c[i]] for f, i in zip(fields, pairs, strict=True)], [theirs.texts[f][e[i]] for f, i in zip(fields, pairs, strict=True)])
+        for i, s in enumerate(_weigh(told, on[:, c, e], shared[c, e])):
+            met[c[i]] += 1
+            if s > score[c[i]] or (s == score[c[i]] > 0 and ords[e[i]] < ords[best[c[i]]]):
+                best[c[i]], score[c[i]] = e[i], s
+        reached, take = reached + take, take * 4
+    return best, score, met
 
 
 def _best_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows c, e (tiles), who (places in c, or null: all), floor: place and best match of each of them."""
     for batch in batches:
         for row in range(batch.num_rows):
-            stored = [_Stored(e) for e in batch["e"][row].as_py()]
-            found = [(c["cand_id"], _best_in_tile(c, stored)) for c in batch["c"][row].as_py()]
-            found = [(k, m) for k, m in found if m]
-            columns = [[k for k, _ in found], *[[m[i] for _, m in found] for i in range(3)]]
-            types = (batch.schema.field("c").type.value_type.field("cand_id").type, pa.string(), pa.float64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["cand_id", "use_case_id", "score", "ord"])
-
-
-def _tiles(rows: DataFrame, key: str, size: int, item: Column, out: str) -> tuple[DataFrame, int]:
-    """Rows dealt by the hash of their key into lists of about ``size``: columns __<out>, out; and how many lists."""
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"__{out}")).agg(F.collect_list(item).alias(out)), n
+            tile, c = batch["__c"][row].as_py(), batch["c"][row].as_py()
+            e = sorted(batch["e"][row].as_py(), key=lambda r: r["use_case_id"] or "")
+            who, floor = batch["who"][row].as_py(), batch["floor"][row].as_py()
+            who = list(range(len(c))) if who is None else who
+            ords = np.array([LAST if r["ord"] is None else r["ord"] for r in e], np.int64)
+            best, score, met = _best_in_tile(_Rows([c[i] for i in who]), _Rows(e), ords, np.array(floor or [0.0] * len(who)))
+            ids = [e[b]["use_case_id"] if b >= 0 else None for b in best]
+            out = [pa.array([tile] * len(who), pa.int32()), pa.array(who, pa.int32()), pa.array(ids, pa.string()), pa.array(score), pa.array([int(ords[b]) if b >= 0 else None for b in best], pa.int64()), pa.array(met)]
+            yield pa.record_batch(out, ["__c", "at", "use_case_id", "score", "ord", "met"])
+
+
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile of the store what bounds the score of its rows: by field the greatest counts of classes of characters,
+    the least and greatest length of a text, and whether a row lacks the field; bits of functions."""
+    for batch in batches:
+        sums, bits = [], []
+        for row in range(batch.num_rows):
+            rows = _Rows(batch["e"][row].as_py())
+            parts = []
+            for f in range(len(FIELD_WEIGHTS)):
+                some = rows.sizes[f][rows.sizes[f] > 0]
+                parts.append(np.concatenate([rows.counts(f).max(axis=0), [some.min() if len(some) else 0, some.max() if len(some) else 0, not rows.filled[f].all()]]))
+            sums.append(np.concatenate(parts).astype(np.int32).tobytes())
+            bits.append(int(np.bitwise_or.reduce(rows.bits())))
+        yield pa.record_batch([batch["__e"], pa.array(sums, pa.binary()), pa.array(bits, pa.int64())], ["__e", "sums", "bits"])
+
+
+def _bounds(rows: _Rows, tiles: list[dict]) -> np.ndarray:
+    """Of each row and tile, by its sums, a score that no row of the tile is above."""
+    sums = np.stack([np.frombuffer(t["sums"], np.int32) for t in tiles]).reshape(len(tiles), len(FIELD_WEIGHTS), CLASSES + 3).astype(np.int64)
+    least, greatest, lacking = sums[:, :, CLASSES].T, sums[:, :, CLASSES + 1].T, sums[:, :, CLASSES + 2].T.astype(bool)
+    ratios, on = (np.zeros((len(FIELD_WEIGHTS), rows.sizes.shape[1], len(tiles)), t) for t in (np.float64, bool))
+    for f in range(len(FIELD_WEIGHTS)):
+        own, sizes = rows.counts(f), rows.sizes[f][:, None]
+        common = np.array([np.minimum(c, sums[:, f, :CLASSES]).sum(axis=1) for c in own])
+        # The ratio rises with the length of the other text as long as all of it is common, and falls after that.
+        length = np.clip(common, least[f], greatest[f])
+        ratios[f] = 2.0 * np.minimum(common, length) / np.maximum(sizes + length, 1)
+        # A field that neither side fills isn't counted, which is never worse than nothing in common.
+        on[f] = rows.filled[f][:, None] | ~lacking[f][None, :]
+    shared = (rows.bits()[:, None] & np.array([t["bits"] for t in tiles], np.int64)[None, :]) != 0
+    return _weigh(ratios, on, shared) * (1 + 1e-12)
+
+
+def _most_promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each candidate in c the tile of highest bound among those summed up in s."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            tiles = sorted(batch["s"][row].as_py(), key=lambda t: t["__e"])
+            bound = _bounds(_Rows(batch["c"][row].as_py()), tiles)
+            first, n = bound.argmax(axis=1), len(bound)
+            out = [pa.array([batch["__c"][row].as_py()] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array([tiles[k]["__e"] for k in first], pa.int64()), pa.array(bound[np.arange(n), first])]
+            yield pa.record_batch(out, ["__c", "at", "__e", "bound"])
 
 
-def match_use_cases(candidates: DataFrame, store: DataFrame, block: Column | None = None, store_block: Column | None = None) -> DataFrame:
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tiles summed up in s whose bound reaches the score (``found``) of a candidate, with these candidates."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            tile, tiles = batch["__c"][row].as_py(), batch["s"][row].as_py()
+            found = {x["at"]: (x["score"], x["__e"]) for x in batch["found"][row].as_py()}
+            bound = _bounds(_Rows(batch["c"][row].as_py()), tiles)
+            floor, done = np.array([found[k][0] for k in range(len(bound))]), np.array([found[k][1] for k in range(len(bound))])
+            meets = (bound > 0) & (bound >= floor[:, None]) & (done[:, None] != np.array([t["__e"] for t in tiles])[None, :])
+            chosen = np.flatnonzero(meets.any(axis=0))
+            who = [np.flatnonzero(meets[:, k]) for k in chosen]
+            out = [pa.array([tile] * len(who), pa.int32()), pa.array([tiles[k]["__e"] for k in chosen], pa.int64()), pa.array([w.tolist() for w in who], pa.list_(pa.int32())), pa.array([floor[w].tolist() for w in who], pa.list_(pa.float64()))]
+            yield pa.record_batch(out, ["__c", "__e", "who", "floor"])
+
+
+def _best_pairs(candidates: DataFrame, store: DataFrame, fields: list[str]) -> DataFrame:
+    """cand_id, use_case_id, score, ord of the best matches in the tiles that each candidate meets, and ``met``, the rows met."""
+    n = max(1, -(-candidates.count() // TILE))
+    deal = F.pmod(F.xxhash64("cand_id"), F.lit(n)).cast("int").alias("__c")
+    mine = materialize(candidates.groupBy(deal).agg(F.collect_list(F.struct("cand_id", *fields)).alias("c")), "candidates")
+    # Rows that lack the same fields and are of like lengths share a tile, so that its bounds are close.
+    size = lambda f: F.length(F.coalesce(F.col(f), F.lit("")))
+    lacks = sum((size(f) == 0).cast("int") * 2**i for i, (f, _) in enumerate(FIELD_WEIGHTS))
+    like = store.select("use_case_id", F.col("ord").cast("long").alias("ord"), *fields, lacks.alias("__lacks"), F.round(F.log1p(size("objective")) * 4).alias("__long"), size("name").alias("__name"))
+    like = global_rank(like, ["__lacks", "__long", "__name", "use_case_id"], "__rank")
+    tile = F.expr(f"__rank div {STORE_TILE}").cast("long").alias("__e")
+    theirs = materialize(like.groupBy(tile).agg(F.collect_list(F.struct("use_case_id", "ord", *fields)).alias("e")), "store")
+    tiles = max(1, theirs.count())
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = "__c int, at int, use_case_id string, score double, ord bigint, met bigint"
+    compare = lambda pairs: pairs.repartition(tasks, "__c", "__e").select("__c", "c", "e", "who", "floor").mapInArrow(_best_of_tiles, best)
+    if tiles <= FEW_TILES:
+        each = mine.withColumn("__e", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))).join(theirs, "__e")
+        found = compare(each.withColumn("who", F.lit(None).cast("array<int>")).withColumn("floor", F.lit(None).cast("array<double>")))
+    else:
+        sums = materialize(theirs.mapInArrow(_summed_up, "__e bigint, sums binary, bits bigint"), "sums")
+        blocks = sums.groupBy(F.expr(f"__e div {SUM_BLOCK}").alias("__b")).agg(F.collect_list(F.struct("__e", "sums", "bits")).alias("s"))
+        all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((tiles - 1) // SUM_BLOCK).cast("long")))
+        met = lambda side: side.withColumn("__b", all_blocks).join(blocks, "__b").repartition(tasks, "__c", "__b")
+        first = met(mine).select("__c", "c", "s").mapInArrow(_most_promising, "__c int, at int, __e bigint, bound double")
+        first = first.groupBy("__c", "at").agg(F.max_by("__e", F.struct("bound", -F.col("__e"))).alias("__e"))
+        first = materialize(first, "first-tiles")
+        who = first.groupBy("__c", "__e").agg(F.array_sort(F.collect_list("at")).alias("who")).withColumn("floor", F.lit(None).cast("array<double>"))
+        one = materialize(compare(who.join(mine, "__c").join(theirs, "__e")), "first-matches")
+        score = one.join(first, ["__c", "at"]).groupBy("__c").agg(F.collect_list(F.struct("at", "score", "__e")).alias("found"))
+        rest = met(mine.join(score, "__c")).select("__c", "c", "s", "found").mapInArrow(_left_over, "__c int, __e bigint, who array<int>, floor array<double>")
+        found = one.unionByName(compare(rest.join(mine, "__c").join(theirs, "__e")))
+    ids = mine.select("__c", F.posexplode("c").alias("at", "row")).select("__c", "at", "row.cand_id")
+    return found.join(ids, ["__c", "at"])
+
+
+def match_use_cases(candidates: DataFrame, store: DataFrame, block: Column | None = None, store_block: Column | None = None, *, with_met: bool = False) -> DataFrame:
     """status, use_case_id and score of each candidate's best match in the store; the first of equals; NEW has no match.
 
     Both have name, objective, actor, flow, trigger, functionalities; candidates a key ``cand_id``, the store use_case_id
-    and ord. Every candidate is held against the whole store, a tile of ``TILE`` candidates against one of ``STORE_TILE``
-    rows at a time, so a text goes to Python once a tile and not once a pair; where blocks (arrays, of both sides) are
-    given, only pairs that share one are scored, and candidates that share none with any row are NEW with score 0.
+    and ord. The best match is that of the whole store. It lies in tiles of ``STORE_TILE`` like rows, each summed up by what
+    bounds the score of its rows. A candidate is compared with the tile of highest bound, and then only with tiles whose
+    bound reaches the score found there; within a tile, with rows by their own bounds. Candidates go in tiles of about
+    ``TILE``. ``with_met`` adds ``met``, the rows of the store it was compared with.
+
+    Where blocks (arrays, of both sides) are given, only pairs that share one are scored, and candidates that share none
+    with any row are NEW with score 0.
     """
     fields = [f for f, _ in FIELD_WEIGHTS] + ["functionalities"]
     if block is None and store_block is None:
-        mine, _ = _tiles(candidates, "cand_id", TILE, F.struct("cand_id", *fields), "c")
-        theirs, n = _tiles(store, "use_case_id", STORE_TILE, F.struct("use_case_id", F.col("ord").cast("long").alias("ord"), *fields), "e")
-        tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = mine.withColumn("__e", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(theirs, "__e").repartition(tasks, "__c", "__e")
-        key = candidates.schema["cand_id"].dataType.simpleString()
-        pairs = each.select("c", "e").mapInArrow(_best_of_tiles, f"cand_id {key}, use_case_id string, score double, ord bigint")
+        pairs = _best_pairs(candidates, store, fields)
     else:
         c, e = F.struct(*fields).alias("c"), F.struct(*fields).alias("e")
         mine = candidates.select("cand_id", c, F.explode(block).alias("__b"))
         pairs = mine.join(store.select("use_case_id", "ord", e, F.explode(store_block).alias("__b")), "__b").dropDuplicates(["cand_id", "use_case_id"])
-        pairs = pairs.withColumn("score", similarity()).where("score > 0")
-    best = pairs.groupBy("cand_id").agg(F.max_by(F.struct("use_case_id", "score"), F.struct("score", -F.col("ord"))).alias("m"))
+        pairs = pairs.withColumn("score", similarity()).withColumn("met", F.lit(1))
+    place = F.when(F.col("score") > 0, F.struct("score", -F.coalesce(F.col("ord").cast("long"), F.lit(LAST))))
+    best = pairs.groupBy("cand_id").agg(F.max_by(F.struct("use_case_id", "score"), place).alias("m"), F.sum("met").alias("met"))
     out = candidates.join(best, "cand_id", "left").withColumn("score", F.coalesce("m.score", F.lit(0.0)))
     out = out.withColumn("status", status_of(F.col("score")))
-    return out.select("cand_id", "status", F.when(F.col("status") != "NEW", F.col("m.use_case_id")).alias("use_case_id"), "score")
+    more = [F.coalesce("met", F.lit(0)).alias("met")] if with_met else []
+    return out.select("cand_id", "status", F.when(F.col("status") != "NEW", F.col("m.use_case_id")).alias("use_case_id"), "score", *more)
 
 
 def next_ids(rows: DataFrame, known: DataFrame, key: str, prefix: str, order: list[str]) -> DataFrame:

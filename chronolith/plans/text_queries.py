@@ -307,7 +307,41 @@ def phrases(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.phrase(F.col("text")).alias("phrase"))
 
 
-@register("use_case_similarity")
+_SIMILARITY = r"""WITH RECURSIVE
+s AS (SELECT item_id, string_split(text, '. ') AS p, text FROM benchmark),
+x AS (SELECT item_id, 0 AS f, lower(trim(p[1], E' \t\n\r')) AS t FROM s UNION ALL SELECT item_id, 1, lower(trim(text, E' \t\n\r')) FROM s),
+y AS (SELECT item_id, 0 AS f, lower(trim(p[-1], E' \t\n\r')) AS t FROM s UNION ALL SELECT item_id, 1, lower(trim(text, E' \t\n\r')) FROM s),
+xc AS (SELECT item_id AS c, f, i, substr(t, i, 1) AS ch FROM x, LATERAL (SELECT unnest(generate_series(1, length(t))) AS i)),
+yc AS (SELECT item_id AS e, f, j, substr(t, j, 1) AS ch, length(t) AS n, count(*) OVER (PARTITION BY item_id, f, substr(t, j, 1)) AS often
+  FROM y, LATERAL (SELECT unnest(generate_series(1, length(t))) AS j)),
+-- Runs of equal characters along a diagonal, and in them those of characters that may begin a block.
+cell AS (SELECT c, e, xc.f, i, i - j AS d, n, n < 200 OR often <= n // 100 + 1 AS ok FROM xc JOIN yc USING (f, ch)),
+run AS (SELECT *, i - row_number() OVER (PARTITION BY c, e, f, d ORDER BY i) AS r FROM cell),
+whole AS (SELECT c, e, f, d, n, min(i) AS s0, max(i) AS s1 FROM run GROUP BY c, e, f, d, n, r),
+part AS (SELECT c, e, f, d, i - row_number() OVER (PARTITION BY c, e, f, d ORDER BY i) AS q, i FROM run WHERE ok AND n >= 200),
+block AS (SELECT p.c, p.e, p.f, p.d, p0, p1, s0, s1, true AS ok FROM (SELECT c, e, f, d, min(i) AS p0, max(i) AS p1 FROM part GROUP BY c, e, f, d, q) p
+    JOIN whole w ON p.c = w.c AND p.e = w.e AND p.f = w.f AND p.d = w.d AND p0 BETWEEN s0 AND s1
+  UNION ALL SELECT c, e, f, d, s0, s1, s0, s1, n < 200 FROM whole),
+-- A row is a block in a box, cut to it. The longest block of a box, the first in the one and then in the other text, grows by
+-- any equal characters and splits the box; where none may begin one, equal characters at its corner count.
+box AS (SELECT c, e, b.f, 1 AS a0, length(x.t) AS a1, 1 AS b0, length(y.t) AS b1, d, p0, p1, s0, s1, ok FROM block b JOIN x ON x.item_id = c AND x.f = b.f JOIN y ON y.item_id = e AND y.f = b.f
+  UNION ALL SELECT c, e, f, a, z, b, w, d, greatest(p0, a, b + d), least(p1, z, w + d), s0, s1, ok FROM (
+    SELECT c, e, f, d, p0, p1, s0, s1, ok, side, CASE side WHEN 0 THEN a0 ELSE hi + 1 END AS a, CASE side WHEN 0 THEN lo - 1 ELSE a1 END AS z,
+      CASE side WHEN 0 THEN b0 ELSE hi - md + 1 END AS b, CASE side WHEN 0 THEN lo - md - 1 ELSE b1 END AS w
+    FROM (SELECT *, greatest(m.s0, a0, b0 + m.d) AS lo, least(m.s1, a1, b1 + m.d) AS hi, m.d AS md FROM (
+      SELECT *, arg_min({'s0': s0, 's1': s1, 'd': d}, CASE WHEN ok THEN (p0 - p1 - 1) * 100000000 + p0 * 10000 + p0 - d WHEN d = a0 - b0 AND p0 = a0 THEN 0 END)
+        OVER (PARTITION BY c, e, f, a0, b0) AS m FROM box) WHERE m IS NOT NULL), (VALUES (0), (1)) v(side))
+  WHERE a <= z AND b <= w AND greatest(p0, a, b + d) <= least(p1, z, w + d)),
+best AS (SELECT c, e, f, a0, a1, b0, b1, arg_min({'s0': s0, 's1': s1, 'd': d}, CASE WHEN ok THEN (p0 - p1 - 1) * 100000000 + p0 * 10000 + p0 - d WHEN d = a0 - b0 AND p0 = a0 THEN 0 END) AS m FROM box GROUP BY ALL),
+common AS (SELECT c, e, f, sum(least(m.s1, a1, b1 + m.d) - greatest(m.s0, a0, b0 + m.d) + 1) AS k FROM best WHERE m IS NOT NULL GROUP BY ALL),
+ratio AS (SELECT x.item_id AS c, y.item_id AS e, f, coalesce(2.0 * k / (length(x.t) + length(y.t)), 0)::DOUBLE AS r FROM x JOIN y USING (f) LEFT JOIN common ON c = x.item_id AND e = y.item_id AND common.f = x.f),
+score AS (SELECT c, e, (0.35::DOUBLE * max(r) FILTER (f = 0) + 0.3::DOUBLE * max(r) FILTER (f = 1)) / (0.35::DOUBLE + 0.3::DOUBLE) AS score FROM ratio GROUP BY ALL),
+top AS (SELECT c, arg_min({'e': e, 'score': score}, {'s': -score, 'e': e}) AS m FROM score WHERE score > 0 GROUP BY c)
+SELECT item_id AS cand_id, CASE WHEN m.score >= 0.92 THEN 'DUPLICATE' WHEN m.score >= 0.75 THEN 'EXISTING' WHEN m.score >= 0.55 THEN 'RELATED' ELSE 'NEW' END AS status,
+  CASE WHEN m.score >= 0.55 THEN 'UC-' || CAST(m.e AS VARCHAR) END AS use_case_id, round(coalesce(m.score, 0), 9) AS score FROM benchmark LEFT JOIN top ON c = item_id"""
+
+
+@register("use_case_similarity", _SIMILARITY)
 def use_case_similarity(spark, sf_dir):
     """Benchmark items by their first sentences against the same items by their last, every pair."""
     b = table(spark, sf_dir, "benchmark")

@@ -3,6 +3,8 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
 from chronolith.operators import entities
 
 FIELDS = "name string, objective string, actor string, flow string, trigger string, functionalities array<string>"
@@ -22,8 +24,12 @@ def test_every_candidate_meets_the_whole_store(spark):
     assert got["Factura"]["status"] == "DUPLICATE"
 
 
-def test_tiles_find_the_best_of_all_pairs(spark, monkeypatch):
-    """Over several tiles, with nulls, blanks, ties, repeated rows and long texts, against every pair scored by itself."""
+@pytest.mark.parametrize("few", [99, 0])
+def test_tiles_find_the_best_of_all_pairs(spark, monkeypatch, few):
+    """Over several tiles, met all or by their bounds, with nulls, blanks, ties, repeated rows and long texts, against every
+    pair scored by itself."""
+    monkeypatch.setattr(entities, "FEW_TILES", few)
+    monkeypatch.setattr(entities, "SUM_BLOCK", 3)
     monkeypatch.setattr(entities, "TILE", 7)
     monkeypatch.setattr(entities, "STORE_TILE", 9)
     rng = random.Random(11)
@@ -54,3 +60,21 @@ def test_tiles_find_the_best_of_all_pairs(spark, monkeypatch):
         assert got[c[0]][0] == (stored[-at][0] if score >= entities.RELATED else None)
     assert {r["status"] for r in entities.match_use_cases(cand, store.limit(0)).collect()} == {"NEW"}
     assert entities.match_use_cases(cand.limit(0), store).count() == 0
+
+
+def test_tiles_that_cannot_win_are_not_met(spark, monkeypatch):
+    """Texts of several alphabets and lengths: near copies are found, and most of the store is never compared."""
+    monkeypatch.setattr(entities, "STORE_TILE", 20)
+    rng = random.Random(5)
+    alphabets = ["abcdefgh", "ijklmnop", "qrstuvwx", "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437"]
+
+    def text(i):
+        return "".join(rng.choice(alphabets[i % 4] + " ") for _ in range(20 + 15 * (i % 7)))
+
+    stored = [(f"u{i:03d}", i, text(i), text(i), "", "", "", []) for i in range(400)]
+    changed = lambda t: t[:9] + "#" + t[10:]
+    cands = [(k, changed(name), changed(objective), *rest) for k, _, name, objective, *rest in stored[::5]]
+    store = spark.createDataFrame(stored, f"use_case_id string, ord int, {FIELDS}")
+    got = entities.match_use_cases(spark.createDataFrame(cands, f"cand_id string, {FIELDS}"), store, with_met=True).collect()
+    assert len(got) == 80 and all(r["use_case_id"] == r["cand_id"] and r["status"] == "DUPLICATE" for r in got)
+    assert sum(r["met"] for r in got) < 0.05 * len(stored) * len(cands)
