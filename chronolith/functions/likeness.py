@@ -9,10 +9,8 @@ from pyspark.sql.types import DoubleType
 
 #: In a second text of so many characters, one that makes up over a hundredth of it begins no block; fixed values.
 LONG, SHARE = 200, 100
-#: Cells of the table that one step looks at.
-CELLS = 1 << 19
-#: What stands for no character, on either side.
-_NO_A, _NO_B = np.uint32(0xFFFFFFFE), np.uint32(0xFFFFFFFF)
+#: Cells of the tables of pairs, a character of the one by one of the other, that one batch has.
+CELLS = 1 << 22
 
 
 def plain(text: str | None) -> str:
@@ -36,73 +34,106 @@ def _usual(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return ok
 
 
-def _longest(a, b, ok, sa, la, sb, lb):
-    """(offset in a, offset in b, length) of the longest block of each box of the two texts; of equals, the first in a, then in b.
-
-    A row of the table of common suffixes at a time, for all boxes; characters that begin no block lengthen one.
-    """
-    n, wide = len(sa), int(lb.max())
-    columns = np.arange(wide)
-    places = np.minimum(sb[:, None] + columns, len(b) - 1)
-    right = np.where((columns < lb[:, None]) & ok[places], b[places], _NO_B)
-    runs = np.zeros((n, wide + 1), np.int32)
-    size, i0, j0 = (np.zeros(n, np.int64) for _ in range(3))
-    rows = np.arange(n)
-    for i in range(int(la.max())):
-        char = np.where(i < la, a[np.minimum(sa + i, len(a) - 1)], _NO_A)
-        runs[:, 1:] = (runs[:, :-1] + 1) * (right == char[:, None])
-        j = runs[:, 1:].argmax(axis=1)
-        k = runs[rows, j + 1]
-        up = k > size
-        size[up], i0[up], j0[up] = k[up], i - k[up] + 1, j[up] - k[up] + 1
+def _each(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair and the offset of every character of the texts that begin at ``starts``."""
+    pair = np.repeat(np.arange(len(sizes)), sizes)
+    return pair, np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs(a, b, ok, sa, la, sb, lb):
+    """(pair, offset in a, offset in b, length) of the runs of equal characters that may begin a block, by pair."""
+    pa, ia = _each(sa, la)
+    pb, jb = _each(sb, lb)
+    begins = ok[sb[pb] + jb]
+    pb, jb = pb[begins], jb[begins]
+    there = pb << 32 | b[sb[pb] + jb]
+    order = np.argsort(there, kind="stable")
+    there, jb = there[order], jb[order]
+    here = pa << 32 | a[sa[pa] + ia]
+    low = np.searchsorted(there, here, "left")
+    n = np.searchsorted(there, here, "right") - low
+    j = jb[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    # In the order of pair, diagonal and place, cells of a run follow one another without a gap.
+    wide, deep = int(la.max()) + 1, int(la.max() + lb.max()) + 1
+    i = np.repeat(ia, n)
+    cells = (np.repeat(pa, n) * deep + i - j + lb.max()) * wide + i
+    cells.sort()
+    first = np.flatnonzero(np.diff(cells, prepend=-2) != 1)
+    size = np.diff(np.append(first, len(cells)))
+    i, rest = cells[first] % wide, cells[first] // wide
+    return rest // deep, i, i - (rest % deep - lb.max()), size
+
+
+def _grown(a, b, sa, sb, i, j, size, box):
+    """Blocks with equal characters before and after them, inside their boxes."""
+    a0, a1, b0, b1 = box
     while True:
-        back = (i0 > 0) & (j0 > 0) & (a[sa + i0 - 1] == b[sb + j0 - 1])
+        back = (i > a0) & (j > b0)
+        back[back] = a[(sa + i - 1)[back]] == b[(sb + j - 1)[back]]
         if not back.any():
             break
-        i0, j0, size = i0 - back, j0 - back, size + back
+        i, j, size = i - back, j - back, size + back
     while True:
-        i, j = i0 + size, j0 + size
-        on = (i < la) & (j < lb) & (a[np.minimum(sa + i, len(a) - 1)] == b[np.minimum(sb + j, len(b) - 1)])
+        on = (i + size < a1) & (j + size < b1)
+        on[on] = a[(sa + i + size)[on]] == b[(sb + j + size)[on]]
         if not on.any():
-            return i0, j0, size
+            return i, j, size
         size = size + on
 
 
+def _common(a, b, ok, sa, la, sb, lb) -> np.ndarray:
+    """Characters in matching blocks of each pair.
+
+    The longest block of a box, of equals the first in a and then in b, grows by equal characters and splits what is left
+    into a box before and one after it. All open boxes of all pairs make a round together; runs are cut to their new boxes.
+    """
+    common, pair, none = np.zeros(len(sa), np.int64), np.arange(len(sa)), np.zeros(len(sa), np.int64)
+    box, own = np.stack([none, la, none, lb]), pair
+    at, i, j, size = _runs(a, b, ok, sa, la, sb, lb)
+    wide = int(max(la.max(), lb.max())) + 1
+    while len(own):
+        # Where nothing may begin a block, equal characters at the corner of the box make one.
+        bi, bj, bn = box[0].copy(), box[2].copy(), np.zeros(len(own), np.int64)
+        if len(at):
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            best = np.minimum.reduceat(((wide - size) * wide + i) * wide + j, first)
+            bi[at[first]], bj[at[first]], bn[at[first]] = best // wide % wide, best % wide, wide - best // wide**2
+        bi, bj, bn = _grown(a, b, sa[own], sb[own], bi, bj, bn, box)
+        np.add.at(common, own, bn)
+        sides = [np.stack([box[0], bi, box[2], bj]), np.stack([bi + bn, box[1], bj + bn, box[3]])]
+        open_ = [(bn > 0) & (s[0] < s[1]) & (s[2] < s[3]) for s in sides]
+        runs, before = [], 0
+        for s, o in zip(sides, open_, strict=True):
+            name = np.where(o, np.cumsum(o) - 1 + before, -1)
+            before += int(o.sum())
+            d = i - j
+            low, high = np.maximum(np.maximum(i, s[0][at]), s[2][at] + d), np.minimum(np.minimum(i + size, s[1][at]), s[3][at] + d)
+            kept = (name[at] >= 0) & (low < high)
+            runs.append(np.stack([name[at], low, low - d, high - low])[:, kept])
+        box = np.concatenate([s[:, o] for s, o in zip(sides, open_, strict=True)], axis=1)
+        own = np.concatenate([own[o] for o in open_])
+        at, i, j, size = np.concatenate(runs, axis=1)
+    return common
+
+
 def ratios(xs: list[str], ys: list[str]) -> np.ndarray:
     """For each pair of plain texts twice the characters in matching blocks, of those of both; 0 where one is empty.
 
-    The longest block splits what is left into a box before and one after it. All boxes of all pairs that are open make a
-    round together, those of similar size in one table, so a round costs a step for each character of the longest text and
-    not for each pair.
+    Pairs go in batches of about ``CELLS`` cells of their tables, or alone. The memory of a batch is that of its cells with
+    equal characters, of which a long text leaves those of its rarer ones.
     """
     a, at_a, la = _flat(xs)
     b, at_b, lb = _flat(ys)
-    common = np.zeros(len(xs), np.int64)
-    pair = np.flatnonzero((la > 0) & (lb > 0))
-    if len(pair) == 0:
-        return np.zeros(len(xs))
+    out = np.zeros(len(xs))
+    some = np.flatnonzero((la > 0) & (lb > 0))
+    if len(some) == 0:
+        return out
     ok = _usual(b, at_b, lb)
-    # Columns: pair, place in a, length in a, place in b, length in b.
-    boxes = np.stack([pair, at_a[pair], la[pair], at_b[pair], lb[pair]])
-    while boxes.shape[1]:
-        bits = np.frexp(boxes[2])[1]
-        boxes = boxes[:, np.lexsort((boxes[4], bits))]
-        bits, wide, after, begin = np.sort(bits), boxes[4], [], 0
-        while begin < boxes.shape[1]:
-            same = np.searchsorted(bits, bits[begin], "right")
-            cells = (np.arange(begin, same) - begin + 1) * wide[begin:same]
-            end = begin + max(1, int(np.searchsorted(cells, CELLS, "right")))
-            p, sa, na, sb, nb = boxes[:, begin:end]
-            i, j, k = _longest(a, b, ok, sa, na, sb, nb)
-            np.add.at(common, p, k)
-            before = np.stack([p, sa, i, sb, j])
-            behind = np.stack([p, sa + i + k, na - i - k, sb + j + k, nb - j - k])
-            after += [before[:, k > 0], behind[:, k > 0]]
-            begin = end
-        boxes = np.concatenate(after, axis=1)
-        boxes = boxes[:, (boxes[2] > 0) & (boxes[4] > 0)]
-    both = la + lb
-    return np.where((la > 0) & (lb > 0), 2.0 * common / np.maximum(both, 1), 0.0)
+    batch = np.cumsum(la[some] * lb[some]) // CELLS
+    for own in np.split(some, np.flatnonzero(np.diff(batch)) + 1):
+        common = _common(a, b, ok, at_a[own], la[own], at_b[own], lb[own])
+        out[own] = 2.0 * common / (la[own] + lb[own])
+    return out
 
 
 @F.pandas_udf(DoubleType())

@@ -128,7 +128,7 @@ def _best_in_tile(mine: _Rows, theirs: _Rows, ords: np.ndarray, floor: np.ndarra
 
     Two texts have no more in common than their characters, whatever their order. So rows are tried from the highest such
     bound on, a few more in each round, and a row is left out where its bound is below the best score so far, or the
-    floor, the score of a match elsewhere. Nothing that could win is left out.
+    floor, the score of a match elsewhere; so again after each field, short ones first. Nothing that could win is left out.
     """
     bound = np.zeros((len(FIELD_WEIGHTS), mine.sizes.shape[1], theirs.sizes.shape[1]))
     for f in range(len(FIELD_WEIGHTS)):
@@ -148,6 +148,7 @@ def _best_in_tile(mine: _Rows, theirs: _Rows, ords: np.ndarray, floor: np.ndarra
     on = mine.filled[:, :, None] | theirs.filled[:, None, :]
     shared = np.array([[not a.isdisjoint(b) for b in theirs.functions] for a in mine.functions])
     most = _weigh(bound, on, shared)
+    cheapest = np.argsort(mine.sizes.mean(axis=1) * theirs.sizes.mean(axis=1))
     order = np.lexsort((np.broadcast_to(ords, most.shape), -most), axis=1)
     ranked = np.take_along_axis(most, order, axis=1)
     n = len(order)
@@ -158,13 +159,17 @@ def _best_in_tile(mine: _Rows, theirs: _Rows, ords: np.ndarray, floor: np.ndarra
         if not len(c):
             break
         e = order[c, reached + k]
-        told = np.zeros((len(FIELD_WEIGHTS), len(c)))
-        fields, pairs = np.nonzero(bound[:, c, e] > 0)
-        told[fields, pairs] = likeness.ratios([mine.texts[f][c[i]] for f, i in zip(fields, pairs, strict=True)], [theirs.texts[f][e[i]] for f, i in zip(fields, pairs, strict=True)])
-        for i, s in enumerate(_weigh(told, on[:, c, e], shared[c, e])):
-            met[c[i]] += 1
-            if s > score[c[i]] or (s == score[c[i]] > 0 and ords[e[i]] < ords[best[c[i]]]):
-                best[c[i]], score[c[i]] = e[i], s
+        told = bound[:, c, e]
+        met += np.bincount(c, minlength=n)
+        for f in cheapest:
+            some = np.flatnonzero(told[f] > 0)
+            told[f, some] = likeness.ratios([mine.texts[f][i] for i in c[some]], [theirs.texts[f][i] for i in e[some]])
+            likely = _weigh(told, on[:, c, e], shared[c, e])
+            stays = (likely > 0) & (likely >= np.maximum(score, floor)[c])
+            c, e, told, likely = c[stays], e[stays], told[:, stays], likely[stays]
+        for i, (row, found) in enumerate(zip(c, e, strict=True)):
+            if likely[i] > score[row] or (likely[i] == score[row] and ords[found] < ords[best[row]]):
+                best[row], score[row] = found, likely[i]
         reached, take = reached + take, take * 4
     return best, score, met
 
