@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import clock as C
 from chronolith.functions import rules
 from chronolith.functions import text as T
-from chronolith.operators import gate, reports, timeline, topics
+from chronolith.operators import entities, gate, reports, timeline, topics
 from chronolith.sources import transcripts
 
 from .catalog import register
@@ -192,3 +192,48 @@ def ocr_lines(spark, sf_dir):
 def themes_of_slugs(spark, sf_dir):
     given = F.when(F.col("s_suppkey") % 2 == 0, "mcp-conexion, nada ,PANEL-cascade,Mcp-Conexion").otherwise(",Software-de-Terceros")
     return topics.themes_of_slugs(table(spark, sf_dir, "supplier").select("s_suppkey", given.alias("slugs"))).drop("slugs")
+
+
+_LOOP = """WITH g AS (SELECT source, 'tema ' || lang || CAST(doc_id % 10 AS VARCHAR) AS topic, CAST(3 * count(*) AS INTEGER) AS mentions, CAST(1 + sum(n_chars) % 40 AS INTEGER) AS m FROM documents GROUP BY 1, 2),
+o AS (SELECT 'Demo-' || source AS video, 'Capsula-' || CAST(doc_id AS VARCHAR) || '.mp4' AS output, 'tema ' || lang || CAST(doc_id % 10 AS VARCHAR) AS topic FROM documents WHERE doc_id % 50 = 7),
+k AS (SELECT 'Demo-' || source AS video, topic, mentions, '0:00:10–0:' || lpad(CAST(m AS VARCHAR), 2, '0') || ':00' AS "interval",
+  NOT EXISTS (SELECT 1 FROM o WHERE o.topic = g.topic) AND mentions >= 4 AND (m * 60 - 10) / 60.0 / mentions <= 3 AS fresh FROM g)"""
+
+
+def _loop(spark, sf_dir):
+    """(videos, cases of their discovery reports, claims, outputs): documents of a source are told in one report."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.concat(F.lit("tema "), "lang", (F.col("doc_id") % 10).cast("string")).alias("topic"))
+    g = docs.groupBy("source", "topic").agg((F.count(F.lit(1)) * 3).alias("n"), (F.sum("n_chars") % 40 + 1).alias("m"))
+    case = F.struct("topic", F.format_string("%s\n- **Tramo:** 0:00:10–0:%02d:00 · **menciones:** %d\n", "topic", "m", "n").alias("body"))
+    bodies = F.transform(F.array_sort(F.collect_list(case)), lambda x, i: F.concat(F.lit("## Caso "), (i + 1).cast("string"), F.lit(": "), x["body"]))
+    texts = g.groupBy(F.col("source").alias("folder")).agg(F.concat(F.lit("# Casos\n"), F.array_join(bodies, "")).alias("text"))
+    found = transcripts.discovery_cases(texts, "folder")
+    outputs = docs.where("doc_id % 50 = 7").select(F.concat(F.lit("Demo-"), "source").alias("video"), F.concat(F.lit("Capsula-"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("output"), "topic", F.lit("").alias("slug"), F.col("doc_id").alias("ord"))
+    videos = docs.select(F.concat(F.lit("Demo-"), "source").alias("video")).distinct()
+    return videos, reports.open_cases(videos, texts.select("folder"), found, outputs), outputs.select("video", "output"), outputs
+
+
+@register("more_cases", _LOOP + """ SELECT topic, video, "interval", mentions FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY mentions DESC, video, "interval") AS n FROM k WHERE fresh) WHERE n = 1""")
+def more_cases(spark, sf_dir):
+    """New cases of all reports that no output covers, the best one of each topic."""
+    _, cases, _, _ = _loop(spark, sf_dir)
+    return topics.best_candidates(cases.where("focus = 'new'"), ["video", "interval"]).select("topic", "video", "interval", "mentions")
+
+
+@register("recorded_videos", _LOOP + """, v AS (SELECT DISTINCT 'Demo-' || source AS video, CAST(substr(source, 4) AS INTEGER) % 2 = 0 AS known, CAST(substr(source, 4) AS INTEGER) % 4 = 0 AS gone FROM documents),
+t AS (SELECT video, array_to_string(list_sort(list(DISTINCT topic)), ',') AS objective FROM (SELECT video, topic FROM k UNION ALL SELECT video, topic FROM o) GROUP BY 1),
+n AS (SELECT video, array_to_string(list_sort(list(DISTINCT topic)), ',') AS new_cases FROM k WHERE fresh GROUP BY 1),
+c AS (SELECT video, array_to_string(list_sort(list(DISTINCT output)), ',') AS outputs FROM o GROUP BY 1)
+SELECT video, objective, coalesce(outputs, '') AS outputs, coalesce(new_cases, '') AS new_cases, true AS processed, new_cases IS NULL AS nothing_new, CASE WHEN known THEN '2020-01-01' ELSE '2024-01-01' END AS registered, '2024-01-01' AS updated
+  FROM v LEFT JOIN t USING (video) LEFT JOIN n USING (video) LEFT JOIN c USING (video)
+UNION ALL SELECT video || '-antes', 'old', '', '', true, true, '2020-01-01', '2020-01-01' FROM v WHERE gone""")
+def recorded_videos(spark, sf_dir):
+    """Reports of all videos merged into the records: the first time stays, and so do records of videos that are gone."""
+    videos, cases, claims, outputs = _loop(spark, sf_dir)
+    number = F.regexp_extract("video", r"(\d+)$", 1).cast("int")
+    none, stamp = F.array().cast("array<string>"), F.lit("2020-01-01")
+    old = lambda rows: rows.select("video", F.array(F.lit("old")).alias("objective"), none.alias("outputs"), none.alias("new_cases"), F.lit(True).alias("processed"), F.lit(True).alias("nothing_new"), stamp.alias("registered"), stamp.alias("updated"))
+    gone = videos.where(number % 4 == 0).withColumn("video", F.concat("video", F.lit("-antes")))
+    known = old(videos.where(number % 2 == 0)).unionByName(old(gone))
+    out = entities.merge_by_name(known, reports.video_report(videos, cases, claims, outputs), "video", F.lit("2024-01-01"))
+    return out.select("video", *[F.array_join(c, ",").alias(c) for c in ("objective", "outputs", "new_cases")], "processed", "nothing_new", "registered", "updated")
