@@ -93,8 +93,9 @@ def uncovered_documents(spark, sf_dir):
     return left.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-def _artifact_sql(column: str) -> str:
-    parts = []
+def _cue_lists() -> dict[str, str]:
+    """SQL for what each class's patterns find in ``low``."""
+    lists = {}
     for name, patterns in rules.ARTIFACT_SIGNALS:
         found = []
         for p in patterns:
@@ -103,15 +104,19 @@ def _artifact_sql(column: str) -> str:
             tail = rf"(?:{_EDGE}|$)" if core.endswith(r"\b") else ""
             core = core.removeprefix(r"\b").removesuffix(r"\b").replace(r"\b", "")
             found.append(f"trim(regexp_extract(low, {rules.quoted(f'(?s){head}({core}){tail}')}, 1))")
-        parts.append(f"len(list_distinct(list_filter([{', '.join(found)}], lambda x: x <> ''))) AS s_{name}")
-    return ", ".join(parts)
+        lists[name] = f"list_filter([{', '.join(found)}], lambda x: x <> '')"
+    return lists
+
+
+def _artifact_sql() -> str:
+    return ", ".join(f"len(list_distinct({found})) AS s_{name}" for name, found in _cue_lists().items())
 
 
 _KINDS = [n for n, _ in rules.ARTIFACT_SIGNALS]
 
 
 @register("classify_artifact", f"""WITH p AS (SELECT doc_id, lower(coalesce(text, '')) AS low, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n'), lambda x: regexp_matches(trim(x), '^[$\\-+()\\d.,%\\s/:]+$') AND regexp_matches(x, '\\d'))) AS grid FROM documents),
-s AS (SELECT doc_id, grid, {_artifact_sql('low')} FROM p),
+s AS (SELECT doc_id, grid, {_artifact_sql()} FROM p),
 x AS (SELECT doc_id, grid, s_excel + CASE WHEN grid >= 4 THEN least(grid // 3, 4) ELSE 0 END AS t_excel, {', '.join(f's_{k} AS t_{k}' for k in _KINDS[1:])} FROM s),
 b AS (SELECT *, greatest({', '.join(f't_{k}' for k in _KINDS)}) AS best FROM x)
 SELECT doc_id, CASE WHEN best = 0 THEN 'otro' {' '.join(f"WHEN t_{k} = best THEN '{k}'" for k in _KINDS)} END AS artifact, CAST(best AS INTEGER) AS score, CAST(grid AS INTEGER) AS grid FROM b""")
@@ -120,6 +125,19 @@ def classify_artifact(spark, sf_dir):
     return d.select("doc_id", "a.artifact", "a.score", "grid")
 
 
+@register("artifact_cues", f"""WITH p AS (SELECT doc_id, lower(coalesce(text, '')) AS low, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n'), lambda x: regexp_matches(trim(x), '^[$\\-+()\\d.,%\\s/:]+$') AND regexp_matches(x, '\\d'))) AS grid FROM documents),
+l AS (SELECT doc_id, grid, {', '.join(f'{found} AS l_{name}' for name, found in _cue_lists().items())} FROM p),
+c AS (SELECT doc_id, grid, {', '.join(f'list_filter(l_{k}, lambda x, i: list_position(l_{k}, x) = i) AS c_{k}' for k in _KINDS)} FROM l),
+x AS (SELECT *, len(c_excel) + CASE WHEN grid >= 4 THEN least(grid // 3, 4) ELSE 0 END AS t_excel, {', '.join(f'len(c_{k}) AS t_{k}' for k in _KINDS[1:])} FROM c),
+b AS (SELECT *, greatest({', '.join(f't_{k}' for k in _KINDS)}) AS best FROM x)
+SELECT doc_id, array_to_string(CASE WHEN best = 0 THEN [] WHEN t_excel = best THEN list_concat(c_excel, CASE WHEN grid >= 4 THEN ['grilla numérica (~' || CAST(grid AS VARCHAR) || ' líneas)'] ELSE [] END)
+  {' '.join(f"WHEN t_{k} = best THEN c_{k}" for k in _KINDS[1:])} END[1:8], '|') AS cues FROM b""")
+def artifact_cues(spark, sf_dir):
+    """What tells the class of a document: eight cues at most."""
+    found = table(spark, sf_dir, "documents").select("doc_id", rules.artifact_of(F.col("text")).alias("a"))
+    return found.select("doc_id", F.array_join("a.cues", "|").alias("cues"))
+
+
 @register("detect_action", f"""SELECT doc_id, CASE {' '.join(f"WHEN {' OR '.join(_hit('text', x) for x in p)} THEN '{n}'" for n, p in rules.ACTIONS)}
   WHEN n_chars % 40 >= 25 THEN 'cambiar' WHEN n_chars % 10 / 10.0 >= 0.35 OR n_chars % 40 >= 6 THEN 'escribir' WHEN n_chars % 10 / 10.0 >= 0.15 THEN 'interactuar' ELSE 'revisar' END AS action FROM documents""")
 def detect_action(spark, sf_dir):
