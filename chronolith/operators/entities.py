@@ -43,22 +43,83 @@ def classify_videos(new: DataFrame, known: DataFrame, *, latest_is_last: bool =
     EXACT_DUPLICATE by content; else, in its version family, LIKELY_DUPLICATE of the first whose length is within the
     band of the stored one, both lengths known; else NEW_VERSION of the highest version (or of the last row); else
     NEW_VIDEO. A name of suffixes only has no family. known: also version and ord. Each known table is aggregated to a
-    row a key before it is joined, but for lengths, which join on the family.
+    row a key before it is joined, lengths to a row a family and length, and no pairs are made of a family's lengths.
     """
-    new = new.withColumn("family", T.family(F.col("file_name")))
-    old = known.withColumn("family", T.family(F.col("file_name")))
+    # Names go through some expressions a row, and a small file would be one task: rows are dealt before.
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = new.repartition(tasks).withColumn("family", T.family(F.col("file_name"))).withColumn("__d", F.col("duration_seconds").cast("double"))
+    old = known.select("video_id", "ord", "version", "file_name", "duration_seconds").repartition(tasks)
+    old = materialize(old.withColumn("family", T.family(F.col("file_name"))).drop("file_name"), "known")
     exact = old.groupBy("video_id").agg(F.min_by("video_id", "ord").alias("exact"))
     last = F.struct("ord") if latest_is_last else F.struct(F.coalesce("version", F.lit(1)), -F.col("ord"))
     fams = old.where("family <> ''").groupBy("family").agg(F.max_by("video_id", last).alias("parent"), F.max_by(F.coalesce("version", F.lit(1)), last).alias("parent_version"))
-    stored = old.where("family <> '' and duration_seconds <> 0").select("family", F.col("duration_seconds").alias("d"), F.col("ord").alias("o"), F.col("video_id").alias("likely"))
-    n = new.withColumn("__id", F.monotonically_increasing_id())
-    near = n.where("duration_seconds <> 0").join(stored, "family").where(F.abs(F.col("d") - F.col("duration_seconds")) / F.greatest("d", F.lit(1.0)) <= band)
-    near = near.groupBy("__id").agg(F.min_by("likely", "o").alias("likely"))
-    out = n.join(exact, "video_id", "left").join(fams, "family", "left").join(near, "__id", "left")
+    stored = old.where("family <> '' and duration_seconds <> 0 and ord is not null").groupBy("family", F.col("duration_seconds").cast("double").alias("d"))
+    near = _first_within(n.select("family", F.col("__d").alias("d")).where("family <> '' and d <> 0").distinct(), stored.agg(F.min(F.struct("ord", "video_id")).alias("first")), band)
+    near = near.select("family", F.col("d").alias("__d"), F.col("first.video_id").alias("likely"))
+    out = n.join(exact, "video_id", "left").join(fams, "family", "left").join(near, ["family", "__d"], "left")
     status = F.when(F.col("exact").isNotNull(), "EXACT_DUPLICATE").when(F.col("likely").isNotNull(), "LIKELY_DUPLICATE").when(F.col("parent").isNotNull(), "NEW_VERSION").otherwise("NEW_VIDEO")
     match = F.coalesce("exact", "likely", "parent")
     version = F.when(status == "NEW_VERSION", F.col("parent_version") + 1)
-    return out.select(*new.columns, status.alias("status"), match.alias("match"), version.cast("int").alias("suggested_version"))
+    return out.select(*new.columns, "family", status.alias("status"), match.alias("match"), version.cast("int").alias("suggested_version"))
+
+
+def _first_within(asked: DataFrame, stored: DataFrame, band: float) -> DataFrame:
+    """For each asked length (family, d) the least ``first`` of the family's stored lengths (family, d, first) that have it in
+    their band; lengths without any are left out. Both have a row a family and length.
+
+    The lengths that qualify lie between two ends. Places on a scale that is even below 1 and logarithmic above are cut into
+    bins as wide as the band, so the ends are in two bins: the answer is the least of the first bin from the lower end on,
+    of the last one up to the upper end, and of the two bins or so in between, which are summed up. Only lengths so far below
+    zero that their digits are wider than the band have both ends in one bin and meet its lengths one by one.
+    """
+    finite = lambda rows: rows.where(~F.isnan("d") & (F.abs("d") < float("inf")))
+    asked, stored = finite(asked), finite(stored)
+    if not 1e-6 <= band < 0.5:  # ends that may be in one bin, or not be found to the last digit
+        pairs = asked.join(stored.select("family", F.col("d").alias("s"), "first"), "family")
+        return pairs.where(F.abs(F.col("s") - F.col("d")) / F.greatest("s", F.lit(1.0)) <= band).groupBy("family", "d").agg(F.min("first").alias("first"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi = _band_ends(batch.column("d").to_numpy(zero_copy_only=False), band)
+            yield pa.RecordBatch.from_pydict({"family": batch.column("family"), "d": batch.column("d"), "lo": pa.array(lo), "hi": pa.array(hi)})
+
+    binned = lambda v: F.floor(F.when(v <= 1, v).otherwise(1 + F.log(v)) / band)
+    asked = asked.mapInArrow(ends, "family string, d double, lo double, hi double")
+    asked = materialize(asked.withColumn("lo_bin", binned(F.col("lo"))).withColumn("hi_bin", binned(F.col("hi"))), "bands")
+    stored = materialize(stored.withColumn("bin", binned(F.col("d"))), "lengths")
+    known = stored.select("family", "bin", F.col("d").alias("end"), "first", F.lit(None).cast("double").alias("d"))
+
+    def at_end(end: str, order: Column) -> DataFrame:
+        mine = asked.where("lo_bin < hi_bin").select("family", "d", F.col(end).alias("end"), F.col(f"{end}_bin").alias("bin"))
+        rows = known.unionByName(mine, allowMissingColumns=True)
+        upto = Window.partitionBy("family", "bin").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("first", F.min("first").over(upto)).where("d is not null").select("family", "d", "first")
+
+    between = asked.where("hi_bin - lo_bin > 1").select("family", "d", F.explode(F.sequence(F.col("lo_bin") + 1, F.col("hi_bin") - 1)).alias("bin"))
+    whole = between.join(stored.groupBy("family", "bin").agg(F.min("first").alias("first")), ["family", "bin"]).select("family", "d", "first")
+    single = asked.where("lo_bin = hi_bin").withColumnRenamed("lo_bin", "bin").join(known.drop("d"), ["family", "bin"]).where("end between lo and hi").select("family", "d", "first")
+    found = at_end("lo", F.col("end").desc()).union(at_end("hi", F.col("end").asc())).union(whole).union(single)
+    return found.where("first is not null").groupBy("family", "d").agg(F.min("first").alias("first"))
+
+
+def _band_ends(x: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest number d with abs(d - x) / max(d, 1) <= band, for bands below a half.
+
+    Rounded as it is, that quotient never falls with the distance of d from x, so each end is found by halving, down to
+    neighbouring numbers, between x and one that is too far away.
+    """
+    order = lambda bits: np.where(bits < 0, np.int64(-(2**63)) - bits, bits)  # noqa: E731  of numbers as their bits, and back
+    number = lambda places: order(places).view(np.float64)
+    out = []
+    for far in (x - 2 * band * np.maximum(np.abs(x), 1.0), x + 4 * band * np.maximum(np.abs(x), 1.0)):
+        inside, outside = order(x.view(np.int64)), order(far.view(np.int64))
+        for _ in range(64):
+            middle = (inside >> 1) + (outside >> 1) + (inside & outside & 1)
+            d = number(middle)
+            good = np.abs(d - x) / np.maximum(d, 1.0) <= band
+            inside, outside = np.where(good, middle, inside), np.where(good, outside, middle)
+        out.append(number(inside))
+    return out[0], out[1]
 
 
 def register_videos(known: DataFrame, new: DataFrame) -> DataFrame:

@@ -41,3 +41,42 @@ def test_probes_see_the_next_sample(spark):
     windows = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("a", 5.0), ("a", 8.0), ("b", 0.0), ("c", 0.0)], "k string, s double")
     got = {(r["k"], r["s"]): r["most"] for r in timeline.most_at_probes(windows, samples, ["k"], "s", "t", "id", "v", length=4.0, n=3).collect()}
     assert got == {("a", 1.0): 1.0, ("a", 0.0): 5.0, ("a", 5.0): None, ("a", 8.0): None, ("b", 0.0): 2.0, ("c", 0.0): None}
+
+
+def test_lengths_of_one_family(spark):
+    """Lengths beside the ends of bands, below one, repeated and odd ones: all pairs decide, and no pairs are made."""
+    rng = random.Random(2)
+    lengths = [0.0, None, float("nan"), float("inf"), -3.0, -1e300, 0.02, 1e-9, 0.98, 1.0, 1.02, 100.0, 102.0, 100 / 1.02, 102.0408163265306]
+    lengths += [round(rng.uniform(0, 3), 2) for _ in range(60)] + [round(90 * 1.3 ** rng.uniform(0, 3), 1) for _ in range(120)]
+    places = list(range(len(lengths)))
+    rng.shuffle(places)
+    known = [(f"k{o}", "a.mp4", d, 1, o) for o, d in zip(places, lengths, strict=True)]
+    asked = lengths + [x for d in lengths[11:] for x in (d * 1.02, d / 1.02, d * 0.98)]
+    schema = "video_id string, file_name string, duration_seconds double"
+    store, new = spark.createDataFrame(known, schema + ", version int, ord long"), spark.createDataFrame([(f"n{i}", "a.mp4", d) for i, d in enumerate(asked)], schema)
+    some = [(d, o) for _, _, d, _, o in known if d]
+    for band in (0.02, 0.3, 0.0, 0.7):
+        got = {r["video_id"]: r["match"] for r in entities.classify_videos(new, store, band=band).collect() if r["status"] == "LIKELY_DUPLICATE"}
+        first = {f"n{i}": min((o for s, o in some if x and abs(s - x) / max(s, 1.0) <= band), default=None) for i, x in enumerate(asked)}
+        assert got == {k: f"k{o}" for k, o in first.items() if o is not None}
+
+
+def joined_rows(plan):
+    """The rows that came out of all joins of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return joined_rows(plan.plan())
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if name.endswith("Join") else 0
+    return own + sum(map(joined_rows, below))
+
+
+def test_a_family_of_many_lengths(spark):
+    """3,000 known and as many new lengths of a family, all in the band of each other: 9,000,000 pairs, and none is made."""
+    known = spark.range(3_000).select(F.concat(F.lit("k"), "id").alias("video_id"), F.format_string("a_v%d.mp4", "id").alias("file_name"), (1000 + F.col("id") / 1e4).alias("duration_seconds"), F.lit(1).alias("version"), (-F.col("id")).alias("ord"))
+    out = entities.classify_videos(known.select(F.concat(F.lit("n"), "video_id").alias("video_id"), "file_name", "duration_seconds"), known)
+    rows = out.collect()
+    assert len(rows) == 3_000 and {(r["status"], r["match"]) for r in rows} == {("LIKELY_DUPLICATE", "k2999")}
+    assert 9_000 <= joined_rows(out._jdf.queryExecution().executedPlan()) < 60_000
