@@ -484,18 +484,22 @@ def most_specific(outputs: DataFrame, sources: DataFrame, output_key: str, outpu
     """Pairs of an output and the sources whose words are all in its name, unless a source with more words claims it.
 
     An output that has all words of a source has the rarest of them, so pairs come from an equi-join on the word of each
-    source that fewest outputs have; a source with a word that no output has claims none.
+    source that fewest outputs have; a source with a word that no output has claims none. Names with the same words claim the
+    same, so sets of words meet, a row each, and outputs and sources come back at the end. Rows grow as names are taken apart,
+    which no estimate from a file's size knows, so these joins are told to sort and merge, and nothing is broadcast.
     """
-    o = outputs.select(output_key, T.tokens(F.col(output_name)).alias("ot"))
+    o = outputs.select(output_key, F.array_sort(T.tokens(F.col(output_name))).alias("ot"))
     s = sources.select(source_key, F.array_sort(T.tokens(F.col(source_name))).alias("st")).where(F.size("st") > 0)
-    words = o.withColumn("k", F.explode("ot"))
+    o, s = materialize(o, "outputs"), materialize(s, "sources")
+    sets = s.select("st").distinct()
+    words = o.select("ot").distinct().withColumn("k", F.explode("ot"))
     often = words.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    rarest = s.withColumn("k", F.explode("st")).join(often, "k", "left").groupBy(source_key, "st").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))["k"].alias("k"))
-    pairs = words.join(rarest, "k").where(F.size(F.array_except("st", "ot")) == 0)
-    pairs = pairs.select(output_key, source_key, "st")
-    stricter = pairs.select(F.col(output_key).alias("__o"), F.col("st").alias("__t"))
-    beaten = (F.col(output_key) == F.col("__o")) & (F.size("__t") > F.size("st")) & (F.size(F.array_except("st", "__t")) == 0)
-    return pairs.join(stricter, beaten, "left_anti").select(output_key, source_key)
+    rarest = sets.withColumn("k", F.explode("st")).join(often.hint("merge"), "k", "left").groupBy("st").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))["k"].alias("k"))
+    pairs = materialize(words.join(rarest.hint("merge"), "k").where(F.size(F.array_except("st", "ot")) == 0).select("ot", "st"), "claims")
+    stricter = pairs.select(F.col("ot").alias("__o"), F.col("st").alias("__t"))
+    beaten = (F.col("ot") == F.col("__o")) & (F.size("__t") > F.size("st")) & (F.size(F.array_except("st", "__t")) == 0)
+    claims = pairs.join(stricter.hint("merge"), beaten, "left_anti")
+    return o.join(claims.hint("merge"), "ot").join(s.hint("merge"), "st").select(output_key, source_key)
 
 
 def missing_outputs(registry: DataFrame, files: DataFrame, prefixes=OUTPUT_PREFIXES) -> DataFrame:

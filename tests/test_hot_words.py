@@ -80,3 +80,12 @@ def test_a_family_of_many_lengths(spark):
     rows = out.collect()
     assert len(rows) == 3_000 and {(r["status"], r["match"]) for r in rows} == {("LIKELY_DUPLICATE", "k2999")}
     assert 9_000 <= joined_rows(out._jdf.queryExecution().executedPlan()) < 60_000
+
+
+def test_claims_send_no_names_to_the_driver(spark):
+    """Rows of words are many times a file's size: no join may broadcast them, however small the file is thought to be."""
+    some = spark.range(300).select("id", F.concat(F.lit("common w"), F.col("id") % 40, F.lit(" x"), F.col("id") % 7).alias("name"))
+    out = entities.most_specific(some.toDF("lid", "ln"), some.where("id < 40").toDF("rid", "rn"), "lid", "ln", "rid", "rn")
+    assert out.count() == 60
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
