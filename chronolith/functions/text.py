@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from .rules import UI_CHROME
 #: Letters with marks of the Latin languages and their plain forms, character for character; fixed values.
 MARKED = "ÁÀÂÄÃÅáàâäãåÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÖÕóòôöõÚÙÛÜúùûüÑñÇçÝýÿ"
 PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCcYyy"
+#: Letters that have a capital of one letter besides the usual one of several, and that one.
+WIDE = "ß" + "".join(c for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 == len(c.title()))
+CAPITAL = "ẞ" + "".join(c.title() for c in WIDE[1:])
 
 #: Suffixes that tell versions of one thing apart.
 _VERSION = r"(?:[-_\s]*(?:v\d+|version\s*\d+|final[-_\s]*\d+|final|copy|copia|rev\d*))+[-_ ]*$"
@@ -68,7 +73,7 @@ def clean_markdown(text: Column) -> Column:
     out = F.regexp_replace(out, r"[`*_>#|]", " ")
     out = F.regexp_replace(out, r"\s+([,.;:])", "$1")
     out = F.regexp_replace(out, r"\s+", " ")
-    return F.regexp_replace(out, r"^[ ·\-—:;,.]+|[ ·\-—:;,.]+$", "")
+    return F.regexp_replace(out, r"^[ ·\-—:;,.]+|[ ·\-—:;,.]+\z", "")
 
 
 def _last(text: Column, sub: str) -> Column:
@@ -77,17 +82,26 @@ def _last(text: Column, sub: str) -> Column:
     return F.when(at > 0, F.length(text) - at + 1 - len(sub)).otherwise(F.lit(-1))
 
 
-def phrase(text: Column, most: int = 165, least: int = 60) -> Column:
-    """A clean phrase: cut at the last sentence or comma past ``least``, or else at the last space; ends with a stop."""
+def capital(letter: Column) -> Column:
+    """The capital of a letter, itself one letter; letters whose capital is several stay where they have no other."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) > 1, F.translate(letter, WIDE, CAPITAL)).otherwise(upper)
+
+
+def phrase(text: Column, most: int = 165, least: int = 60, first: Callable[[Column], Column] = F.upper) -> Column:
+    """A clean phrase: cut at the last sentence or comma past ``least``, or else at the last space; ends with a stop.
+
+    ``first`` makes the first letter a capital; by default it may become several (SS of ß).
+    """
     whole = clean_markdown(text)
     cut = F.substring(whole, 1, most)
     stop = F.greatest(_last(cut, ". "), _last(cut, ", "))
     space = _last(cut, " ")
     head = lambda n: cut.substr(F.lit(1), n.cast("int"))
     short = F.when(stop > least, head(stop)).when(space >= 0, head(space)).otherwise(cut)
-    kept = F.when(F.length(whole) > most, F.regexp_replace(short, r"^[ ,;:]+|[ ,;:]+$", "")).otherwise(whole)
-    ended = F.when(kept.rlike(r"[.!?]$"), kept).otherwise(F.concat(kept, F.lit(".")))
-    return F.when(kept == "", F.lit("")).otherwise(F.concat(F.upper(F.substring(ended, 1, 1)), ended.substr(F.lit(2), F.length(ended))))
+    kept = F.when(F.length(whole) > most, F.regexp_replace(short, r"^[ ,;:]+|[ ,;:]+\z", "")).otherwise(whole)
+    ended = F.when(kept.rlike(r"[.!?]\z"), kept).otherwise(F.concat(kept, F.lit(".")))
+    return F.when(kept == "", F.lit("")).otherwise(F.concat(first(F.substring(ended, 1, 1)), ended.substr(F.lit(2), F.length(ended))))
 
 
 def section(markdown: Column, number: int) -> Column:

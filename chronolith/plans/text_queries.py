@@ -322,7 +322,7 @@ SELECT doc_id, CASE WHEN kept = '' THEN '' ELSE upper(substring(kept, 1, 1)) ||
 
 @register("phrases", _phrase_sql())
 def phrases(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.phrase(F.col("text")).alias("phrase"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.phrase(F.col("text"), first=T.capital).alias("phrase"))
 
 
 _SIMILARITY = r"""WITH RECURSIVE
