@@ -12,6 +12,11 @@ def clock(seconds: Column, separator: str = ":") -> Column:
     return F.format_string(separator.join(["%02d"] * 3), F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def time_of_day(seconds: Column) -> Column:
+    """HH:MM:SS of seconds, cut off, by a clock that begins anew each day; below zero on the day before."""
+    return clock(F.pmod(F.floor(seconds), F.lit(86_400)))
+
+
 def clock_millis(seconds: Column) -> Column:
     """HH:MM:SS.mmm of seconds."""
     at = F.greatest(seconds.cast("double"), F.lit(0.0))

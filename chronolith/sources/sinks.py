@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions import clock as C
 from chronolith.functions import rules
 
+#: How seconds are shown: C.clock, whose hours go on after a day, or C.time_of_day.
+Clock = Callable[[Column], Column]
+
 
 def save_version(df: DataFrame, folder: str, version: int) -> str:
     """Write a new version beside the old ones; a path that is being read is never written over."""
@@ -59,18 +64,18 @@ def _cell(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("/"))
 
 
-def _span(start: str = "start", end: str = "end") -> Column:
-    return F.concat(C.clock(F.col(start)), F.lit("–"), C.clock(F.col(end)))
+def _span(clock: Clock = C.clock) -> Column:
+    return F.concat(clock(F.col("start")), F.lit("–"), clock(F.col("end")))
 
 
 def _row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))
 
 
-def rundown_lines(parts: DataFrame) -> DataFrame:
+def rundown_lines(parts: DataFrame, clock: Clock = C.clock) -> DataFrame:
     """A table row for each part of a cut: its number, origin, seconds (halves to even) and caption; columns n and value."""
     seconds = F.concat(F.bround(F.col("end") - F.col("start")).cast("long").cast("string"), F.lit("s"))
-    return parts.select("n", _row(F.col("n"), _span(), seconds, F.col("caption")).alias("value"))
+    return parts.select("n", _row(F.col("n"), _span(clock), seconds, F.col("caption")).alias("value"))
 
 
 def map_lines(mapped: DataFrame, track: tuple[str, ...] = (), most: int = 90) -> DataFrame:

@@ -28,3 +28,9 @@ def test_first_letters_and_last_signs_of_phrases(same):
     long = [("x" * 70 + ", " + "y" * 90 + e * 2)[:170] for e in (" ,\u2028", ",\u0085 z", ". ")]
     texts = [f"{c}eit und mehr" for c in [*wide, "é", "ǆ", "ı", "i"]] + [*wide, *ends, *long, None, "", "...", "ß"]
     assert same("phrases", "documents", list(enumerate(texts)), "doc_id long, text string") == len(texts)
+
+
+def test_rundown_after_a_day(same):
+    at = [0, 86_399, 86_400, 90_000, 3_000_000]
+    rows = [(10 * a + i, a, p) for i, a in enumerate(at) for p in ("1-URGENT", "5-LOW")]
+    assert same("rundown_lines", "orders", rows, "o_orderkey long, o_custkey long, o_orderpriority string") == len(rows)
