@@ -41,10 +41,10 @@ def write_report(lines: DataFrame, path: str, order: list[str]) -> None:
     lines.sort(*order).select("value").write.mode("overwrite").text(path)
 
 
-def step_lines(steps: DataFrame) -> DataFrame:
+def step_lines(steps: DataFrame, clock: Clock = C.clock) -> DataFrame:
     """A readable table row for each step: columns ``value``, and index to order by."""
     state = F.when(F.col("dead"), "espera").otherwise("útil")
-    return steps.select("index", F.format_string("| %d | %s | %s | %.1f | %.4f | %s |", "index", C.clock(F.col("start")), C.clock(F.col("end")), F.col("change"), F.col("activity"), state).alias("value"))
+    return steps.select("index", F.format_string("| %d | %s | %s | %.1f | %.4f | %s |", "index", clock(F.col("start")), clock(F.col("end")), F.col("change"), F.col("activity"), state).alias("value"))
 
 
 def transcript_lines(segments: DataFrame) -> DataFrame:

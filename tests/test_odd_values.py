@@ -5,6 +5,7 @@ import pytest
 from oracle import assert_same
 
 from chronolith.plans import catalog
+from chronolith.sources import sinks
 
 catalog.load()
 
@@ -34,3 +35,15 @@ def test_rundown_after_a_day(same):
     at = [0, 86_399, 86_400, 90_000, 3_000_000]
     rows = [(10 * a + i, a, p) for i, a in enumerate(at) for p in ("1-URGENT", "5-LOW")]
     assert same("rundown_lines", "orders", rows, "o_orderkey long, o_custkey long, o_orderpriority string") == len(rows)
+
+
+EVENTS = [(i, u, t) for i, u in enumerate([0, 12_342, 12_343, 17_279, 17_280, 90_000, -1, -20_000]) for t in ("view", "error", "click")]
+
+
+def test_steps_after_a_day(same):
+    assert same("step_lines", "events", EVENTS, "event_id long, user_id long, event_type string") == len(EVENTS)
+
+
+def test_hours_of_recordings_go_on(spark):
+    steps = spark.createDataFrame([(1, 90_000.0, 360_000.5, 0.5, 0.25, False)], "index long, start double, end double, change double, activity double, dead boolean")
+    assert sinks.step_lines(steps).first()["value"] == "| 1 | 25:00:00 | 100:00:00 | 0.5 | 0.2500 | útil |"
