@@ -115,8 +115,8 @@ def write_deliverables(folder: str, segments: DataFrame, mapped: DataFrame, case
         write_report(lines, f"{folder.rstrip('/')}/{name}", [order])
 
 
-def timeline_lines(merged: DataFrame) -> DataFrame:
-    head = F.concat(F.lit("["), C.clock(F.col("ts")), F.lit("]"))
+def timeline_lines(merged: DataFrame, clock: Clock = C.clock) -> DataFrame:
+    head = F.concat(F.lit("["), clock(F.col("ts")), F.lit("]"))
     value = F.when(F.col("source") == "audio", F.concat(F.lit("**"), head, F.lit("** "), "text")).otherwise(F.concat(F.lit("### "), head, F.lit(" "), "text"))
     return merged.select("ts", "rank", "ord", value.alias("value"))
 

@@ -44,6 +44,10 @@ def test_steps_after_a_day(same):
     assert same("step_lines", "events", EVENTS, "event_id long, user_id long, event_type string") == len(EVENTS)
 
 
+def test_timeline_after_a_day(same):
+    assert same("timeline_lines", "events", EVENTS, "event_id long, user_id long, event_type string") == 16
+
+
 def test_hours_of_recordings_go_on(spark):
     steps = spark.createDataFrame([(1, 90_000.0, 360_000.5, 0.5, 0.25, False)], "index long, start double, end double, change double, activity double, dead boolean")
     assert sinks.step_lines(steps).first()["value"] == "| 1 | 25:00:00 | 100:00:00 | 0.5 | 0.2500 | útil |"
