@@ -94,12 +94,12 @@ class _Tags:
         return None
 
 
-#: Kinds of blocks: outside articles; within one; within one, in an element whose name raises a doubt.
-LOOSE, MAIN, DOUBT = 0, 1, 2
+#: Kinds of blocks: outside articles; within one; within one, in an element whose name raises a doubt; plainly no main text.
+LOOSE, MAIN, DOUBT, CHROME = 0, 1, 2, 3
 
 
-def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """(kind, block) of all blocks in page order, but for what is plainly no main text.
+def blocks_of(page: str | None, with_chrome: bool = False) -> list[tuple[int, str]]:
+    """(kind, block) of all blocks in page order; what is plainly no main text, as menus and feet, only ``with_chrome``.
 
     What an element's name says never hides an article or main element within it: there all begins anew, but for
     articles in menus, feet and asides, and in what surely holds comments. An article is hidden itself if it is a comment
@@ -110,6 +110,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     if not page:
         return out
     text: list[str] = []
+    chrome: list[str] = []
     # Open elements that matter: name; what they add to the counts below; whether a container; counts before an outermost one.
     stack: list[tuple[str, tuple[int, int, int, int], bool, tuple[int, int] | None]] = []
     hidden = doubts = sealed = unseen = within = 0
@@ -122,6 +123,17 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             if block:
                 out.append(((DOUBT if doubts else MAIN) if within else LOOSE, block))
             text.clear()
+        if chrome:
+            block = " ".join(html.unescape("".join(chrome)).split())
+            if block:
+                out.append((CHROME, block))
+            chrome.clear()
+
+    def add(some: str) -> None:
+        if not hidden:
+            text.append(some)
+        elif with_chrome:
+            chrome.append(some)
 
     def push(name: str, adds: tuple[int, int, int, int], container: bool = False, before: tuple[int, int] | None = None) -> None:
         nonlocal hidden, doubts, sealed, unseen, within
@@ -140,16 +152,15 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
 
     while at < end:
         if not (found := tags.next(at)):
-            if not hidden:
-                text.append(page[at:])
+            add(page[at:])
             break
         m, after = found
-        if m.start() > at and not hidden:
-            text.append(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = after
         if m.group(2) is None:
-            if m.group().startswith("<![CDATA[") and not hidden:
-                text.append(html.escape(m.group()[9:].removesuffix("]]>"), quote=False))
+            if m.group().startswith("<![CDATA["):
+                add(html.escape(m.group()[9:].removesuffix("]]>"), quote=False))
             continue
         name, inside = m.group(2).lower(), page[m.end() : after - 1]
         if m.group(1):
@@ -164,8 +175,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 flush()
             at = stop.end() if stop else end
             continue
-        if name == "br" and not hidden:
-            text.append(" ")
+        if name == "br":
+            add(" ")
         if name in _BLOCK or name in _CHROME:
             flush()
             if name == "body":
@@ -261,72 +272,96 @@ def _lcs_lengths(lines: list[int], other: list[int]) -> list[int]:
     return out
 
 
-def _parsed(batches):
+def _digest(blocks: list[tuple[int, str]]) -> bytes:
+    whole = "\n".join(f"{kind} {x}" for kind, x in blocks)  # no block holds a line break
+    return hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _lined(batches):
+    """The lines of whole pages as hashes; digests of those that may be text, and of all."""
     for batch in slices(batches):
-        main, parts, places, sures, lines, digests = [], [], [], [], [], []
+        lines, digests, wholes = [], [], []
         for page in batch.column("html").to_pylist():
-            blocks = blocks_of(page)
-            contained = any(kind != LOOSE for kind, _ in blocks)
-            own = [i for i, (kind, _) in enumerate(blocks) if not contained or kind != LOOSE]
-            asks = any(blocks[i][0] != MAIN for i in own)
-            main.append("" if asks else "\n\n".join(blocks[i][1] for i in own))
-            parts.append([blocks[i][1] for i in own] if asks else [])
-            places.append(own if asks else [])
-            sures.append([blocks[i][0] == MAIN for i in own] if asks else [])
+            blocks = blocks_of(page, True)
             lines.append([_line_key(x) for _, x in blocks])
-            whole = "\n".join(f"{kind} {x}" for kind, x in blocks)  # no block holds a line break
-            digests.append(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-        out = {c: batch.column(c) for c in ("page_id", "url", "host", "path", "tag")}
-        out |= {"main": pa.array(main, pa.string()), "parts": pa.array(parts, pa.list_(pa.string())), "places": pa.array(places, pa.list_(pa.int32())), "sure": pa.array(sures, pa.list_(pa.bool_()))}
-        out |= {"lines": pa.array(lines, pa.list_(pa.int64())), "digest": pa.array(digests, pa.binary())}
+            digests.append(_digest([b for b in blocks if b[0] != CHROME]))
+            wholes.append(_digest(blocks))
+        out = {c: batch.column(c) for c in ("host", "path", "tag")}
+        yield pa.RecordBatch.from_pydict(out | {"lines": pa.array(lines, pa.list_(pa.int64())), "digest": pa.array(digests, pa.binary()), "whole": pa.array(wholes, pa.binary())})
+
+
+def _parsed(batches):
+    """The blocks that the check of the markup lets through, their places among all lines, and whether it is sure of them."""
+    for batch in slices(batches):
+        parts, places, sures, wholes = [], [], [], []
+        for page in batch.column("html").to_pylist():
+            blocks = blocks_of(page, True)
+            contained = any(kind in (MAIN, DOUBT) for kind, _ in blocks)
+            own = [i for i, (kind, _) in enumerate(blocks) if kind != CHROME and (not contained or kind != LOOSE)]
+            parts.append([blocks[i][1] for i in own])
+            places.append(own)
+            sures.append([blocks[i][0] == MAIN for i in own])
+            wholes.append(_digest(blocks))
+        out = {c: batch.column(c) for c in ("page_id", "url", "host")} | {"whole": pa.array(wholes, pa.binary())}
+        out |= {"parts": pa.array(parts, pa.list_(pa.string())), "places": pa.array(places, pa.list_(pa.int32())), "sure": pa.array(sures, pa.list_(pa.bool_()))}
+        yield pa.RecordBatch.from_pydict(out)
+
+
+def _aligned(batches):
+    """The places of a page's lines that its partner shares."""
+    for batch in slices(batches):
+        shared = [sorted(shared_lines(own, other)) for own, other in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+        out = {"host": batch.column("host"), "whole": batch.column("whole"), "shared": pa.array(shared, pa.list_(pa.int32()))}
         yield pa.RecordBatch.from_pydict(out)
 
 
 def _differenced(batches):
+    """Texts without the lines shared, but for those that the markup is sure of."""
     for batch in slices(batches):
-        texts = []
-        for main, parts, places, sure, own, other in zip(*(batch.column(c).to_pylist() for c in ("main", "parts", "places", "sure", "lines", "other")), strict=True):
-            if parts:
-                shared = shared_lines(own, other) if other else set()
-                main = "\n\n".join(part for part, at, keep in zip(parts, places, sure, strict=True) if keep or at not in shared)
-            texts.append(main)
+        texts, counts, backs = [], [], []
+        for parts, places, sure, shared in zip(*(batch.column(c).to_pylist() for c in ("parts", "places", "sure", "shared")), strict=True):
+            gone = set(shared or ())
+            texts.append("\n\n".join(part for part, at, keep in zip(parts, places, sure, strict=True) if keep or at not in gone))
+            counts.append(len(gone))
+            backs.append(sum(keep and at in gone for at, keep in zip(places, sure, strict=True)))
         out = {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())}
-        out["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+        out |= {"n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_shared": pa.array(counts, pa.int64()), "n_returned": pa.array(backs, pa.int64())}
         yield pa.RecordBatch.from_pydict(out)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html).
-
-    Pages are paired with the page of the nearest URL on their host and their lines aligned by longest common
-    subsequence; shared lines are deleted, but for those that the page's markup is sure of. Sure of being no text: menus,
-    feet, asides, forms, headers outside articles, scripts, styles, hidden parts, and elements whose class, id or role is
-    a usual name of menus, notices, adverts, comments or such. Sure of being text: all else in an article or main element,
-    or one with that role; where a page has one, what lies outside isn't taken. So differencing decides on all of a
-    page without such an element, and within one on headers and on elements whose names only hint at something else.
-
-    Pages of a host with equal blocks are copies: one class, aligned with the nearest page of another class, so that all
+    """page_id, url, text, n_chars, n_shared, n_returned of every row of pages (page_id, url, html).
+
+    Every page is paired with the page of the nearest URL on its host, and all their lines, menus and feet among them, are
+    aligned by longest common subsequence; shared lines (n_shared) are deleted. A check of the markup follows, since
+    articles share sentences and a page may have a menu of its own: it returns lines (n_returned) that are surely text, and
+    takes out others that surely are not. Sure of being no text: menus, feet, asides, forms, headers outside articles,
+    hidden parts, and elements whose class, id or role is a usual name of menus, notices, adverts, comments or such. Sure
+    of being text: all else in an article or main element, or one with that role; where a page has one, what lies outside
+    isn't taken. So the difference alone decides on all of a page without such an element, and within one on headers and
+    on elements whose names only hint at something else. Scripts and styles are no lines.
+
+    Pages of a host whose blocks that may be text are equal are copies: one class, aligned with the nearest page of another class, so that all
     copies have the same text. Nearest: of the neighbours of its members in the order of paths, the one with most path in
     common, the earlier in a tie.
 
     Null html counts as empty: an empty text. Null or malformed urls share an empty host. Pages without another class
     on their host, and pages that share no line, are left as they are. An empty table gives an empty result.
 
-    Scale: one narrow pass parses. Neighbours come from a global rank over host and path, so a host with a third of
-    all pages is spread over tasks, and from joins on unique ranks; classes are aggregated, partially on the map side. Only hashes of lines meet, not pages.
+    Scale: pages are parsed twice, for their hashes and for their texts, so that texts are written once. Neighbours come from
+    a global rank over host and path, so a host with a third of all pages is spread over tasks, and from joins on unique
+    ranks; classes are aggregated, partially on the map side, and equal pages aligned once. Shared lines grow with
+    the pages, so no side of these joins is broadcast. Only hashes of lines meet, not pages.
     """
     base = pick(pages, "page_id", "url", "html").withColumn("tag", F.monotonically_increasing_id())
     base = base.withColumn("url", F.col("url").cast("string")).withColumn("html", F.col("html").cast("string"))
     base = base.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "tag", "html")
     kind = base.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, path string, tag bigint, main string, parts array<string>, places array<int>, sure array<boolean>, lines array<bigint>, digest binary"
-    parsed = materialize(base.mapInArrow(_parsed, schema), "pages")
+    lined = materialize(base.mapInArrow(_lined, "host string, path string, tag bigint, lines array<bigint>, digest binary, whole binary"), "pages")
 
-    places = global_rank(parsed.select("host", "path", "tag", "digest"), ["host", "path", "tag"])
+    places = global_rank(lined.select("host", "path", "tag", "digest"), ["host", "path", "tag"])
     ranked = materialize(places.select("host", "path", "tag", "digest", "rank"), "page-ranks")
-    alone = parsed.where(F.size("parts") > 0).select("tag")
-    asks = ranked.join(alone, "tag")
-    sides = asks.select("host", "path", "digest", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "rank")
+    sides = ranked.select("host", "path", "digest", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"), "rank")
     sides = sides.withColumn("next", F.col("rank") + F.col("side"))
     there = ranked.select(F.col("rank").alias("next"), F.col("host").alias("their_host"), F.col("path").alias("their_path"), F.col("tag").alias("their_tag"), F.col("digest").alias("their_digest"))
     near = sides.join(there, "next").where((F.col("host") == F.col("their_host")) & (F.col("digest") != F.col("their_digest")))
@@ -334,12 +369,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     near = near.withColumn("alike", alike)
     # In the order of paths the most path in common with a page of another class is that of two neighbours.
     best = near.groupBy("host", "digest").agg(F.max_by("their_tag", F.struct("alike", -F.col("side"), -F.col("rank"))).alias("their_tag"))
-    lines = parsed.select(F.col("tag").alias("their_tag"), F.col("lines").alias("other"))
-    partner = best.join(lines, "their_tag").select("host", "digest", "other")
-    columns = ["page_id", "url", "main", "parts", "places", "sure", "lines", "other"]
-    compared = parsed.where(F.size("parts") > 0).join(partner, ["host", "digest"], "left").select(*columns)
-    sure = parsed.where(F.size("parts") == 0).withColumn("other", F.lit(None).cast("array<bigint>")).select(*columns)
-    return sure.union(compared).mapInArrow(_differenced, f"page_id {kind}, url string, text string, n_chars bigint")
+    each = lined.groupBy("host", "digest", "whole").agg(F.min("tag").alias("tag"))
+    own = lined.select("tag", F.col("lines").alias("own"))
+    other = lined.select(F.col("tag").alias("their_tag"), F.col("lines").alias("other"))
+    pairs = each.join(best.hint("merge"), ["host", "digest"]).join(own.hint("merge"), "tag").join(other.hint("merge"), "their_tag").select("host", "whole", "own", "other")
+    shared = materialize(pairs.mapInArrow(_aligned, "host string, whole binary, shared array<int>"), "shared-lines")
+    parsed = base.mapInArrow(_parsed, f"page_id {kind}, url string, host string, whole binary, parts array<string>, places array<int>, sure array<boolean>")
+    compared = parsed.join(shared.hint("merge"), ["host", "whole"], "left").select("page_id", "url", "parts", "places", "sure", "shared")
+    return compared.mapInArrow(_differenced, f"page_id {kind}, url string, text string, n_chars bigint, n_shared bigint, n_returned bigint")
 
 
 def _common_prefix(a, b):

@@ -80,3 +80,18 @@ def test_neighbours_of_a_candidate_are_words_of_any_length(gap):
     text = f"secret token {chr(121) * gap} {key} and more"
     n, found = secrets.scan_text(text, None, forest)
     assert n == 1 and [text[a:b] for a, b, *_ in found] == [key]
+
+
+def test_every_page_is_differenced(spark):
+    """Menus and feet take part in the alignment of pages with an article; the check returns the sentence that articles share."""
+    page = lambda i, *own: f"<html><body><nav><a>home</a></nav><div class=ad>buy {i}</div><article><p>{'</p><p>'.join(own)}</p></article><footer>foot</footer></body></html>"
+    rows = [(1, "http://h.org/a/1", page(1, "one", "both")), (2, "http://h.org/a/2", page(2, "two", "both")), (3, "http://z.org/", page(3, "alone"))]
+    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_returned"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("one\n\nboth", 3, 1), 2: ("two\n\nboth", 3, 1), 3: ("alone", 0, 0)}
+
+
+def test_copies_with_other_menus_are_copies(spark):
+    page = lambda menu, *own: f"<html><body><nav>{menu}</nav><p>top</p><p>{'</p><p>'.join(own)}</p></body></html>"
+    rows = [(1, "http://h.org/a/1", page("mon", "one")), (2, "http://h.org/a/1?x", page("tue", "one")), (3, "http://h.org/b", page("mon", "two"))]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("one", 2), 2: ("one", 1), 3: ("two", 1)} or got == {1: ("one", 2), 2: ("one", 1), 3: ("two", 2)}
